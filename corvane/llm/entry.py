@@ -32,6 +32,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_through_archive(table(spark, sf_dir, "pages"), min_bytes=0)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op08_decontamination import verdicts
+
+    return verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v) and k[2].isdigit()}
 
