@@ -62,6 +62,14 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document before and after its personal data and secrets are masked."""
+    from .op09_token_counts import apply_edits, build_trees, mask_edits
+
+    trees = build_trees(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return apply_edits(trees, mask_edits).drop("text", "tree")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v) and k[2].isdigit()}
 
