@@ -9,33 +9,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import written
-from corvane.llm.op03_quality_rules import quality_rules
+from corvane.llm.common import table, written
+from corvane.llm.op03_quality_rules import kept_rows
+from corvane.llm.op05_substring_dedup import dedup_passages
+from corvane.llm.op07_jaccard_join import one_of_each
+from corvane.llm.op08_decontamination import clean_rows
 from corvane.llm.op10_packing import pack
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules keep."""
-    from corvane.llm.op03_quality_rules import kept_rows
-
     return kept_rows(docs)
 
 
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return one_of_each(docs)
+
+
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that stand in an earlier document; n_chars follows the text."""
+    out = dedup_passages(docs, spans=None)
+    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else out
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return clean_rows(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token windows."""
     return pack(docs)
 
 
-STAGES = [("quality rules", keep_quality), ("packing", pack_windows)]
+STAGES = [
+    ("quality rules", keep_quality),
+    ("n-gram Jaccard join", keep_one_of_each),
+    ("substring dedup", cut_passages),
+    ("benchmark decontamination", drop_leaks),
+    ("packing", pack_windows),
+]
 
-#: Token ids and the repetition measures aren't expressible in SQL.
+#: SQL expresses neither the repetition measures nor tiling nor token ids.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = written(docs, f"stage{i}")
