@@ -9,8 +9,9 @@ outside the lexicon costs what its absence from it tells: the log-odds of all ot
 Scoring: a text is a row of scores, the log-odds of lexicon tokens and a small cost for any
 other word. The linear-time all-maximal-segments scan finds every maximal passage; a passage of
 score S among n words has the extreme-value significance 1 - exp(-K n exp(-lambda S)), where
-lambda solves the balance of the scores over clean text. The significant passages' surprises
-add up to one number, which a fitted logistic turns into a probability.
+lambda solves the balance of the scores over clean text. The surprises -ln p of all maximal
+passages, so of many weak ones too, add up to one number, which a fitted logistic turns into a
+probability; the significant passages are returned with their places.
 
 Bounds: the model is fitted on at most ``train_rows`` labelled rows and holds at most
 ``lexicon_rows`` tokens. Everything else covers all rows and whole texts; there is no shuffle of
@@ -110,7 +111,7 @@ def _hits(w: tc.Words, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray]:
 
 
 def passages(w: tc.Words, model: ToxicityModel, plan: ToxicityPlan) -> Iterator[tuple[float, list]]:
-    """(surprise, significant passages as first byte, last byte, score, p) of each document."""
+    """(surprise, significant passages as first byte, past the last, score, p) of each document."""
     at, odds = _hits(w, model)
     cut = np.searchsorted(at, w.first)
     for d in range(len(w.offs) - 1):
@@ -129,8 +130,8 @@ def passages(w: tc.Words, model: ToxicityModel, plan: ToxicityPlan) -> Iterator[
         for s, first, past in maximal_segments(row):
             x = model.lam * s - math.log(plan.k * max(n, 1))
             p = -math.expm1(-math.exp(-x)) if x > -30 else 1.0
+            total += -math.log(max(p, 1e-300))
             if p <= plan.significance:
-                total += -math.log(max(p, 1e-300))
                 spans.append((int(w.start[first] - w.offs[d]), int(w.end[past - 1] - w.offs[d]), float(s), p))
         yield total, spans
 
