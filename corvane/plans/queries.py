@@ -1,6 +1,566 @@
-"""Queries of the library's own operators over the driver's tables, with DuckDB SQL."""
+"""Queries of the library's operators over the benchmark tables, with DuckDB SQL.
+
+Bindings: an amino acid is the code at part key modulo 20, or the backbone label where the key
+divides by 23; consecutive lines of an order make a pair and so a bucket; a customer is a point;
+an order is a network of parts; an embedding's first 63 numbers are 21 points; a four-letter id
+is the beginning of a key's md5.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..constants import AA_BACKGROUND, AA_CODES, AA_HEAVY_ATOMS, BACKBONE_LABEL, CENTRE, GAP, UNDESIRED_LANTHANIDES, UNDESIRED_METALS, UNDESIRED_NOBLE_GASES, VDW_RADII, mean_aa_size
+from ..functions import arrays as R
+from ..functions import geometry as G
+from ..functions import text as C
+from ..operators import aggregates as A
+from ..operators import density as D
+from ..operators import joins as J
+from ..operators import sets as S
+from ..operators import windows as O
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLES[key] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+AA_LIST = "[" + ", ".join(f"'{a}'" for a in AA_CODES) + "]"
+AA_REF = "(VALUES " + ", ".join(f"('{a}', {AA_HEAVY_ATOMS[a]}, {AA_BACKGROUND[a]!r}::DOUBLE)" for a in AA_CODES) + ") AS aa_ref(aa, size, freq)"
+SQL_LABEL = f"CASE WHEN l_partkey % 23 = 0 THEN '{BACKBONE_LABEL}' ELSE {AA_LIST}[(l_partkey % 20)::INT + 1] END"
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+SQL_LINES = f"lines AS (SELECT *, {SQL_LABEL} AS label, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE_ORDER)}) AS pos FROM lineitem)"
+SQL_PAIRS = f"""{SQL_LINES}, nxt AS (SELECT *, lead(label) OVER (PARTITION BY l_orderkey ORDER BY pos) AS other FROM lines),
+pairs AS (SELECT *, CASE WHEN label <= other THEN label || '_' || other ELSE other || '_' || label END AS aa_bucket FROM nxt WHERE other IS NOT NULL)"""
+
+
+def aa(c):
+    return F.element_at(F.array(*(F.lit(a) for a in AA_CODES)), F.pmod(c, F.lit(20)).cast("int") + 1)
+
+
+def lines(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    cols = list(dict.fromkeys(["l_orderkey", *LINE_ORDER, *more]))
+    label = F.when(F.pmod(F.col("l_partkey"), F.lit(23)) == 0, BACKBONE_LABEL).otherwise(aa(F.col("l_partkey")))
+    return t(spark, d, "lineitem").select(*cols).withColumn("label", label).withColumn("pos", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)).cast("bigint"))
+
+
+def pairs(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    other = F.lead("label").over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER))
+    return lines(spark, d, *more).withColumn("other", other).where("other is not null").withColumn("aa_bucket", C.bucket_name(F.array("label", "other")))
+
+
+def singles(spark: SparkSession, d: str) -> DataFrame:
+    label = F.when(F.pmod(F.col("l_partkey"), F.lit(23)) == 0, BACKBONE_LABEL).otherwise(aa(F.col("l_partkey")))
+    return t(spark, d, "lineitem").select(label.alias("aa_bucket"))
+
+
+# --- enrichment
+
+
+@query(f"WITH {SQL_PAIRS} SELECT aa_bucket, count(*) AS n FROM pairs WHERE label <> 'bb' AND other <> 'bb' GROUP BY 1")
+def bucket_counts(spark, d):
+    return A.bucket_counts(pairs(spark, d))
+
+
+def _single_sql(norm: str) -> str:
+    mean = None if norm == "none" else mean_aa_size(norm == "bg_weighted")
+    obs, exp = ("n", "tot * freq") if mean is None else ("n / size", f"tot * freq / {mean!r}")
+    return f"""WITH c AS (SELECT {SQL_LABEL} AS aa_bucket, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1 HAVING aa_bucket <> 'bb'), s AS (SELECT sum(n) AS tot FROM c)
+    SELECT aa_bucket, round(ln(({obs}) / ({exp})), 6) AS enrichment FROM c, s, {AA_REF} WHERE aa = aa_bucket"""
+
+
+def _pair_sql(norm: str, outer: str = "SELECT aa_bucket, round(enrichment, 6) AS enrichment FROM en") -> str:
+    mean = None if norm == "none" else 2 * mean_aa_size(norm == "bg_weighted")
+    obs, exp = ("n", "tot * k * f1 * f2") if mean is None else ("n / (s1 + s2)", f"tot * k * f1 * f2 / {mean!r}")
+    return f"""WITH {SQL_PAIRS}, c AS (SELECT aa_bucket, count(*)::DOUBLE AS n FROM pairs WHERE label <> 'bb' AND other <> 'bb' GROUP BY 1), s AS (SELECT sum(n) AS tot FROM c),
+    j AS (SELECT aa_bucket, n, tot, a.freq AS f1, b.freq AS f2, a.size AS s1, b.size AS s2, CASE WHEN a.aa = b.aa THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS k
+      FROM c, s, (SELECT * FROM {AA_REF}) a, (SELECT * FROM {AA_REF}) b WHERE a.aa = split_part(aa_bucket, '_', 1) AND b.aa = split_part(aa_bucket, '_', 2)),
+    en AS (SELECT aa_bucket, ln(({obs}) / ({exp})) AS enrichment FROM j) {outer}"""
+
+
+for _norm in ("none", "unweighted", "bg_weighted"):
+
+    @query(_single_sql(_norm), f"single_enrichment_{_norm}")
+    def _single(spark, d, norm=_norm):
+        return A.single_enrichment(A.bucket_counts(singles(spark, d)), norm).select("aa_bucket", F.round("enrichment", 6).alias("enrichment"))
+
+    @query(_pair_sql(_norm), f"pair_enrichment_{_norm}")
+    def _pair(spark, d, norm=_norm):
+        return A.pair_enrichment(A.bucket_counts(pairs(spark, d)), norm).select("aa_bucket", F.round("enrichment", 6).alias("enrichment"))
+
+
+def _enriched(spark, d):
+    return A.pair_enrichment(A.bucket_counts(pairs(spark, d)))
+
+
+@query(
+    _pair_sql(
+        "bg_weighted",
+        """, e AS (SELECT split_part(aa_bucket, '_', 1) AS label, enrichment FROM en UNION ALL SELECT split_part(aa_bucket, '_', 2), enrichment FROM en WHERE split_part(aa_bucket, '_', 1) <> split_part(aa_bucket, '_', 2)),
+    m AS (SELECT label, sum(enrichment) AS score FROM e GROUP BY 1) SELECT label, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, label) AS rank FROM m""",
+    )
+)
+def label_marginals(spark, d):
+    return A.label_marginals(_enriched(spark, d)).select("label", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    _pair_sql(
+        "bg_weighted",
+        """, p AS (SELECT split_part(aa_bucket, '_', 1) AS aa1, split_part(aa_bucket, '_', 2) AS aa2, round(enrichment, 6) AS value FROM en)
+    SELECT * FROM p UNION ALL SELECT aa2, aa1, value FROM p WHERE aa1 <> aa2""",
+    )
+)
+def pair_matrix_long(spark, d):
+    return A.matrix_long(_enriched(spark, d)).select("aa1", "aa2", F.round("value", 6).alias("value"))
+
+
+@query(
+    _pair_sql(
+        "bg_weighted",
+        """, p AS (SELECT split_part(aa_bucket, '_', 1) AS aa1, split_part(aa_bucket, '_', 2) AS aa2, round(enrichment, 6) AS value FROM en), q AS (SELECT * FROM p UNION ALL SELECT aa2, aa1, value FROM p WHERE aa1 <> aa2)
+    SELECT aa1, """
+        + ", ".join(f"coalesce(max(value) FILTER (aa2 = '{a}'), 999) AS \"{a}\"" for a in AA_CODES)
+        + " FROM q GROUP BY aa1",
+    )
+)
+def pair_matrix(spark, d):
+    m = A.matrix(_enriched(spark, d))
+    return m.select("aa1", *(F.when(F.isnan(a), 999.0).otherwise(F.round(a, 6)).alias(a) for a in AA_CODES))
+
+
+@query("SELECT p_brand, p_type, count(DISTINCT l_suppkey) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2 HAVING count(DISTINCT l_suppkey) >= 80")
+def qualifying_groups(spark, d):
+    li = t(spark, d, "lineitem").select("l_partkey", "l_suppkey")
+    return A.qualifying_groups(li.join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")), ["p_brand", "p_type"], "l_suppkey", 80)
+
+
+@query(
+    f"WITH {SQL_LINES}, good AS (SELECT label FROM lines GROUP BY 1 HAVING count(*) >= 2500) SELECT l_suppkey, count(DISTINCT label) AS groups FROM lines WHERE label IN (SELECT label FROM good) GROUP BY 1 HAVING count(DISTINCT label) >= 3"
+)
+def ligands_with_many_groups(spark, d):
+    li = lines(spark, d)
+    return A.ligands_with_many_groups(li, "label", "l_suppkey", li.groupBy("label").agg(F.count("*").alias("n")))
+
+
+@query("SELECT l_returnflag, count(*) AS clusters, sum(l_quantity)::BIGINT AS members FROM lineitem GROUP BY 1")
+def library_totals(spark, d):
+    return A.library_totals(t(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").alias("cluster_size")), ["l_returnflag"])
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+def status_counts(spark, d):
+    return A.status_counts(t(spark, d, "orders"), F.col("o_orderstatus"))
+
+
+@query("SELECT count(DISTINCT (l_orderkey, l_linenumber)) AS instances, count(DISTINCT l_orderkey) AS structures, count(DISTINCT l_partkey) AS ligands FROM lineitem")
+def run_statistics(spark, d):
+    li = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("probe_name"), F.col("l_linenumber").alias("lig_resnum"), F.col("l_partkey").alias("lig_resname"))
+    return A.run_statistics(li)
+
+
+@query("SELECT l_suppkey, -sum(CASE l_returnflag WHEN 'A' THEN 3 WHEN 'N' THEN 2 ELSE 1 END)::BIGINT AS score FROM lineitem GROUP BY 1")
+def precedence_scores(spark, d):
+    order = spark.createDataFrame([("A", 3), ("N", 2), ("R", 1)], "l_returnflag string, precedence int")
+    return A.precedence_scores(t(spark, d, "lineitem").select("l_suppkey", "l_returnflag"), F.broadcast(order), ["l_suppkey"], "l_returnflag")
+
+
+# --- strings and filters
+
+_RE2 = "(" + "|".join([*UNDESIRED_METALS, *UNDESIRED_LANTHANIDES, *UNDESIRED_NOBLE_GASES]) + ")"
+_NAMES = "p_name || ' ' || p_brand || ' ' || p_type"
+
+
+@query(f"SELECT regexp_matches({_NAMES}, '{_RE2}') OR regexp_matches({_NAMES}, 'B([^r]|$)') AS undesired, count(*) AS n FROM part GROUP BY 1")
+def element_filter(spark, d):
+    s = F.concat_ws(" ", "p_name", "p_brand", "p_type")
+    return t(spark, d, "part").groupBy(C.undesired_elements(s).alias("undesired")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT p_partkey, replace(replace(p_name || '/' || p_brand || '\\' || p_type, '/', '_fs_'), '\\', '_bs_') AS file, replace(p_brand, '#', '_tp_') AS job, replace(replace(p_name || '/' || p_brand, '/', '_'), ' ', '_').replace('#', 'hash') AS label FROM part")
+def encoded_names(spark, d):
+    p = t(spark, d, "part")
+    name = F.concat("p_name", F.lit("/"), "p_brand", F.lit("\\"), "p_type")
+    return p.select("p_partkey", C.smiles_to_filename(name).alias("file"), C.smiles_to_job_name(F.col("p_brand")).alias("job"), C.safe_label(F.concat("p_name", F.lit("/"), "p_brand")).alias("label"))
+
+
+@query("SELECT p_partkey, array_to_string(regexp_extract_all(p_type || p_name, '(Cl|Br|Si|Na|Li|[A-Z]|[cnosp])', 1), ',') AS elements, array_to_string(list_sort(regexp_extract_all(p_type || p_name, '(Cl|Br|Si|Na|Li|[A-Z]|[cnosp])', 1)), '') AS sorted FROM part")
+def element_tokens(spark, d):
+    e = C.smiles_elements(F.concat("p_type", "p_name"))
+    return t(spark, d, "part").select("p_partkey", F.array_join(e, ",").alias("elements"), C.element_string(e).alias("sorted"))
+
+
+@query("SELECT o_orderkey, (o_totalprice::BIGINT // 3600)::INT AS h, ((o_totalprice::BIGINT % 3600) // 60)::INT AS m, (o_totalprice::BIGINT % 60)::INT AS s FROM orders")
+def elapsed_parts(spark, d):
+    e = C.elapsed(F.bround("o_totalprice", 0).cast("bigint"))
+    return t(spark, d, "orders").select("o_orderkey", e["h"].alias("h"), e["m"].alias("m"), e["s"].cast("int").alias("s"))
+
+
+_ID = "substr(md5(s_suppkey::VARCHAR), 1, 4)"
+
+
+@query(f"WITH s AS (SELECT s_suppkey AS k, {_ID} AS id FROM supplier) SELECT a.k AS a, b.k AS b FROM s a JOIN s b ON a.k < b.k WHERE hamming(a.id, b.id) <= 1")
+def id_similarity(spark, d):
+    """Ids that agree in three of four places meet on one of their four masks: no pair of all ids."""
+    s = t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.substring(F.md5(F.col("s_suppkey").cast("string")), 1, 4).alias("id"))
+    masks = F.array(*(F.concat(F.lit(str(i)), F.substring("id", 1, i), F.lit("?"), F.substring("id", i + 2, 4)) for i in range(4)))
+    m = s.withColumn("mask", F.explode(masks))
+    j = m.alias("a").join(m.alias("b"), (F.col("a.mask") == F.col("b.mask")) & (F.col("a.k") < F.col("b.k")))
+    return j.where(C.similar_ids(F.col("a.id"), F.col("b.id"))).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
+
+
+@query(
+    f"""WITH {SQL_LINES}, s AS (SELECT l_orderkey AS k, list(CASE WHEN pos = 3 THEN '{CENTRE}' WHEN label = 'bb' THEN '{GAP}' ELSE left(label, 1) END ORDER BY pos) AS v FROM lines WHERE pos <= 5 GROUP BY 1 HAVING count(*) = 5),
+    z AS (SELECT a.k AS a, b.k AS b, [x for x in list_zip(a.v, b.v) if x[1] NOT IN ('{CENTRE}', '{GAP}') AND x[2] NOT IN ('{CENTRE}', '{GAP}')] AS p FROM s a JOIN s b ON b.k = a.k + 1)
+    SELECT a, b, round(CASE WHEN len(p) = 0 THEN 0 ELSE 100.0 * len([x for x in p if x[1] = x[2]]) / len(p) END, 6) AS identity FROM z"""
+)
+def seq_identity(spark, d):
+    label = F.when(F.col("pos") == 3, CENTRE).when(F.col("label") == "bb", GAP).otherwise(F.substring("label", 1, 1))
+    s = lines(spark, d).where("pos <= 5").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("pos", label.alias("v")))).alias("z"), F.count("*").alias("n"))
+    s = s.where("n = 5").select("k", F.transform("z", lambda x: x["v"]).alias("v"))
+    a, b = s.select(F.col("k").alias("a"), F.col("v").alias("va"), (F.col("k") + 1).alias("b")), s.select(F.col("k").alias("b"), F.col("v").alias("vb"))
+    return a.join(b, "b").select("a", "b", F.round(C.percent_identity(F.col("va"), F.col("vb")), 6).alias("identity"))
+
+
+@query("SELECT l_quantity, round(CASE WHEN l_quantity < 8 THEN 0.5 WHEN l_quantity > 15 THEN 1.0 ELSE 0.5 + (l_quantity - 8) / 7 * 0.5 END, 6) AS pose, round(CASE WHEN l_quantity < 8 THEN 0.5 WHEN l_quantity > 15 THEN 1.5 ELSE 0.5 + (l_quantity - 8) / 7 END, 6) AS flank, count(*) AS n FROM lineitem GROUP BY 1, 2, 3")
+def normalized_cutoff(spark, d):
+    q = F.col("l_quantity")
+    return t(spark, d, "lineitem").groupBy("l_quantity").agg(F.count("*").alias("n")).select("l_quantity", F.round(G.normalized_cutoff(q, 1.0), 6).alias("pose"), F.round(G.normalized_cutoff(q, 1.5), 6).alias("flank"), "n")
+
+
+@query(f"WITH {SQL_LINES} SELECT l_orderkey, array_to_string(list(label ORDER BY label), '_') AS bucket, array_to_string(list(l_suppkey::VARCHAR ORDER BY label, pos), ',') AS payload FROM lines GROUP BY 1")
+def sorted_payload(spark, d):
+    g = lines(spark, d).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("pos", "label", "l_suppkey"))).alias("z"))
+    v = O.sorted_pairs(F.transform("z", lambda x: x["label"]), F.transform("z", lambda x: x["l_suppkey"]))
+    return g.withColumn("v", v).select("l_orderkey", C.bucket_name(F.transform("z", lambda x: x["label"])).alias("bucket"), F.array_join(F.transform("v", lambda x: x["payload"].cast("string")), ",").alias("payload"))
+
+
+# --- sets
+
+
+@query(
+    """WITH s AS (SELECT o_custkey AS block, o_orderkey AS k, list_distinct(list(l_partkey % 8)) AS v FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)
+    SELECT a.block, a.k AS a, b.k AS b, len(list_intersect(a.v, b.v)) AS shared, len(a.v) + len(b.v) - len(list_intersect(a.v, b.v)) AS joined FROM s a JOIN s b ON a.block = b.block AND a.k < b.k
+    WHERE len(list_intersect(a.v, b.v)) >= len(a.v) + len(b.v) - len(list_intersect(a.v, b.v)) - 2"""
+)
+def set_overlap_redundant(spark, d):
+    li = t(spark, d, "lineitem").select("l_orderkey", F.pmod("l_partkey", F.lit(8)).alias("item")).distinct()
+    s = li.groupBy("l_orderkey").agg(F.collect_set("item").alias("items")).join(t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("block")), "l_orderkey")
+    return J.overlap_join(s, "block", "l_orderkey", "items", 2)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_quantity > 45)")
+def shared_chain_semi(spark, d):
+    hit = t(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    return t(spark, d, "orders").select("o_orderkey", "o_custkey").join(hit, "o_orderkey", "left_semi")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def missing_anti(spark, d):
+    return t(spark, d, "customer").select("c_custkey").join(t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+@query(
+    """WITH o AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus <> 'F')
+    SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT * FROM o) AND l_orderkey NOT IN (SELECT * FROM b)"""
+)
+def required_contacts(spark, d):
+    c = t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.col("l_returnflag").alias("resname2"), F.col("l_linestatus").alias("atomtype2"))
+    return J.required_contacts(c, ("A", "N"), ["F"], ("l_orderkey",)).select("l_orderkey", "l_partkey", "l_linenumber")
+
+
+@query(
+    """WITH w AS (SELECT p_partkey, p_brand FROM part), lib AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 48), db AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 44)
+    SELECT p_partkey, CASE WHEN p_brand = 'Brand#1' THEN 'excluded' WHEN p_partkey IN (SELECT * FROM lib) THEN 'ok' WHEN p_partkey IN (SELECT * FROM db) THEN 'need' ELSE 'missing' END AS status FROM w"""
+)
+def fragment_status(spark, d):
+    li = t(spark, d, "lineitem").select(F.col("l_partkey").alias("canonical"), "l_quantity")
+    w = t(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("canonical")).withColumn("name", F.concat("brand", F.lit("|"), F.col("canonical").cast("string")))
+    s = J.fragment_status(w, li.where("l_quantity > 48"), li.where("l_quantity > 44"))
+    out = s.select(F.split("name", r"\|")[1].cast("bigint").alias("p_partkey"), F.split("name", r"\|")[0].alias("brand"), "status")
+    return out.select("p_partkey", F.when(F.col("brand") == "Brand#1", "excluded").otherwise(F.col("status")).alias("status"))
+
+
+@query(
+    f"WITH {SQL_LINES} SELECT l_orderkey, 1 AS size, label AS items FROM lines UNION ALL SELECT a.l_orderkey, 2, a.label || ',' || b.label FROM lines a JOIN lines b ON a.l_orderkey = b.l_orderkey AND a.pos < b.pos"
+)
+def combos_k1_k2(spark, d):
+    return S.combinations(lines(spark, d), ["l_orderkey"], "label", "pos").select("l_orderkey", "size", F.array_join("items", ",").alias("items"))
+
+
+@query(
+    f"""WITH {SQL_LINES}, v AS (SELECT l_orderkey, pos, unnest(CASE WHEN label IN ('GLY', 'bb') THEN ['bb'] ELSE [label, 'bb'] END) AS v FROM lines)
+    SELECT DISTINCT l_orderkey, v AS items FROM v UNION SELECT DISTINCT a.l_orderkey, a.v || ',' || b.v FROM v a JOIN v b ON a.l_orderkey = b.l_orderkey AND a.pos < b.pos"""
+)
+def bb_variants(spark, d):
+    c = S.combinations(lines(spark, d), ["l_orderkey"], "label", "pos").select("l_orderkey", "items")
+    return S.label_variants(c).select("l_orderkey", F.array_join("items", ",").alias("items")).distinct()
+
+
+@query("SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS rn FROM lineitem) WHERE rn = 1")
+def dedup_first_wins(spark, d):
+    li = t(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return S.first_wins(li, [F.col("l_suppkey"), F.col("l_partkey")], ["l_orderkey", "l_linenumber", "l_extendedprice"])
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) < 1500),
+    r AS (SELECT s_suppkey AS node, s_suppkey AS via FROM supplier UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.via) SELECT node, min(via) AS component FROM r GROUP BY 1"""
+)
+def site_components(spark, d):
+    s = t(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    a, b = s.alias("a"), s.alias("b")
+    e = a.join(b, (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey")) & (F.abs(F.col("a.s_acctbal") - F.col("b.s_acctbal")) < 1500))
+    return S.connected_components(e.select(F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b")), s.select(F.col("s_suppkey").alias("node")))
+
+
+@query(
+    """WITH s AS (SELECT o_custkey AS mol, l_orderkey AS site, list_distinct(list(l_partkey % 12)) AS v FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)
+    SELECT a.mol, a.site AS a, b.site AS b FROM s a JOIN s b ON a.mol = b.mol AND a.site < b.site WHERE 2 * len(list_intersect(a.v, b.v)) >= greatest(len(a.v), len(b.v))"""
+)
+def site_overlap(spark, d):
+    li = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("site"), F.pmod("l_partkey", F.lit(12)).alias("item"))
+    s = li.groupBy("site").agg(F.collect_set("item").alias("atoms")).join(t(spark, d, "orders").select(F.col("o_orderkey").alias("site"), F.col("o_custkey").alias("mol")), "site")
+    return S.overlap_edges(s, ["mol"], "site", "atoms")
+
+
+# --- windows
+
+
+@query(
+    """WITH g AS (SELECT event_id, user_id, ts, CASE WHEN lag(ts) OVER w IS NULL THEN 0 WHEN ts - lag(ts) OVER w > INTERVAL 12 HOUR THEN 1 ELSE 0 END AS brk FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    r AS (SELECT event_id, user_id, ts, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM g)
+    SELECT event_id, run, coalesce(lag(run, 1) OVER w = run, false) AS before_1, coalesce(lag(run, 2) OVER w = run, false) AS before_2, coalesce(lead(run, 1) OVER w = run, false) AS after_1, coalesce(lead(run, 2) OVER w = run, false) AS after_2
+    FROM r WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""
+)
+def flank_walk(spark, d):
+    e = t(spark, d, "events").select("event_id", "user_id", "ts")
+    gap = (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))) > 12 * 3600 * 1_000_000
+    # the table's timestamps carry no zone, so microseconds are taken after a cast
+    e = e.withColumn("ts", F.col("ts").cast("timestamp"))
+    return O.chain_walk(e, ["user_id"], ["ts", "event_id"], gap).select("event_id", "run", "before_1", "before_2", "after_1", "after_2")
+
+
+@query("WITH c AS (SELECT o_custkey, o_orderpriority AS cluster, count(*) AS size FROM orders GROUP BY 1, 2) SELECT o_custkey, cluster, size, row_number() OVER (PARTITION BY o_custkey ORDER BY size DESC, cluster) AS new_id FROM c")
+def cluster_renumber(spark, d):
+    c = t(spark, d, "orders").groupBy("o_custkey", F.col("o_orderpriority").alias("cluster")).agg(F.count("*").alias("size"))
+    return O.renumbered(c, ["o_custkey"])
+
+
+@query("SELECT o_orderkey, ntile(7) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS batch FROM orders")
+def batch_split(spark, d):
+    return O.batches(t(spark, d, "orders").select("o_orderkey", "o_orderpriority"), 7, ["o_orderkey"], ["o_orderpriority"]).select("o_orderkey", "batch")
+
+
+@query("SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_linenumber, l_partkey) AS rn FROM lineitem) WHERE rn = 1")
+def argmin_match(spark, d):
+    li = t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice")
+    return O.argmin(li, ["l_orderkey"], "l_extendedprice", ["l_linenumber", "l_partkey"])
+
+
+@query(
+    f"""WITH {SQL_LINES}, s AS (SELECT *, coalesce(max((l_discount <= 0.01)::INT) OVER (PARTITION BY l_orderkey ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stop FROM lines)
+    SELECT l_orderkey, pos, l_discount FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount, pos) AS rn FROM s WHERE stop = 0) WHERE rn = 1"""
+)
+def argmin_stopping(spark, d):
+    return O.argmin_stopping(lines(spark, d, "l_discount").select("l_orderkey", "pos", "l_discount"), ["l_orderkey"], "l_discount", "pos", 0.01)
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn = 1")
+def first_match(spark, d):
+    return O.first_match(t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"])
+
+
+@query("WITH c AS (SELECT p_type, p_brand, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY n DESC, first) AS place FROM c")
+def groups_by_members(spark, d):
+    c = t(spark, d, "part").groupBy("p_type", "p_brand").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
+    return O.ordered_by_members(c, "p_type", "n", "first")
+
+
+# --- scores: samples are ship modes of a supplier's nation, fragments are labels
+
+
+def _hits(spark, d):
+    return lines(spark, d, "l_discount").where("l_discount <= 0.03").select(F.concat(F.lit("s"), F.pmod("l_suppkey", F.lit(50)).cast("string")).alias("sample"), F.col("label").alias("frag"), F.when(F.pmod("l_partkey", F.lit(3)) == 0, 1).otherwise(2).alias("size"))
+
+
+def _samples(spark, d):
+    return spark.range(52).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("sample"))
+
+
+SQL_GRID = f"""{SQL_LINES}, hits AS (SELECT 's' || (l_suppkey % 50)::VARCHAR AS sample, label AS frag, CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 2 END AS size FROM lines WHERE l_discount <= 0.03),
+samples AS (SELECT 's' || i::VARCHAR AS sample FROM range(52) r(i)), frags AS (SELECT DISTINCT frag FROM hits), cnt AS (SELECT sample, frag, sum(CASE WHEN size = 1 THEN 0.5 ELSE 1.0 END)::DOUBLE AS v FROM hits GROUP BY 1, 2),
+grid AS (SELECT s.sample, f.frag, coalesce(v, 0) AS v FROM samples s CROSS JOIN frags f LEFT JOIN cnt c ON c.sample = s.sample AND c.frag = f.frag), m AS (SELECT frag, avg(v) AS m FROM grid GROUP BY 1)"""
+
+
+def _grid(spark, d):
+    return A.counted_grid(_hits(spark, d), _samples(spark, d), weight=A.size_weight(F.col("size")))
+
+
+@query(f"WITH {SQL_GRID} SELECT sample, round(avg(v / m), 6) AS score FROM grid JOIN m USING (frag) GROUP BY 1")
+def pose_score(spark, d):
+    return A.pose_scores(_grid(spark, d)).select("sample", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {SQL_GRID} SELECT sample, round(sum(ln((v + 1e-12) / (m + 1e-12))), 5) AS score FROM grid JOIN m USING (frag) GROUP BY 1")
+def log_odds_score(spark, d):
+    return A.log_odds_scores(_grid(spark, d)).select("sample", F.round("score", 5).alias("score"))
+
+
+@query(f"WITH {SQL_GRID}, s AS (SELECT sample, round(avg(v / m), 9) AS score FROM grid JOIN m USING (frag) GROUP BY 1) SELECT sample, row_number() OVER (ORDER BY score DESC, sample) AS rank FROM s")
+def pose_rank(spark, d):
+    s = A.pose_scores(_grid(spark, d)).select(F.lit(1).alias("g"), "sample", F.round("score", 9).alias("score"))
+    return O.pose_ranks(s, ["g"]).select("sample", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(
+    """WITH r AS (SELECT o_orderpriority, o_orderstatus, o_custkey, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus, o_custkey % 50 ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders)
+    SELECT o_orderpriority, o_orderstatus, sum((rank <= 2)::INT)::BIGINT AS top2, sum((rank = 3)::INT)::BIGINT AS third, sum((rank <= 3)::INT)::BIGINT AS total FROM r WHERE o_custkey % 7 = 0 GROUP BY 1, 2"""
+)
+def rank_rollup(spark, d):
+    o = t(spark, d, "orders").select("o_orderpriority", "o_orderstatus", "o_custkey", "o_orderkey", "o_totalprice", F.pmod("o_custkey", F.lit(50)).alias("b"))
+    r = O.pose_ranks(o, ["o_orderpriority", "o_orderstatus", "b"], "o_totalprice", "o_orderkey", F.pmod("o_custkey", F.lit(7)) == 0)
+    return A.rank_rollup(r, ["o_orderpriority", "o_orderstatus"])
+
+
+@query(
+    f"""WITH {SQL_GRID}, w AS (SELECT sample, {", ".join(f"count(*) FILTER (frag = '{a}')::DOUBLE AS \"{a}\"" for a in AA_CODES)} FROM hits GROUP BY 1),
+    b AS (SELECT *, {" + ".join(f'"{a}"' for a in AA_CODES)} AS total, false AS is_average FROM w)
+    SELECT * FROM b UNION ALL SELECT 'Average', {", ".join(f'round_even(avg("{a}"), 2)' for a in [*AA_CODES, "total"])}, true FROM b"""
+)
+def hit_pivot(spark, d):
+    return A.hit_pivot(_hits(spark, d), list(AA_CODES))
+
+
+# --- space: customers are points of their nation
+
+_PTS = "p AS (SELECT c_custkey AS id, c_nationkey AS pdb_id, c_acctbal / 100 AS x, (c_custkey * 7 % 97)::DOUBLE AS y, (c_custkey * 13 % 89)::DOUBLE AS z, ['C', 'N', 'O', 'Cl', 'Xx'][(c_custkey % 5)::INT + 1] AS element FROM customer)"
+_D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
+
+
+def points(spark, d):
+    k = F.col("c_custkey")
+    el = F.element_at(F.array(*(F.lit(e) for e in ("C", "N", "O", "Cl", "Xx"))), F.pmod(k, F.lit(5)).cast("int") + 1)
+    return t(spark, d, "customer").select(k.alias("id"), F.col("c_nationkey").alias("pdb_id"), (F.col("c_acctbal") / 100).alias("x"), F.pmod(k * 7, F.lit(97)).cast("double").alias("y"), F.pmod(k * 13, F.lit(89)).cast("double").alias("z"), el.alias("element"))
+
+
+@query(f"WITH {_PTS} SELECT a.pdb_id, a.id AS id_l, b.id AS id_r, round(sqrt({_D2}), 6) AS distance FROM p a JOIN p b ON a.pdb_id = b.pdb_id AND {_D2} <= 10 * 10")
+def radius_join(spark, d):
+    p = points(spark, d)
+    return J.radius_join(p, p, 10.0, ("pdb_id",)).select("pdb_id", "id_l", "id_r", F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH {_PTS} SELECT a.pdb_id, a.id AS src, b.id AS dst FROM p a JOIN p b ON a.pdb_id = b.pdb_id AND a.id <> b.id AND {_D2} < 18 * 18")
+def bond_pairs(spark, d):
+    return J.bond_pairs(points(spark, d), 18.0, node="id")
+
+
+_RAD = "CASE {c} " + " ".join(f"WHEN '{e}' THEN {r}" for e, r in VDW_RADII.items()) + f" ELSE {max(VDW_RADII.values())} END"
+
+
+@query(
+    f"""WITH {_PTS}, q AS (SELECT *, x / 8 AS qx FROM p), s AS (SELECT id, pdb_id, x / 8 AS x, y / 8 AS y, z / 8 AS z, element FROM p)
+    SELECT a.id AS id_l, b.id AS id_r FROM s a JOIN s b ON a.pdb_id = b.pdb_id AND a.id < b.id
+    WHERE sqrt({_D2}) < ({_RAD.format(c="a.element")}) + ({_RAD.format(c="b.element")}) - CASE WHEN a.element IN ('N', 'O') AND b.element IN ('N', 'O') THEN 0.6 ELSE 0.4 END"""
+)
+def clash_pairs(spark, d):
+    p = points(spark, d).select("id", "pdb_id", "element", *((F.col(c) / 8).alias(c) for c in "xyz"))
+    return J.clash_pairs(p, p, ("pdb_id",)).where("id_l < id_r").select("id_l", "id_r")
+
+
+@query(
+    f"""WITH {_PTS}, m AS (SELECT a.id, min(sqrt({_D2})) FILTER (b.id % 2 = 0) AS sc, min(sqrt({_D2})) FILTER (b.id % 2 = 1) AS bb FROM p a JOIN p b ON a.pdb_id = b.pdb_id AND a.id <> b.id WHERE {_D2} <= 20 * 20 GROUP BY 1)
+    SELECT id, CASE WHEN sc IS NULL THEN 'bb' WHEN sc <= 4.4 THEN 'aa' WHEN bb < sc AND sc - bb > 0.3 THEN 'bb' ELSE 'aa' END AS label FROM m"""
+)
+def contact_class(spark, d):
+    from ..operators.environments import contact_label
+
+    p = points(spark, d).select("id", "pdb_id", "x", "y", "z")
+    near = J.radius_join(p, p, 20.0, ("pdb_id",)).where("id_l != id_r")
+    side = F.pmod("id_r", F.lit(2)) == 0
+    m = near.groupBy(F.col("id_l").alias("id")).agg(F.min(F.when(side, F.col("distance"))).alias("sc"), F.min(F.when(~side, F.col("distance"))).alias("bb"))
+    return m.select("id", contact_label(F.lit("aa"), F.col("sc"), F.col("bb")).alias("label"))
+
+
+@query("SELECT c_nationkey, round(avg(c_acctbal), 6) AS x, round(avg(c_custkey * 7 % 97), 6) AS y, round(avg(c_custkey * 13 % 89), 6) AS z FROM customer GROUP BY 1")
+def centroids(spark, d):
+    c = t(spark, d, "customer").select("c_nationkey", F.col("c_acctbal").alias("x"), F.pmod(F.col("c_custkey") * 7, F.lit(97)).alias("y"), F.pmod(F.col("c_custkey") * 13, F.lit(89)).alias("z"))
+    return A.centroids(c, ["c_nationkey"]).select("c_nationkey", *(F.round(k, 6).alias(k) for k in "xyz"))
+
+
+@query(
+    f"""WITH {_PTS}, m AS (SELECT count(*) AS n, covar_samp(x, x) * 0.04 AS xx, covar_samp(x, y) * 0.04 AS xy, covar_samp(x, z) * 0.04 AS xz, covar_samp(y, y) * 0.04 AS yy, covar_samp(y, z) * 0.04 AS yz, covar_samp(z, z) * 0.04 AS zz,
+      min(x) - 5 AS x0, min(y) - 5 AS y0, min(z) - 5 AS z0, max(x) + 5 AS x1, max(y) + 5 AS y1, max(z) + 5 AS z1 FROM p),
+    dt AS (SELECT *, xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz) AS det FROM m),
+    g AS (SELECT ix, iy, iz, x0 + ix * (x1 - x0) / 5 AS x, y0 + iy * (y1 - y0) / 5 AS y, z0 + iz * (z1 - z0) / 5 AS z FROM dt, range(6) a(ix), range(6) b(iy), range(6) c(iz)),
+    q AS (SELECT ix, iy, iz, g.x - p.x AS dx, g.y - p.y AS dy, g.z - p.z AS dz FROM g, p)
+    SELECT ix::INT AS ix, iy::INT AS iy, iz::INT AS iz, round(1e6 * sum(exp(-0.5 * (dx * dx * (yy * zz - yz * yz) + dy * dy * (xx * zz - xz * xz) + dz * dz * (xx * yy - xy * xy)
+      + 2 * (dx * dy * (xz * yz - xy * zz) + dx * dz * (xy * yz - xz * yy) + dy * dz * (xy * xz - xx * yz))) / det)) / (any_value(n) * sqrt(pow(2 * pi(), 3) * any_value(det))), 4) AS density FROM q, dt GROUP BY 1, 2, 3"""
+)
+def kde_grid(spark, d):
+    return D.kde_grid(points(spark, d), steps=6).select("ix", "iy", "iz", F.round(F.col("density") * 1e6, 4).alias("density"))
+
+
+# --- arrays and vectors
+
+_COORDS = "e AS (SELECT vec_id, label, [[embedding[3 * i + 1]::DOUBLE, embedding[3 * i + 2]::DOUBLE, embedding[3 * i + 3]::DOUBLE] for i in range(21)] AS c FROM embeddings)"
+
+
+def coords(spark, d):
+    c = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.element_at("embedding", i * 3 + k).cast("double")))
+    return t(spark, d, "embeddings").select("vec_id", "label", c.alias("c"))
+
+
+@query(
+    f"WITH {_COORDS} SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum([(x[1] - x[2]) * (x[1] - x[2]) for x in list_zip(flatten(a.c), flatten(b.c))]) / 21), 6) AS rmsd FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id"
+)
+def inplace_rmsd(spark, d):
+    e = coords(spark, d)
+    a, b = e.select("label", F.col("vec_id").alias("a"), F.col("c").alias("ca")), e.select("label", F.col("vec_id").alias("b"), F.col("c").alias("cb"))
+    return a.join(b, "label").where("a < b").select("a", "b", F.round(G.inplace_rmsd(F.col("ca"), F.col("cb")), 6).alias("rmsd"))
+
+
+@query(
+    """WITH p AS (SELECT a.label, a.vec_id AS a, sum(sqrt(list_sum([(x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE) for x in list_zip(a.embedding, b.embedding)]))) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label GROUP BY 1, 2)
+    SELECT label, a AS medoid FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(s, 6), a) AS rn FROM p) WHERE rn = 1"""
+)
+def exact_medoid(spark, d):
+    e = t(spark, d, "embeddings")
+    a, b = e.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("va")), e.select("label", F.col("embedding").alias("vb"))
+    dist = F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda p, q: F.pow(p.cast("double") - q.cast("double"), 2)), F.lit(0.0), lambda s, v: s + v))
+    s = a.join(b, "label").groupBy("label", "a").agg(F.round(F.sum(dist), 6).alias("s"))
+    return s.groupBy("label").agg(F.min_by("a", F.struct("s", "a")).alias("medoid"))
+
+
+@query(
+    f"""WITH {SQL_LINES}, g AS (SELECT l_orderkey, list(pos - 1 ORDER BY l_partkey, l_suppkey, pos) AS m, list(label ORDER BY pos) AS v FROM lines GROUP BY 1)
+    SELECT l_orderkey, array_to_string([(list_position(m, i) - 1)::VARCHAR for i in range(len(m))], ',') AS inverse, array_to_string([v[i + 1] for i in m], ',') AS gathered FROM g"""
+)
+def gather_and_invert(spark, d):
+    g = lines(spark, d).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_partkey", "l_suppkey", "pos"))).alias("z"), F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("y"))
+    g = g.select("l_orderkey", F.transform("z", lambda x: (x["pos"] - 1).cast("int")).alias("m"), F.transform("y", lambda x: x["label"]).alias("v"))
+    return g.select("l_orderkey", F.array_join(F.transform(R.invert_match(F.col("m"), F.size("m")), lambda x: x.cast("string")), ",").alias("inverse"), F.array_join(R.gather(F.col("v"), F.col("m")), ",").alias("gathered"))
+
+
+@query(
+    f"""WITH {SQL_PAIRS}, x AS (SELECT l_orderkey, pos, label, other, unnest(CASE WHEN label = other THEN [0, 1] ELSE [0] END) AS o FROM pairs)
+    SELECT l_orderkey, pos, o::BIGINT AS perm, CASE WHEN o = 0 THEN '0,1' ELSE '1,0' END AS places FROM x"""
+)
+def duplicate_permutations(spark, d):
+    p = pairs(spark, d).select("l_orderkey", "pos", F.posexplode(R.duplicate_label_permutations(F.array("label", "other"))).alias("perm", "places"))
+    return p.select("l_orderkey", "pos", F.col("perm").cast("bigint").alias("perm"), F.array_join(F.transform("places", lambda x: x.cast("string")), ",").alias("places"))
