@@ -5,9 +5,10 @@ nodes whose sets have a Jaccard similarity of t or more must pass all of these f
 
 1. Hash order: of the first ``|x| - ceil(t |x|) + l`` tokens of each in the order of their hashes
    they share l, with l growing with the set. A node of which too few of these tokens occur in
-   any other node drops out, with its text never shuffled for it.
-2. Frequency order over what is left: they share a token of the rarest ones, after l - 1 of the
-   most frequent are dropped. This gives the candidate pairs.
+   any other node drops out; only the others' whole sets are looked at from here on.
+2. Frequency order: they share one of the ``|x| - ceil(t |x|) + 1`` rarest tokens of each, counted
+   over the nodes that are left. Tokens of passages that many texts share come last, so they
+   don't make candidates. This gives the candidate pairs.
 3. A second hash order: their plain prefixes under it meet. This is tested on the candidates.
 
 Then the whole sets of a candidate pair are intersected, so links are exact (to hashes).
@@ -198,15 +199,46 @@ def _shared_tokens(blobs: DataFrame, buckets: int) -> DataFrame:
     return blobs.groupBy("bucket").applyInPandas(run, BLOB)
 
 
+def _enough_shared(shared: DataFrame, rules: JaccardRules) -> DataFrame:
+    """Nodes of which enough tokens of the first filter occur elsewhere."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        _, own, node, n, _ = _gathered(g, "<u2", True)
+        return pd.DataFrame({"node": node[np.bincount(own, minlength=len(node)) >= shared_prefix(least_overlap(n, rules), rules)]})
+
+    return shared.groupBy("bucket").applyInPandas(run, "node long")
+
+
+def _whole_blobs(texts: DataFrame, rules: JaccardRules, buckets: int) -> DataFrame:
+    """All tokens of every node left, by token bucket."""
+
+    def run(batches):
+        for batch in batches:
+            name, tok, n = [], [], []
+            for r, t in token_sets(batch.column(1), rules):
+                name.append(batch.column(0)[r].as_py())
+                tok.append(t >> np.uint64(16))
+                n.append(len(t))
+            if tok:
+                own = np.repeat(np.arange(len(tok)), n)
+                tok = np.concatenate(tok)
+                yield _blobs(tok, own, (tok % np.uint64(buckets)).astype(np.int64), np.array(name, np.int64), np.array(n), None, False)
+
+    return texts.select("node", "text").mapInArrow(run, BLOB)
+
+
 def _rare_prefixes(shared: DataFrame, rules: JaccardRules) -> DataFrame:
-    """Filter 2: node, n, c (its shared tokens), tok (the rarest of them) of nodes with enough of them."""
+    """Filter 2: node, n, c (its shared tokens), tok (those among its rarest tokens) of nodes that have any.
+
+    A token that no other node has is rarer than any other, so those take the prefix first.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         tok, own, node, n, df = _gathered(g, "<u2", True)
         order = np.lexsort((tok, df, own))
         tok, own = tok[order], own[order]
         c = np.bincount(own, minlength=len(node))
-        keep = c - shared_prefix(least_overlap(n, rules), rules) + 1
+        keep = n - least_overlap(n, rules) + 1 - (n - c)
         first = np.cumsum(c) - c
         good = np.flatnonzero(keep > 0)
         return pd.DataFrame({"node": node[good], "n": n[good], "c": c[good], "tok": [tok[first[i] : first[i] + keep[i]].tobytes() for i in good]})
@@ -243,7 +275,17 @@ def _candidates(prefixes: DataFrame, rules: JaccardRules, buckets: int, all_pair
         tok, own = tok[order], own[order]
         start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
         size = np.diff(np.append(start, len(tok)))
-        left, right = [], []
+        left, right, held, codes = [], [], 0, []
+
+        def squeeze() -> None:
+            """Pairs of components and sizes that fit, each once, so that memory follows them alone."""
+            i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+            ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= least_overlap(np.maximum(n[i], n[j]), rules))
+            i, j = i[ok], j[ok]
+            codes.append(np.unique(np.minimum(i, j) * len(node) + np.maximum(i, j), return_counts=True))
+            left.clear()
+            right.clear()
+
         if not all_pairs:
             same = tok[1:] == tok[:-1]
             left.append(own[:-1][same])
@@ -268,10 +310,13 @@ def _candidates(prefixes: DataFrame, rules: JaccardRules, buckets: int, all_pair
                 far = comp[o[i]] != comp[o[j]]
                 left.append(o[i[far]])
                 right.append(o[j[far]])
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= least_overlap(np.maximum(n[i], n[j]), rules))
-        i, j = i[ok], j[ok]
-        code, hits = np.unique(np.minimum(i, j) * len(node) + np.maximum(i, j), return_counts=True)
+                held += int(far.sum())
+                if held > 1_000_000:
+                    squeeze()
+                    held = 0
+        squeeze()
+        code, at = np.unique(np.concatenate([c for c, _ in codes]), return_inverse=True)
+        hits = np.bincount(at, np.concatenate([h for _, h in codes]), len(code)).astype(np.int64)
         x, y = node[code // max(len(node), 1)], node[code % max(len(node), 1)]
         return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "hits": hits})
 
@@ -328,12 +373,15 @@ def links(docs: DataFrame, members: DataFrame, rules: JaccardRules, key: str = "
     tokens = first.agg(F.sum("n")).first()[0] or 0
     share = (100 - rules.per_cent) / 100 + 1 / rules.extra
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(tokens * share / rules.bucket_tokens) + 1)
-    shared = _shared_tokens(_prefix_blobs(docs, rules, buckets, text), buckets)
-    prefixes = written(_rare_prefixes(shared, rules), "prefixes")
+    left = saved(_enough_shared(_shared_tokens(_prefix_blobs(docs, rules, buckets, text), buckets), rules))
     _settle(spark)
-    wanted = prefixes.select("node").join(first.select("node", F.col("best.place").alias("place")), "node")
+    wanted = left.join(first.select("node", "n", F.col("best.place").alias("place")), "node")
     placed = docs.select(F.monotonically_increasing_id().alias("place"), F.col(text).cast("string").alias("text"))
-    texts = written(placed.join(wanted, "place").select("node", "text"), "texts")
+    texts = written(placed.join(wanted, "place").select("node", "n", "text"), "texts")
+    _settle(spark)
+    tokens = texts.agg(F.sum("n")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(tokens / rules.bucket_tokens) + 1)
+    prefixes = written(_rare_prefixes(_shared_tokens(_whole_blobs(texts, rules, buckets), buckets), rules), "prefixes")
     _settle(spark)
     found = None
     for step in range(1 if every else rules.linear_rounds + 1):
