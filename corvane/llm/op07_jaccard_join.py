@@ -16,8 +16,10 @@ Then the whole sets of a candidate pair are intersected, so links are exact (to
 Components need not visit every candidate: first every node is tested against the one candidate
 that shares most rare tokens with it (hubs and neighbours in size only, so that a group of
 thousands of near copies gives a linear number of pairs); then again between the components so
-found; at last all candidates that lie in different components are tested, so none is lost.
-:func:`links` with no components tests them all.
+found. At last all candidates that still lie in different components are tested, so none is
+lost: nodes are laid in blocks, related ones side by side, and each pair of blocks with any
+candidate is compared in one task that gives links and no pairs. :func:`links` with ``every``
+tests all candidates so, and gives all links.
 
 Tokens travel as sorted blobs by token range, at most ``bucket_tokens`` a bucket on average.
 Defined results: texts with fewer words than a shingle have their word sequence as the one
@@ -42,6 +44,7 @@ from pyspark.sql import functions as F
 from . import textcore as tc
 from .common import saved, written
 from .components import connected_components
+from .op04_sharding import numbered
 
 
 @dataclass(frozen=True)
@@ -52,6 +55,8 @@ class JaccardRules:
     extra: int = 5
     bucket_tokens: int = 1_000_000
     linear_rounds: int = 2
+    #: Nodes whose sets a task compares with as many others at once.
+    block_nodes: int = 256
 
 
 def least_overlap(n, rules: JaccardRules):
@@ -159,11 +164,18 @@ def _gathered(g: pd.DataFrame, kind, per_token: bool) -> tuple[np.ndarray, ...]:
     return tok, inverse[own], name, n[first].astype(np.int64), extra if per_token or not len(extra) else extra[first]
 
 
+def _parts(batches) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that their tokens stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            yield batch.slice(at, 2000)
+
+
 def _prefix_blobs(docs: DataFrame, rules: JaccardRules, buckets: int, text: str) -> DataFrame:
     """Filter 1: the first tokens in hash order of every node, by token bucket."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             seen, tok, n = {}, [], []
             for _, t in token_sets(batch.column(0), rules):
                 if not len(t) or (name := node_of(t)) in seen:
@@ -213,7 +225,7 @@ def _whole_blobs(texts: DataFrame, rules: JaccardRules, buckets: int) -> DataFra
     """All tokens of every node left, by token bucket."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             name, tok, n = [], [], []
             for r, t in token_sets(batch.column(1), rules):
                 name.append(batch.column(0)[r].as_py())
@@ -249,23 +261,29 @@ def _rare_prefixes(shared: DataFrame, rules: JaccardRules) -> DataFrame:
 PAIRS = "a long, b long, hits long"
 
 
-def _candidates(prefixes: DataFrame, rules: JaccardRules, buckets: int, all_pairs: bool) -> DataFrame:
-    """Pairs of nodes of different components that share a rare token, with the number of such tokens.
-
-    all_pairs False gives of each token only its hub with every node, and neighbours in size.
-    prefixes has a column component. The number of hits is a hint: pairs of one bucket are summed.
-    """
+def _spread(prefixes: DataFrame, buckets: int) -> DataFrame:
+    """Prefix tokens by token bucket. prefixes: node, n, tok and two numbers that go along."""
 
-    def spread(batches):
+    def run(batches):
         for batch in batches:
-            t = [np.sort(np.frombuffer(x, np.uint64)) for x in batch.column(3).to_pylist()]
+            t = [np.sort(np.frombuffer(x, np.uint64)) for x in batch.column(2).to_pylist()]
             own = np.repeat(np.arange(len(t)), [len(x) for x in t])
             tok = np.concatenate(t) if t else np.zeros(0, np.uint64)
-            extra = np.column_stack([batch.column(2).to_numpy(), batch.column(4).to_numpy()]).astype(np.int64)
+            extra = np.column_stack([batch.column(3).to_numpy(), batch.column(4).to_numpy()]).astype(np.int64)
             out = _blobs(tok, own, (tok % np.uint64(buckets)).astype(np.int64), batch.column(0).to_numpy(), batch.column(1).to_numpy(), extra, False)
             if out is not None:
                 yield out
 
+    return prefixes.mapInArrow(run, BLOB)
+
+
+def _candidates(prefixes: DataFrame, rules: JaccardRules, buckets: int) -> DataFrame:
+    """Pairs of nodes of different components, with the number of rare tokens that they share there.
+
+    Of each token only its hub with every node, and neighbours in size: the pairs grow with the
+    prefixes, not with their square. The hub is the node of which most tokens occur elsewhere.
+    """
+
     def pairs(g: pd.DataFrame) -> pd.DataFrame:
         g = g.copy()
         tok, own, node, n, extra = _gathered_pairs(g)
@@ -275,55 +293,123 @@ def _candidates(prefixes: DataFrame, rules: JaccardRules, buckets: int, all_pair
         tok, own = tok[order], own[order]
         start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
         size = np.diff(np.append(start, len(tok)))
-        left, right, held, codes = [], [], 0, []
-
-        def squeeze() -> None:
-            """Pairs of components and sizes that fit, each once, so that memory follows them alone."""
-            i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-            ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= least_overlap(np.maximum(n[i], n[j]), rules))
-            i, j = i[ok], j[ok]
-            codes.append(np.unique(np.minimum(i, j) * len(node) + np.maximum(i, j), return_counts=True))
-            left.clear()
-            right.clear()
-
-        if not all_pairs:
-            same = tok[1:] == tok[:-1]
-            left.append(own[:-1][same])
-            right.append(own[1:][same])
-            best = np.minimum.reduceat(centre[own], start) if len(own) else np.zeros(0, np.int64)
-            hub = np.argsort(centre)[best]
-            left.append(np.repeat(hub, size))
-            right.append(own)
-        else:
-            for s, m in zip(start[size > 1], size[size > 1]):
-                o = own[s : s + m]
-                if m == 2:
-                    left.append(o[:1])
-                    right.append(o[1:])
-                    continue
-                if (comp[o] == comp[o[0]]).all():
-                    continue
-                past = np.searchsorted(n[o], n[o] * 100 // rules.per_cent, "right")  # sizes rise
-                reach = np.maximum(past - np.arange(m) - 1, 0)
-                i = np.repeat(np.arange(m), reach)
-                j = np.arange(len(i)) - np.repeat(np.cumsum(reach) - reach, reach) + i + 1
-                far = comp[o[i]] != comp[o[j]]
-                left.append(o[i[far]])
-                right.append(o[j[far]])
-                held += int(far.sum())
-                if held > 1_000_000:
-                    squeeze()
-                    held = 0
-        squeeze()
-        code, at = np.unique(np.concatenate([c for c, _ in codes]), return_inverse=True)
-        hits = np.bincount(at, np.concatenate([h for _, h in codes]), len(code)).astype(np.int64)
+        same = tok[1:] == tok[:-1]
+        best = np.minimum.reduceat(centre[own], start) if len(own) else np.zeros(0, np.int64)
+        i = np.concatenate([own[:-1][same], np.repeat(np.argsort(centre)[best], size)])
+        j = np.concatenate([own[1:][same], own])
+        ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= least_overlap(np.maximum(n[i], n[j]), rules))
+        i, j = i[ok], j[ok]
+        code, hits = np.unique(np.minimum(i, j) * len(node) + np.maximum(i, j), return_counts=True)
         x, y = node[code // max(len(node), 1)], node[code % max(len(node), 1)]
         return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "hits": hits})
 
-    blobs = prefixes.select("node", "n", "c", "tok", "component").mapInArrow(spread, BLOB)
+    blobs = _spread(prefixes.select("node", "n", "tok", "c", "component"), buckets)
     return blobs.groupBy("bucket").applyInPandas(pairs, PAIRS)
 
 
+def _block_pairs(placed: DataFrame, buckets: int) -> DataFrame:
+    """Pairs of blocks (i <= j) with nodes of different components that share a rare token."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        tok, own, node, n, extra = _gathered_pairs(g.copy())
+        block, comp = extra[own, 0], extra[own, 1]
+        order = np.lexsort((block, tok))
+        tok, block, comp = tok[order], block[order], comp[order]
+        start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+        mixed = np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
+        found: set[tuple[int, int]] = set()
+        for a, b in zip(start[mixed].tolist(), np.append(start[1:], len(tok))[mixed].tolist()):
+            u = np.unique(block[a:b]).tolist()
+            found.update((x, y) for k, x in enumerate(u) for y in u[k:])
+        return pd.DataFrame(sorted(found), columns=["i", "j"])
+
+    blobs = _spread(placed.select("node", "n", "tok", "block", "component"), buckets)
+    return blobs.groupBy("bucket").applyInPandas(run, "i long, j long").distinct()
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of a with every one of b, by incidence products."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    flat_a, flat_b = np.concatenate([*a, np.zeros(0, np.uint64)]), np.concatenate([*b, np.zeros(0, np.uint64)])
+    shared = np.intersect1d(flat_a, flat_b)
+    if not len(shared):
+        return out.astype(np.int64)
+    sides = []
+    for sets, flat in ((a, flat_a), (b, flat_b)):
+        own = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(shared, flat), len(shared) - 1)
+        hit = shared[at] == flat
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((at[hit][order], own[hit][order]))
+    for lo in range(0, len(shared), 4096):
+        parts = []
+        for (at, own), n in zip(sides, (len(a), len(b))):
+            x, y = np.searchsorted(at, [lo, lo + 4096])
+            m = np.zeros((n, 4096), np.float32)
+            m[own[x:y], at[x:y] - lo] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def _second_prefix(t: np.ndarray, rules: JaccardRules) -> np.ndarray:
+    """Filter 3: the first tokens of a set in the second hash order."""
+    other = tc.mix(t ^ np.uint64(0xABCD1234567))
+    k = len(t) - least_overlap(len(t), rules) + 1
+    return np.partition(other, k - 1)[:k]
+
+
+def _verified_blocks(placed: DataFrame, pairs: DataFrame, texts: DataFrame, rules: JaccardRules, every: bool) -> DataFrame:
+    """Links between nodes of different components in any pair of blocks.
+
+    All filters and the whole sets are compared as products of incidence matrices, so a task
+    gets two blocks and gives links only: all of them, or those that join components.
+    """
+    members = placed.select("block", "node", "component", "tok").join(texts.select("node", "text"), "node")
+    need = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")).join(members, "block")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["block", "node"]).reset_index(drop=True)
+        sets = [t for _, t in token_sets(pa.array(g["text"]), rules)]
+        rare = [np.sort(np.frombuffer(x, np.uint64)) for x in g["tok"]]
+        second = [_second_prefix(t, rules) for t in sets]
+        node, comp, n = g["node"].to_numpy(), g["component"].to_numpy(), np.array([len(t) for t in sets])
+        left = np.flatnonzero(g["block"] == g["i"])
+        right = np.flatnonzero(g["block"] == g["j"])
+        pick = lambda x, at: [x[k] for k in at]
+        ni, nj = n[left][:, None], n[right][None]
+        ok = (comp[left][:, None] != comp[right][None]) & (np.minimum(ni, nj) >= least_overlap(np.maximum(ni, nj), rules))
+        ok &= (node[left][:, None] < node[right][None]) if g["i"].iloc[0] == g["j"].iloc[0] else True
+        if ok.any():
+            ok &= overlaps(pick(rare, left), pick(rare, right)) > 0
+        if ok.any():
+            ok &= overlaps(pick(second, left), pick(second, right)) > 0
+        if ok.any():
+            both = overlaps(pick(sets, left), pick(sets, right))
+            ok &= 100 * both >= rules.per_cent * (ni + nj - both)
+        x, y = np.nonzero(ok)
+        a, b, ca, cb = node[left[x]], node[right[y]], comp[left[x]], comp[right[y]]
+        if not every:  # links of components already joined here add nothing
+            up: dict[int, int] = {}
+
+            def find(k: int) -> int:
+                while up.setdefault(k, k) != k:
+                    up[k] = up[up[k]]
+                    k = up[k]
+                return k
+
+            keep = np.zeros(len(a), bool)
+            for k, (p, q) in enumerate(zip(ca.tolist(), cb.tolist())):
+                p, q = find(p), find(q)
+                if p != q:
+                    up[max(p, q)] = min(p, q)
+                    keep[k] = True
+            a, b = a[keep], b[keep]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return need.groupBy("i", "j").applyInPandas(run, "a long, b long")
+
+
 def _gathered_pairs(g: pd.DataFrame):
     """Like _gathered, with the two extra values of each node."""
     extra = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in g["extra"]])
@@ -336,12 +422,7 @@ def _gathered_pairs(g: pd.DataFrame):
 
 def similar(a: np.ndarray, b: np.ndarray, rules: JaccardRules) -> bool:
     """Filter 3, then the whole sets. a, b: sorted distinct tokens."""
-    first = []
-    for t in (a, b):
-        other = tc.mix(t ^ np.uint64(0xABCD1234567))
-        k = len(t) - least_overlap(len(t), rules) + 1
-        first.append(np.partition(other, k - 1)[:k])
-    if not np.isin(first[0], first[1]).any():
+    if not np.isin(_second_prefix(a, rules), _second_prefix(b, rules)).any():
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= rules.per_cent * (len(a) + len(b) - both)
@@ -352,7 +433,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, rules: JaccardRules) -> DataFr
     joined = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             sets = [[t for _, t in token_sets(batch.column(i), rules)] for i in (2, 3)]
             ok = pa.array([similar(x, y, rules) for x, y in zip(*sets)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
@@ -383,26 +464,23 @@ def links(docs: DataFrame, members: DataFrame, rules: JaccardRules, key: str = "
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(tokens / rules.bucket_tokens) + 1)
     prefixes = written(_rare_prefixes(_shared_tokens(_whole_blobs(texts, rules, buckets), buckets), rules), "prefixes")
     _settle(spark)
-    found = None
-    for step in range(1 if every else rules.linear_rounds + 1):
-        last = every or step == rules.linear_rounds
-        if found is None:
-            current = prefixes.withColumn("component", F.col("node"))
-        else:
-            components = connected_components(found)
-            current = prefixes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs = _candidates(current, rules, buckets, last)
-        if last:
-            pairs = pairs.select("a", "b").distinct()
-        else:
-            pairs = pairs.groupBy("a", "b").agg(F.sum("hits").alias("hits"))
-            ends = pairs.select("a", "b", "hits", F.explode(F.array("a", "b")).alias("node"))
-            best = ends.groupBy("node").agg(F.max(F.struct("hits", "a", "b")).alias("best"))
-            pairs = best.select("best.a", "best.b").distinct()
-        new = saved(_verified(pairs, texts, rules))
+    current = prefixes.withColumn("component", F.col("node"))
+    stars = saved(_candidates(current, rules, buckets).groupBy("a", "b").agg(F.sum("hits").alias("hits")))
+    families = connected_components(stars).withColumnRenamed("component", "family")
+    found, pairs = None, stars
+    for _ in range(0 if every else rules.linear_rounds):
+        ends = pairs.select("a", "b", "hits", F.explode(F.array("a", "b")).alias("node"))
+        best = ends.groupBy("node").agg(F.max(F.struct("hits", "a", "b")).alias("best"))
+        new = saved(_verified(best.select("best.a", "best.b").distinct(), texts, rules))
         found = new if found is None else found.unionByName(new)
+        current = saved(prefixes.join(connected_components(found), "node", "left").withColumn("component", F.coalesce("component", "node")))
+        pairs = _candidates(current, rules, buckets).groupBy("a", "b").agg(F.sum("hits").alias("hits"))
         _settle(spark)
-    return found
+    placed = current.join(families, "node", "left").withColumn("family", F.coalesce("family", "node"))
+    placed, _ = numbered(placed.select("family", "component", "node", "n", "tok"), ["family", "component", "node"])
+    placed = placed.withColumn("block", F.expr(f"row_number div {rules.block_nodes}"))
+    last = saved(_verified_blocks(placed, _block_pairs(placed, buckets), texts, rules, every))
+    return last if found is None else found.unionByName(last)
 
 
 def jaccard_components(docs: DataFrame, rules: JaccardRules | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

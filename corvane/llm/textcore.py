@@ -117,7 +117,7 @@ def strings(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs.astype(np.int64)
 
 
-def slices(offs: np.ndarray, most: int = 6 << 20) -> Iterator[tuple[int, int]]:
+def slices(offs: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of documents of at most so many bytes, or of one document."""
     a, n = 0, len(offs) - 1
     while a < n:
