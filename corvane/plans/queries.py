@@ -564,3 +564,82 @@ def gather_and_invert(spark, d):
 def duplicate_permutations(spark, d):
     p = pairs(spark, d).select("l_orderkey", "pos", F.posexplode(R.duplicate_label_permutations(F.array("label", "other"))).alias("perm", "places"))
     return p.select("l_orderkey", "pos", F.col("perm").cast("bigint").alias("perm"), F.array_join(F.transform("places", lambda x: x.cast("string")), ",").alias("places"))
+
+
+# --- results that SQL can't express: superposition, sequential clustering, molecular graphs
+
+
+@query()
+def kabsch_rmsd(spark, d):
+    e = coords(spark, d)
+    a, b = e.select(F.col("vec_id").alias("a"), F.col("c").alias("ca"), (F.col("vec_id") + 1).alias("b")), e.select(F.col("vec_id").alias("b"), F.col("c").alias("cb"))
+    return a.join(b, "b").select("a", "b", F.round(G.kabsch_rmsd("ca", "cb"), 6).alias("rmsd"))
+
+
+@query()
+def leader_clusters(spark, d):
+    from ..operators.clustering import cluster_vectors
+
+    return cluster_vectors(t(spark, d, "embeddings").select("label", "vec_id", "embedding"), ["label"], "embedding", "vec_id", 0.9)
+
+
+@query()
+def diversity_topk(spark, d):
+    from ..operators.clustering import diverse_rows
+
+    c = t(spark, d, "customer").select("c_nationkey", "c_custkey", F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 4).alias("id"))
+    return diverse_rows(c, ["c_nationkey"], "id", "c_custkey", 10)
+
+
+@query()
+def redundant_networks(spark, d):
+    from ..operators.clustering import deduplicated_networks
+
+    li = t(spark, d, "lineitem").select("l_orderkey", F.struct(F.lit("").alias("seg"), F.lit("A").alias("chain"), F.pmod("l_partkey", F.lit(6)).cast("int").alias("resnum"), F.lit("P").alias("resname")).alias("r"))
+    n = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("r")).alias("residues")).join(t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    lig = F.struct(F.lit("").alias("seg"), F.lit("L").alias("chain"), F.col("l_orderkey").cast("int").alias("resnum"), F.col("o_custkey").cast("string").alias("resname"))
+    nets = n.select(F.lpad(F.pmod("l_orderkey", F.lit(40)).cast("string"), 4, "0").alias("pdb_file"), lig.alias("lig"), "residues")
+    return deduplicated_networks(nets).select("pdb_file", F.col("lig.resname").cast("bigint").alias("o_custkey"), F.col("lig.resnum").cast("bigint").alias("l_orderkey"))
+
+
+_SMILES = ["CC(=O)[O-]", "CCC(=O)NC", "c1ccccc1O", "CS(=O)(=O)N", "CC(C)CO", "C[N+](C)(C)C", "n1cc[nH]c1CC", "OC(=O)CCCCC(=O)O", "CCBr", "CC#N"]
+
+
+def _ligands(spark, d):
+    s = F.element_at(F.array(*(F.lit(x) for x in _SMILES)), F.pmod("p_partkey", F.lit(len(_SMILES))).cast("int") + 1)
+    return t(spark, d, "part").select(s.alias("smiles"), F.col("p_partkey").cast("string").alias("lig_id"), F.lit("").alias("name"))
+
+
+@query()
+def smiles_fragments(spark, d):
+    from ..operators import chemistry as H
+
+    return H.qualifying_fragments(H.fragment_dictionary(H.ligand_fragments(_ligands(spark, d))), least=10)
+
+
+@query()
+def wl_symmetry(spark, d):
+    from ..operators import chemistry as H
+
+    return _ligands(spark, d).select("lig_id", "smiles", H.symmetry_string("smiles").alias("symmetry"), H.canonical_key("smiles").alias("canonical"))
+
+
+@query()
+def two_stage_library(spark, d):
+    """Embeddings as records: four group points, one residue's backbone, five flank points."""
+    from .. import schemas
+    from ..operators.clustering import nonredundant_library
+
+    e = coords(spark, d)
+    pt = lambda a, n: F.transform(F.slice("c", a, n), lambda p: F.transform(p, lambda v: (v * 10).cast("float")))
+    key = F.struct(F.lit("").alias("seg"), F.lit("A").alias("chain"), F.col("vec_id").cast("int").alias("resnum"), F.lit("ALA").alias("resname"))
+    four = lambda c, kind: F.array(*(F.lit(c).cast(kind),) * 4)
+    flank = F.array(aa(F.col("vec_id")), aa(F.col("vec_id") + 3), F.lit(CENTRE), aa(F.col("vec_id") * 7), aa(F.col("vec_id") * 3))
+    heavy = spark.createDataFrame([], schemas.VDG_RECORDS).schema["vdm_heavy"].dataType
+    rec = e.select(
+        F.concat(F.lit("g"), F.col("label").cast("string")).alias("frag"), F.lit(1).alias("subset_size"), F.lit("ALA").alias("aa_bucket"), F.struct(F.lit("s").alias("subdir"), F.lit("f").alias("file"), F.col("vec_id").cast("int").alias("line_no"), F.lit(0).alias("combo_no")).alias("seq"),
+        F.lpad(F.col("vec_id").cast("string"), 4, "0").alias("source_id"), pt(1, 4).alias("cg_coords"), F.array(pt(5, 3)).alias("bb_coords"), F.array(flank).alias("flank_seqs"), F.array(pt(8, 5)).alias("flank_cas"), F.lit(None).cast(heavy).alias("vdm_heavy"), F.array(key).alias("scrr"),
+        four("C", "string").alias("cg_names"), four("C", "string").alias("cg_elements"), four("", "string").alias("cg_seg"), four("L", "string").alias("cg_chain"), four(1, "int").alias("cg_resnum"), four("LIG", "string").alias("cg_resname"),
+    )
+    lib = nonredundant_library(rec, {f"g{i}": [0, 1, 2, 2] for i in range(10)})
+    return lib.select("frag", "cluster_id", "cluster_size", "first_stage_cluster_id", "second_stage_cluster_id", "parent")
