@@ -46,6 +46,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fixed_splits(spark: SparkSession) -> None:
+    """Make scans of one table split alike from now on, even if executors come and go meanwhile.
+
+    Row places (monotonically_increasing_id) of two scans can then be compared. Splits otherwise
+    depend on the cores that are registered when a scan is planned.
+    """
+    name = "spark.sql.files.minPartitionNum"
+    if not spark.conf.get(name, None):
+        spark.conf.set(name, str(max(2, spark.sparkContext.defaultParallelism)))
+
+
 def crc_bucket(doc_id, n: int):
     """crc32 of the id written as text, modulo n."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))

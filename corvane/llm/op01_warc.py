@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, scratch
+from .common import fixed_splits, saved, scratch
 
 #: Fixed values of the formats.
 VERSION, BREAK, BASE32 = "WARC/1.1", "\r\n", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -66,6 +66,7 @@ def _line(c: Column) -> Column:
 
 def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", key: str = "page_id", url: str = "url", html: str = "html", per_file: int = 4000) -> None:
     """Write pages to path as gzip WARC files; payloads from min_bytes on are stored once."""
+    fixed_splits(pages.sparkSession)
     p = pages.select(
         F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("body"), F.monotonically_increasing_id().alias("mid"),
     ).withColumn("n", F.octet_length("body")).withColumn("digest", F.sha1(F.col("body").cast("binary")))

@@ -243,4 +243,4 @@ def quality(docs: DataFrame, labels: DataFrame, plan: QualityPlan | None = None,
     """Scores of all docs by a model that never saw labels of the held-out fold."""
     model = train(docs, labels.where(crc_bucket(F.col("doc_id"), folds) != held), plan)
     out = score(docs, model, plan)
-    return out.select("doc_id", (crc_bucket(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(crc_bucket(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

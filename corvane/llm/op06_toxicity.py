@@ -261,4 +261,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, plan: ToxicityPlan | None = Non
     plan = plan or ToxicityPlan()
     model = train(docs, labels.where(crc_bucket(F.col("doc_id"), folds) != held), plan)
     out = score(docs, model, plan)
-    return out.select("doc_id", (crc_bucket(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= plan.threshold).cast("int").alias("predicted"), "surprise", "passages")
+    return out.select("doc_id", F.coalesce(crc_bucket(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= plan.threshold).cast("int").alias("predicted"), "surprise", "passages")

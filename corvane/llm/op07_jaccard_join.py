@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import saved, written
+from .common import fixed_splits, saved, written
 from .components import connected_components
 from .op04_sharding import numbered
 
@@ -486,6 +486,7 @@ def links(docs: DataFrame, members: DataFrame, rules: JaccardRules, key: str = "
 def jaccard_components(docs: DataFrame, rules: JaccardRules | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, place, n_shingles, component_id of every row of docs."""
     rules = rules or JaccardRules()
+    fixed_splits(docs.sparkSession)
     members = saved(nodes(docs, rules, key, text))
     components = connected_components(links(docs, members, rules, key, text))
     classes = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
