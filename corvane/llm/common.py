@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +60,3 @@ def crc_bucket(doc_id, n: int):
     """crc32 of the id written as text, modulo n."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
-
-def struct(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl) if SparkSession.getActiveSession() else T.StructType.fromDDL(ddl)
