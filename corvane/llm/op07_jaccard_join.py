@@ -150,6 +150,7 @@ def _blobs(tok: np.ndarray, own: np.ndarray, bucket: np.ndarray, node: np.ndarra
 
 def _gathered(g: pd.DataFrame, kind, per_token: bool) -> tuple[np.ndarray, ...]:
     """tok, own, node, n, extra of a group of blob rows; own points into node and n (and extra, if by node)."""
+    tc.trim()
     tok, own, node, n, extra, at = [], [], [], [], [], 0
     for t, l, d, m, x in zip(g["tok"], g["loc"], g["node"], g["n"], g["extra"]):
         t, d = _unpacked(t), np.frombuffer(d, np.int64)

@@ -7,6 +7,7 @@ have equal hashes everywhere, and different ones collide with a chance of about
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -127,8 +128,19 @@ def slices(offs: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
         a = b
 
 
+def trim() -> None:
+    """Give memory that finished arrays leave behind back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def docs_words(col: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
     """(first row, row after the last, words) for slices of a text column."""
     data, offs = strings(col)
     for a, b in slices(offs):
         yield a, b, split(data, offs[a : b + 1], lower)
+    if len(data) > 1 << 20:
+        trim()
