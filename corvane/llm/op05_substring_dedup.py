@@ -2,7 +2,10 @@
 
 Lines are cut into units at line breaks and after words that end a clause or sentence, so that
 a passage set into the middle of another line still has units of its own. A unit's words, in
-lower case (A-Z) and without outer punctuation, give its digest. Digests are grouped globally:
+lower case (A-Z) and without outer punctuation, give its digest. A unit shorter than
+``unit_words`` is looked up with the units after it until there are so many words, and with
+those before it where that is something else; so every word of a text lies in something looked
+up, wherever a passage begins and ends. Digests are grouped globally:
 of all places of a unit the earliest in rank (document id, then place) is the one that stays.
 In each document consecutive repeated units form runs; runs of ``least_words`` words, and whole
 lines of ``least_line_words``, are removed. What stays keeps its offsets in the original text.
@@ -12,9 +15,10 @@ the joins back are plain equi-joins that adaptive execution can split. Texts are
 to meet their removals.
 
 Defined results: null and empty texts stay as they are; rows with equal id and equal text count
-as one document and get equal results; a null id ranks first; units shorter than ``unit_words``
-aren't looked up and go only together with removed units on both sides; a text may become empty,
-its row stays. All columns of docs pass through.
+as one document and get equal results; a null id ranks first; short units that aren't part of
+something repeated go only together with removed units on both sides; of a passage that repeats
+within itself the first place stays whole; texts of fewer than ``unit_words`` words stay; a text
+may become empty, its row stays. All columns of docs pass through.
 """
 
 from __future__ import annotations
@@ -51,6 +55,27 @@ class Units:
     digest: np.ndarray
     number: np.ndarray  # within the document
     line_start: np.ndarray  # whether the unit begins a line
+    sums: np.ndarray  # running sums of the words' hashes
+
+    def windows(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each unit the end of the least words from it on, and the start of those up to it.
+
+        -1 where the document has fewer; the second also where the first gives the same units.
+        """
+        end = np.searchsorted(self.first, self.first[:-1] + least, "left")
+        end[end > np.searchsorted(self.doc, self.doc, "right")] = -1
+        start = np.searchsorted(self.first, self.first[1:] - least, "right") - 1
+        start[start < np.searchsorted(self.doc, self.doc, "left")] = -1
+        start[end[start] == np.arange(1, len(start) + 1)] = -1
+        return end, start
+
+    def digests(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Digests of the words of units a to b."""
+        return _digest(self.sums, self.first[a], self.first[b])
+
+
+def _digest(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return tc.mix((sums[b] - sums[a]) * tc.powers(tc._QI, len(sums))[a] + (b - a).astype(np.uint64))
 
 
 def units(w: tc.Words) -> Units:
@@ -58,7 +83,7 @@ def units(w: tc.Words) -> Units:
     n = len(w.start)
     if not n:
         z = np.zeros(0, np.int64)
-        return Units(np.zeros(1, np.int64), z, np.zeros(0, np.uint64), z, np.zeros(0, bool))
+        return Units(np.zeros(1, np.int64), z, np.zeros(0, np.uint64), z, np.zeros(0, bool), np.zeros(1, np.uint64))
     breaks = np.zeros(len(w.data) + 1, np.int64)
     np.cumsum(w.data == 10, out=breaks[1:])
     doc = np.searchsorted(w.first, np.arange(n), "right") - 1
@@ -75,29 +100,47 @@ def units(w: tc.Words) -> Units:
     np.cumsum(h * tc.powers(tc._Q, n), out=sums[1:])
     first = np.append(np.flatnonzero(begins), n)
     a, b = first[:-1], first[1:]
-    digest = tc.mix((sums[b] - sums[a]) * tc.powers(tc._QI, n)[a] + (b - a).astype(np.uint64))
+    digest = _digest(sums, a, b)
     own = doc[a]
     number = np.arange(len(a)) - np.searchsorted(own, own, "left")
-    return Units(first, own, digest, number, new_line[a])
+    return Units(first, own, digest, number, new_line[a], sums)
 
 
 def unit_rows(docs: DataFrame, rules: UnitRules, key: str, text: str) -> DataFrame:
-    """The looked-up units of all documents."""
+    """The looked-up units of all documents; unit: twice its number, and 1 if looked up with those before."""
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key), F.col(text)).alias("doc_key"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
             for a, b, w in tc.docs_words(batch.column(2), lower=True):
                 u = units(w)
-                keep = np.flatnonzero(np.diff(u.first) >= rules.unit_words)
-                rows = pa.array(a + u.doc[keep])
+                end, start = u.windows(rules.unit_words)
+                on, back = np.flatnonzero(end >= 0), np.flatnonzero(start >= 0)
+                digest = np.concatenate([u.digests(on, end[on]), u.digests(start[back], back + 1)])
+                rows = pa.array(a + np.concatenate([u.doc[on], u.doc[back]]))
+                unit = np.concatenate([2 * u.number[on], 2 * u.number[back] + 1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(u.digest[keep].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(u.number[keep], pa.int32())], names=["digest", "doc_id", "doc_key", "unit"]
+                    [pa.array(digest.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(unit, pa.int32())], names=["digest", "doc_id", "doc_key", "unit"]
                 )
 
     return source.mapInArrow(run, UNIT)
 
 
+def _marked(found: np.ndarray, lo: int, hi: int, end: np.ndarray, start: np.ndarray, rules: UnitRules) -> np.ndarray:
+    """Which of the units lo..hi lie in something repeated; found: looked-up units and how far the first place is."""
+    place, near = np.divmod(found, rules.unit_words)
+    number, back = np.divmod(place, 2)
+    at = lo + number[number < hi - lo]
+    near, back = near[number < hi - lo], back[number < hi - lo] > 0
+    a, b = np.where(back, start[at], at), np.where(back, at + 1, end[at])
+    a = np.where(near > 0, np.maximum(a, end[at - near]), a)
+    ok = (a >= lo) & (b > a)
+    steps = np.zeros(hi - lo + 1, np.int64)
+    np.add.at(steps, a[ok] - lo, 1)
+    np.add.at(steps, b[ok] - lo, -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
 def _runs(u: Units, lo: int, hi: int, dup: np.ndarray, rules: UnitRules) -> Iterator[tuple[int, int]]:
     """Ranges of units lo..hi that go; dup marks repeated ones."""
     size = np.diff(u.first[lo : hi + 1])
@@ -153,7 +196,11 @@ def dedup_passages(docs: DataFrame, rules: UnitRules | None = None, key: str = "
     repeated = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("best")).where("n > 1")
     later = rows.join(repeated.select("digest", "best"), "digest").where(~place.eqNullSafe(F.col("best")))
     mark, dups = "__doc_key", "__dups"
-    cuts = later.groupBy(F.col("doc_key").alias(mark)).agg(F.collect_set("unit").alias(dups))
+    # places that reach into the first one keep out of it
+    apart = F.col("unit") - F.col("best.unit")
+    near = (F.col("doc_key") == F.col("best.doc_key")) & (apart % 2 == 0) & (F.col("best.unit") % 2 == 0) & (apart < 2 * rules.unit_words)
+    found = F.col("unit") * rules.unit_words + F.when(near, (apart / 2).cast("int")).otherwise(0)
+    cuts = later.groupBy(F.col("doc_key").alias(mark)).agg(F.collect_set(found).alias(dups))
     joined = docs.withColumn(mark, F.xxhash64(F.col(key), F.col(text))).join(cuts, mark, "left").select(*(F.col(f"`{c}`") for c in docs.columns), dups)
     at = docs.columns.index(text)
     kept_type = "array<struct<start: long, end: long>>"
@@ -177,11 +224,11 @@ def dedup_passages(docs: DataFrame, rules: UnitRules | None = None, key: str = "
                             kept[r] = [(0, int(((body & 0xC0) != 0x80).sum()))] if len(body) else []
                         new[r] = body.tobytes()
                         continue
-                    u = u or units(w)
+                    if u is None:
+                        u = units(w)
+                        end, start = u.windows(rules.unit_words)
                     lo, hi = np.searchsorted(u.doc, [d, d + 1])
-                    dup = np.zeros(hi - lo, bool)
-                    found = marks[r].values.to_numpy()
-                    dup[found[found < hi - lo]] = True
+                    dup = _marked(marks[r].values.to_numpy(), lo, hi, end, start, rules)
                     base = int(w.offs[d])
                     parts, last, chars, own = [], 0, 0, []
                     char_at = np.concatenate([[0], np.cumsum((body & 0xC0) != 0x80)]) if spans else None

@@ -48,6 +48,28 @@ def test_same_text_under_other_id_goes_whole(docs, tmp_path):
     assert dedup_passages(docs([], tmp_path / "f")).count() == 0
 
 
+@pytest.mark.parametrize("most, sep", [(1, "\n"), (1, "!! "), (2, "\n"), (2, ", ")])
+def test_passages_of_short_units_go_wherever_they_begin(docs, tmp_path, most, sep):
+    def short(n, tag):
+        return [words(rng.randrange(1, most + 1), tag) for _ in range(n)]
+
+    p = short(60, "p")
+    rows = [(1, sep.join(short(9, "a") + p + short(7, "b"))), (2, sep.join(short(4, "c") + p + short(5, "d"))), (3, sep.join(p)), (4, words(12, "e") + ". " + sep.join(p)), (5, sep.join(short(40, "f")))]
+    out = {r["doc_id"]: r for r in dedup_passages(docs(rows, tmp_path / "d")).collect()}
+    text, own = dict(rows), set(sep.join(p).split()) | {w.rstrip("!,") for w in sep.join(p).split()}
+    assert out[1]["text"] == text[1] and out[5]["text"] == text[5] and out[3]["text"].split() == []
+    for i in (2, 4):
+        left = out[i]["text"].split()
+        assert sum(w.rstrip("!,") in own for w in left) <= 2 * most and {w for w in text[i].split() if w.rstrip("!,") not in own} <= set(left)
+        assert out[i]["text"] == "".join(text[i][s["start"] : s["end"]] for s in out[i]["kept_spans"])
+
+
+def test_short_ends_of_lines_and_repeats_within_a_text(docs, tmp_path):
+    rows = [(1, "first of all.\nthis is a line, yes.\nand one"), (2, "here we begin.\nthis is a line, yes.\nwith other words"), (3, "no, " * 20 + "that is all")]
+    out = {r["doc_id"]: r["text"] for r in dedup_passages(docs(rows, tmp_path / "d"), spans=None).collect()}
+    assert out == {1: rows[0][1], 2: "here we begin.\nwith other words", 3: "no, no, no, that is all"}
+
+
 # --- op 8
 
 
