@@ -77,14 +77,41 @@ def pose_queries(placings: DataFrame, combos: DataFrame, library_names: DataFram
     )
 
 
-def ligand_rmsd(poses: DataFrame, solved: DataFrame, most_orders: int = 1000) -> DataFrame:
+def least_matching(cost: np.ndarray) -> float:
+    """Least total of a square cost matrix with one entry from each row and column.
+
+    Shortest augmenting paths with potentials (Hungarian), n**3 steps.
+    """
+    n = len(cost)
+    u, v = np.zeros(n + 1), np.zeros(n + 1)
+    row_of = np.zeros(n + 1, int)  # rows count from 1; column 0 holds the row being placed
+    for row in range(1, n + 1):
+        row_of[0], col = row, 0
+        least, via, done = np.full(n + 1, np.inf), np.zeros(n + 1, int), np.zeros(n + 1, bool)
+        while row_of[col]:
+            done[col] = True
+            i = row_of[col]
+            slack = cost[i - 1] - u[i] - v[1:]
+            better = ~done[1:] & (slack < least[1:])
+            least[1:][better], via[1:][better] = slack[better], col
+            col = int(np.where(done, np.inf, least).argmin())
+            step = least[col]
+            u[row_of[done]] += step
+            v[done] -= step
+            least[~done] -= step
+        while col:
+            row_of[col] = row_of[via[col]]
+            col = via[col]
+    return float(cost[row_of[1:] - 1, np.arange(n)].sum())
+
+
+def ligand_rmsd(poses: DataFrame, solved: DataFrame) -> DataFrame:
     """In-place RMSD of each pose's ligand to the solved one over orders of symmetric atoms.
 
     Both: pdb_id, smiles, names, coords (in the order of the SMILES); solved is one row a smiles.
-    Orders come from the symmetry classes; beyond most_orders only the given order is compared.
+    The least over all orders within the symmetry classes: in place, each class's best order is an
+    assignment on squared distances.
     """
-    from ..functions.arrays import class_permutations
-
     j = poses.join(solved.select("smiles", F.col("coords").alias("ref")), "smiles")
 
     def run(parts):
@@ -92,13 +119,15 @@ def ligand_rmsd(poses: DataFrame, solved: DataFrame, most_orders: int = 1000) ->
             out = []
             for pdb, s, c, r in zip(p["pdb_id"], p["smiles"], p["coords"], p["ref"]):
                 x, y = (np.array([np.asarray(v, float) for v in k]) for k in (c, r))
-                classes = tuple(chem.symmetry_classes(chem.parse_smiles(s)))
-                n = 1
-                for k in set(classes):
-                    for f in range(2, classes.count(k) + 1):
-                        n *= f
-                orders = class_permutations(classes) if n <= most_orders else [list(range(len(x)))]
-                out.append((pdb, float(min(np.sqrt(((x[o] - y) ** 2).sum(1).mean()) for o in orders))))
+                classes = np.array(chem.symmetry_classes(chem.parse_smiles(s)))
+                if not len(classes) == len(x) == len(y):
+                    raise ValueError(f"{pdb}: {len(x)} and {len(y)} atoms, {len(classes)} in {s}")
+                total = 0.0
+                for k in np.unique(classes):
+                    at = np.flatnonzero(classes == k)
+                    cost = ((x[at][:, None] - y[at][None]) ** 2).sum(2)
+                    total += least_matching(cost) if np.isfinite(cost).all() else np.nan
+                out.append((pdb, float(np.sqrt(total / len(x))) if len(x) else np.nan))
             yield pd.DataFrame(out, columns=["pdb_id", "rmsd"])
 
     return j.select("pdb_id", "smiles", "coords", "ref").mapInPandas(run, "pdb_id string, rmsd double")

@@ -1,3 +1,5 @@
+from itertools import permutations
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -52,6 +54,26 @@ def test_ligand_rmsd_over_symmetric_atoms(spark):
     assert got["a"] < 1e-9 and abs(got["b"] - 3) < 1e-9
 
 
+def test_least_matching_equals_all_orders():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 4, 5, 6):
+        for _ in range(20):
+            cost = rng.random((n, n)) if n % 2 else rng.integers(0, 4, (n, n)).astype(float)
+            assert abs(L.least_matching(cost) - min(sum(cost[i, j] for i, j in enumerate(o)) for o in permutations(range(n)))) < 1e-9
+
+
+def test_ligand_rmsd_with_many_orders(spark):
+    smiles = "FC(F)(F)C(F)(F)C(F)(F)F"
+    classes = np.array(chem.symmetry_classes(chem.parse_smiles(smiles)))
+    rng = np.random.default_rng(5)
+    ref, order = rng.normal(size=(len(classes), 3)) * 9, np.arange(len(classes))
+    for k in np.unique(classes):
+        order[classes == k] = np.roll(order[classes == k], 1)
+    t = "pdb_id string, smiles string, names array<string>, coords array<array<double>>"
+    r = L.ligand_rmsd(spark.createDataFrame([("a", smiles, None, (ref[order] + [0.3, 0, 0]).tolist())], t), spark.createDataFrame([("x", smiles, None, ref.tolist())], t)).first()
+    assert sorted(np.unique(classes, return_counts=True)[1]) == [1, 2, 2, 6] and abs(r["rmsd"] - 0.3) < 1e-9
+
+
 def test_structures_of_ligands(spark):
     have, none = L.structures_of_ligands(spark.createDataFrame([("A",), ("B",)], "lig_id string"), spark.createDataFrame([("A", "1abc")], "lig_id string, pdb_id string"))
     assert have.count() == 1 and none.first()["lig_id"] == "B"
