@@ -6,7 +6,8 @@ is shuffled but the found pairs of several blocks. In a task, hashes of each run
 words of an item are joined to those of the documents. For each document and item that share a
 seed, Karp-Rabin hashes of falling lengths find the longest matches that don't overlap a marked
 one; these are marked as tiles until none of ``min_match`` words is left. The share of an item's
-words inside tiles tells contamination, in whatever order its passages stand.
+words inside tiles tells contamination, in whatever order its passages stand. Words are compared
+with case folded and without outer punctuation; words of punctuation alone stay as they are.
 
 Defined results: null and empty texts match nothing, null and empty items aren't held against
 anything; items with fewer words than ``min_match`` are matched whole; equal items and equal
@@ -15,6 +16,7 @@ documents each get their own result; an empty benchmark or document table gives
 
 from __future__ import annotations
 
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
+from .op06_toxicity import _PUNCT
 
 
 @dataclass(frozen=True)
@@ -39,6 +42,41 @@ class TilingRules:
 MATCHES = "doc_id long, item_id long, tiles int, tile_words int, item_words int, coverage double, doc_start long, doc_end long"
 
 
+def _fold(word: bytes) -> str:
+    """A word with letters beyond A-Z: case folded, outer punctuation of any script off."""
+    t = word.decode("utf-8", "replace").casefold()
+    a, b = 0, len(t)
+    while a < b and unicodedata.category(t[b - 1])[0] in "PS":
+        b -= 1
+    while a < b and unicodedata.category(t[a])[0] in "PS":
+        a += 1
+    return t[a:b] or t
+
+
+def word_hashes(w: tc.Words) -> np.ndarray:
+    """Hashes of folded words; w must be split in lower case."""
+    s, e = w.start.copy(), w.end.copy()
+    while True:
+        tail = (e > s + 1) & _PUNCT[w.data[e - 1]]
+        e -= tail
+        head = (e > s + 1) & _PUNCT[w.data[s]]
+        s += head
+        if not (tail.any() or head.any()):
+            break
+    bare = (e == s + 1) & _PUNCT[w.data[s]]
+    h = w.span_hash(np.where(bare, w.start, s), np.where(bare, w.end, e))
+    high = np.zeros(len(w.data) + 1, np.int64)
+    np.cumsum(w.data > 127, out=high[1:])
+    odd = np.flatnonzero(high[w.end] > high[w.start])
+    if len(odd):
+        raw, number = w.data.tobytes(), {}
+        at = [number.setdefault(raw[a:b], len(number)) for a, b in zip(w.start[odd].tolist(), w.end[odd].tolist())]
+        data, offs = tc.strings(pa.array([_fold(x) for x in number], pa.large_string()))
+        one = tc.split(data, offs)
+        h[odd] = one.span_hash(one.offs[:-1], one.offs[1:])[at]
+    return h
+
+
 def tile(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy tiles (item place, doc place, words) of two sequences of word hashes.
 
@@ -148,16 +186,16 @@ def _blocks(items: DataFrame, rules: TilingRules, key: str, text: str) -> Iterat
 def _prepared(block: list, least: int) -> Block:
     texts = pa.array([t for _, t in block], pa.string())
     items = []
-    for a, b, w in tc.docs_words(texts):
-        h = w.hashes()
+    for a, b, w in tc.docs_words(texts, lower=True):
+        h = word_hashes(w)
         items += [(block[a + d][0], h[w.first[d] : w.first[d + 1]]) for d in range(b - a)]
     return Block([x for x in items if len(x[1])], least)
 
 
 def _matches(col: pa.Array, block: Block, rules: TilingRules) -> Iterator[tuple]:
     """(row, item id, tiles, tile words, item words, first and last byte of tiles in the row's text)."""
-    for a, _, w in tc.docs_words(col):
-        h = w.hashes()
+    for a, _, w in tc.docs_words(col, lower=True):
+        h = word_hashes(w)
         for d, n in block.candidates(h, w.first):
             item_id, item = block.items[n]
             lo, hi = w.first[d], w.first[d + 1]

@@ -130,6 +130,19 @@ def test_empty_benchmark_and_documents(spark, docs):
     assert verdicts(docs([]), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
 
 
+def test_case_and_outer_punctuation_do_not_hide_an_item(spark, docs):
+    item = "Où l'ÉTÉ “commence”, the River (wide) bends: a + b = c -- or so; it's Said"
+    twin = "où L'été commence the river WIDE bends a + b = c -- or so ... it's «said»"
+    plain = words(30)
+    rows = [(1, words(20) + " " + item.upper()), (2, words(20) + "\n" + " ".join(f'"{w}",' for w in plain.split()) + words(9)), (3, twin), (4, words(60)), (5, "a - b = c")]
+    items = spark.createDataFrame([(1, item), (2, plain.upper()), (3, "a + b = c")], "item_id long, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in verdicts(docs(rows), items).collect()}
+    assert got == {1: [1, 3], 2: [2], 3: [1, 3], 4: [], 5: []}
+    assert sorted(r["doc_id"] for r in clean_rows(docs(rows), items).collect()) == [4, 5]
+    span = matches(docs(rows), items).where("doc_id = 1 and item_id = 1").first()
+    assert rows[0][1].encode()[span["doc_start"] : span["doc_end"]].decode() == item.upper() and span["coverage"] == 1.0
+
+
 # --- op 10
 
 
