@@ -484,8 +484,8 @@ def links(docs: DataFrame, members: DataFrame, rules: JaccardRules, key: str = "
     return last if found is None else found.unionByName(last)
 
 
-def jaccard_components(docs: DataFrame, rules: JaccardRules | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, place, n_shingles, component_id of every row of docs."""
+def _labelled(docs: DataFrame, rules: JaccardRules | None, key: str, text: str) -> DataFrame:
+    """The rows of jaccard_components and their component, a node; null without tokens."""
     rules = rules or JaccardRules()
     fixed_splits(docs.sparkSession)
     members = saved(nodes(docs, rules, key, text))
@@ -493,16 +493,21 @@ def jaccard_components(docs: DataFrame, rules: JaccardRules | None = None, key:
     classes = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     placed = classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     label = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = placed.join(label, "component").select("node", "component_id")
+    names = placed.join(label, "component").select("node", "component", "component_id")
     out = members.join(names, "node", "left")
-    return out.select("doc_id", "place", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("node").isNotNull().alias("has_tokens"))
+    return out.select("doc_id", "place", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("node").isNotNull().alias("has_tokens"), "component")
+
+
+def jaccard_components(docs: DataFrame, rules: JaccardRules | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, place, n_shingles, component_id of every row of docs."""
+    return _labelled(docs, rules, key, text).drop("component")
 
 
 def one_of_each(docs: DataFrame, rules: JaccardRules | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without near copies: of each component the row of the smallest id stays (of rows with
     that id the first), and every row without tokens. All columns as they are."""
-    found = saved(jaccard_components(docs, rules, key, text))
-    best = found.where("has_tokens").groupBy("component_id").agg(F.min(F.struct("doc_id", "place")).alias("best")).select(F.col("best.place").alias("__place"))
+    found = saved(_labelled(docs, rules, key, text))
+    best = found.where("has_tokens").groupBy("component").agg(F.min(F.struct("doc_id", "place")).alias("best")).select(F.col("best.place").alias("__place"))
     keep = best.union(found.where("not has_tokens").select("place"))
     marked = docs.withColumn("__place", F.monotonically_increasing_id())
     return marked.join(keep, "__place", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -97,6 +97,14 @@ def test_one_of_each_keeps_columns_and_rows_without_words(docs, tmp_path):
     assert got == [(2, ["a"]), (7, ["own"]), (9, []), (9, [])]
 
 
+def test_one_of_each_with_null_and_repeated_ids(docs, tmp_path):
+    own = [" ".join(f"{k}{i}" for i in range(20)) for k in "abcdef"]
+    rows = [(None, own[0]), (None, own[1]), (None, own[1].upper()), (5, own[2]), (5, own[3]), (5, own[3]), (None, own[4]), (8, own[5]), (6, own[5])]
+    out = [(r["doc_id"], r["text"]) for r in one_of_each(docs(rows, tmp_path / "d")).collect()]
+    assert sorted((k, t.lower()) for k, t in out if k) == [(5, own[2]), (5, own[3]), (6, own[5])]
+    assert sorted(t.lower() for k, t in out if not k) == [own[0], own[1], own[4]]
+
+
 def test_join_empty_table(docs, tmp_path):
     assert jaccard_components(docs([], tmp_path / "d")).count() == 0
     assert one_of_each(docs([(1, None)], tmp_path / "e")).count() == 1
