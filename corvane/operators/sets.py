@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,35 +47,87 @@ def overlap_edges(sites: DataFrame, molecule: list[str], site: str, atoms: str)
     return a.join(b, [*molecule, "atom"]).where("a < b").groupBy(*molecule, "a", "b", "na", "nb").agg(F.count("*").alias("both")).where(2 * F.col("both") >= F.greatest("na", "nb")).select(*molecule, "a", "b")
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """node, component (its least node) by alternating star contraction; edges: a, b.
+#: Edges that a task unites at once.
+STRETCH = 1 << 20
+
+
+def local_roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the least node of each one's component) of the edges u - v."""
+    name, end = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y = end[: len(u)], end[len(u) :]
+    root = np.arange(len(name))
+    while True:
+        a, b = root[x], root[y]
+        apart = a != b
+        if not apart.any():
+            return name, name[root]
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while not np.array_equal(up := root[root], root):
+            root = up
+        x, y = x[apart], y[apart]
+
 
-    Lineage is cut with checkpoint() in the folder of spark.checkpoint.dir each round, and the
-    number of rounds grows with the logarithm of the longest path.
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+
+    def out() -> pa.RecordBatch:
+        u, v = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in local_roots(u, v)], names=["node", "root"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= STRETCH:
+            yield out()
+    if sum(b.num_rows for b in held):
+        yield out()
+
+
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """node, component (its least node) by contraction; edges: a, b; nodes adds nodes without edges.
+
+    Each task unites the edges of its stretches by itself and names every node's local root.
+    Grouped by node, the roots that a node has in several stretches become the next round's edges;
+    a node that is no root in any stretch has its pointer and leaves. So a hub of any degree is
+    one row for each stretch that holds it, and a round's edges join the last round's roots only.
+    From the second round on each edge lies with both of its ends, so that chains of roots shorten
+    every round. At last the pointers are followed back by equi-joins. Rounds are cut with
+    checkpoint() in the folder of spark.checkpoint.dir. Edges with a null end are left out;
+    self-loops keep their node.
     """
-    spark = edges.sparkSession
-    ready_checkpoints(spark)
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct().checkpoint()
-    every = edges.select(F.col("a").alias("node")).union(edges.select("b"))
-    every = (every.union(nodes.select("node")) if nodes is not None else every).distinct()
+    ready_checkpoints(edges.sparkSession)
+    e, rounds = edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u is not null and v is not null"), []
     while True:
-        both = e.union(e.select("v", "u")).toDF("u", "v")
-        hub = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        up = both.where("v > u").join(hub, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = up.groupBy("u").agg(F.min("v").alias("m"))
-        new = up.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
-        if new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty():
+        roots = e.mapInArrow(_united, "node long, root long")
+        seen = roots.groupBy("node").agg(F.min("root").alias("least"), F.collect_set("root").alias("roots")).checkpoint()
+        rounds.append(seen)
+        e = seen.where(F.size("roots") > 1).select(F.explode("roots").alias("u"), F.col("least").alias("v")).where("u != v")
+        if e.isEmpty():
             break
-        e = new
-    return every.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        e = e.mapInArrow(_united, "node long, root long").toDF("u", "v").where("u != v")
+        e = e.union(e.select("v", "u")).repartition("u")
+    known = None
+    for seen in reversed(rounds):
+        own = seen.where(~F.array_contains("roots", F.col("node"))).select("node", F.col("least").alias("component"))
+        if known is not None:
+            further = known.select(F.col("node").alias("component"), F.col("component").alias("far"))
+            own = own.join(further, "component", "left").select("node", F.coalesce("far", "component").alias("component")).union(known)
+        known = own
+    every = rounds[0].select("node")
+    every = every.union(nodes.select(F.col("node").cast("long"))).distinct() if nodes is not None else every
+    kind = edges.schema["a"].dataType
+    return every.join(known, "node", "left").select(F.col("node").cast(kind), F.coalesce("component", "node").cast(kind).alias("component"))
 
 
 def ready_checkpoints(spark) -> None:
-    """Use spark.checkpoint.dir; only where it is unset (one process) a temporary folder is set."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """Use spark.checkpoint.dir. Only a local session without it (tests) gets a temporary folder."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        path = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not path:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             import tempfile
 
             path = "file://" + tempfile.mkdtemp(prefix="corvane-")
-        spark.sparkContext.setCheckpointDir(path)
+        context.setCheckpointDir(path)

@@ -324,8 +324,9 @@ def dedup_first_wins(spark, d):
 )
 def site_components(spark, d):
     s = t(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    a, b = s.alias("a"), s.alias("b")
-    e = a.join(b, (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey")) & (F.abs(F.col("a.s_acctbal") - F.col("b.s_acctbal")) < 1500))
+    cell = F.floor(F.col("s_acctbal") / 1500)  # a band join: balances less than 1500 apart lie in the same cell or the next
+    a, b = s.withColumn("cell", cell).alias("a"), s.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1))).alias("b")
+    e = a.join(b, (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey")) & (F.abs(F.col("a.s_acctbal") - F.col("b.s_acctbal")) < 1500))
     return S.connected_components(e.select(F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b")), s.select(F.col("s_suppkey").alias("node")))
 
 
