@@ -1,31 +1,14 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components of an edge table of the training-data operators."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import saved
+from ..operators import sets
+from .common import shared_dir
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) of every node of edges; component is its smallest node.
-
-    Each step is aggregations and equi-joins over edges, none gathers a node's neighbours; the
-    lineage is cut in the shared checkpoint folder after each round. Self-loops keep their node.
-    """
-    e = saved(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    nodes = e.select(F.col("u").alias("node")).union(e.select(F.col("v"))).distinct()
-    e = e.where("u != v")
-    while True:
-        both = e.union(e.select("v", "u")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(low, "u")
-        small = hung.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        new = saved(small)
-        same = new.join(e, ["u", "v"], "left_anti").isEmpty() and e.join(new, ["u", "v"], "left_anti").isEmpty()
-        e = new
-        if same:
-            return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    """(node, component) of every node of edges; component is its smallest node. See sets.connected_components."""
+    shared_dir(edges.sparkSession)
+    return sets.connected_components(edges.select(edges[a].cast("long").alias("a"), edges[b].cast("long").alias("b")))

@@ -8,30 +8,33 @@ nodes whose sets have a Jaccard similarity of t or more must pass all of these f
    any other node drops out; only the others' whole sets are looked at from here on.
 2. Frequency order: they share one of the ``|x| - ceil(t |x|) + 1`` rarest tokens of each, counted
    over the nodes that are left. Tokens of passages that many texts share come last, so they
-   don't make candidates. This gives the candidate pairs.
-3. A second hash order: their plain prefixes under it meet. This is tested on the candidates.
+   don't make candidates. This proposes candidate pairs.
+3. A second hash order, after the tokens that no other node has: their plain prefixes meet.
+4. The parity bits of their shared tokens differ in no more places than sets so similar can.
 
-Then the whole sets of a candidate pair are intersected, so links are exact (to hashes).
+Each node's prefixes and bits make one narrow row, its profile. Candidates are intersected with
+all filters on profiles; texts are read again only of nodes with a candidate that passes them
+all, and there whole sets are intersected, so links are exact (to hashes).
 
 Components need not visit every candidate: first every node is tested against the one candidate
 that shares most rare tokens with it (hubs and neighbours in size only, so that a group of
 thousands of near copies gives a linear number of pairs); then again between the components so
 found. At last all candidates that still lie in different components are tested, so none is
-lost: nodes are laid in blocks, related ones side by side, and each pair of blocks with any
-candidate is compared in one task that gives links and no pairs. :func:`links` with ``every``
-tests all candidates so, and gives all links.
+lost: nodes are laid in blocks, related ones side by side, and the profiles of each pair of
+blocks with any candidate are compared in one task, which names the nodes that need their texts.
+:func:`links` with ``every`` tests all candidates so, and gives all links.
 
 Tokens travel as sorted blobs by token range, at most ``bucket_tokens`` a bucket on average.
 Defined results: texts with fewer words than a shingle have their word sequence as the one
 token; null and empty texts have no tokens and link with nothing; rows of equal texts or ids are
 members of one node each; a null id never names a component if another member has an id; an
 empty table gives an empty result. docs must give the same rows whenever it is read again (a
-stored table); other columns aren't read.
+stored table); a text that isn't the node's when it is read again fails the job. Other columns
+aren't read.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,7 +47,6 @@ from pyspark.sql import functions as F
 from . import textcore as tc
 from .common import fixed_splits, saved, written
 from .components import connected_components
-from .op04_sharding import numbered
 
 
 @dataclass(frozen=True)
@@ -55,8 +57,9 @@ class JaccardRules:
     extra: int = 5
     bucket_tokens: int = 1_000_000
     linear_rounds: int = 2
-    #: Nodes whose sets a task compares with as many others at once.
-    block_nodes: int = 256
+    #: A block of nodes that a task compares with another one: so many, or of so many tokens.
+    block_nodes: int = 512
+    block_tokens: int = 500_000
 
 
 def least_overlap(n, rules: JaccardRules):
@@ -229,6 +232,8 @@ def _whole_blobs(texts: DataFrame, rules: JaccardRules, buckets: int) -> DataFra
         for batch in _parts(batches):
             name, tok, n = [], [], []
             for r, t in token_sets(batch.column(1), rules):
+                if not len(t) or node_of(t) != batch.column(0)[r].as_py():
+                    raise RuntimeError("docs gave other rows when it was read again; store it first")
                 name.append(batch.column(0)[r].as_py())
                 tok.append(t >> np.uint64(16))
                 n.append(len(t))
@@ -240,10 +245,37 @@ def _whole_blobs(texts: DataFrame, rules: JaccardRules, buckets: int) -> DataFra
     return texts.select("node", "text").mapInArrow(run, BLOB)
 
 
-def _rare_prefixes(shared: DataFrame, rules: JaccardRules) -> DataFrame:
-    """Filter 2: node, n, c (its shared tokens), tok (those among its rarest tokens) of nodes that have any.
+def _second(tok: np.ndarray) -> np.ndarray:
+    """Places of tokens in the second hash order."""
+    return (tc.mix(tok ^ np.uint64(0xABCD1234567)) >> np.uint64(32)).astype(np.uint32)
 
-    A token that no other node has is rarer than any other, so those take the prefix first.
+
+def parity_width(n):
+    """Bits of a set of n tokens: a power of two of at least 8 n."""
+    return 1 << np.maximum(6, np.ceil(np.log2(8 * np.maximum(n, 1))).astype(np.int64))
+
+
+def parity_bits(tok: np.ndarray, width: int) -> np.ndarray:
+    """Which places tokens fall on an odd number of times, as 64-bit words."""
+    at = tc.mix(tok + np.uint64(0x5DEECE66D)) & np.uint64(width - 1)
+    odd = np.bincount(at.astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Parity bits (a row for each set) as those of a smaller width."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def _profiles(shared: DataFrame, rules: JaccardRules) -> DataFrame:
+    """Filters 2 to 4: node, n, c (its shared tokens) and profile of nodes that have a prefix.
+
+    tok: those of its rarest tokens that others have; second: the prefix under the second order;
+    bits: parity of its shared tokens; anchor: the most common of tok. A token that no other node
+    has comes before any other in both orders, so those take the prefixes first.
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -254,12 +286,21 @@ def _rare_prefixes(shared: DataFrame, rules: JaccardRules) -> DataFrame:
         keep = n - least_overlap(n, rules) + 1 - (n - c)
         first = np.cumsum(c) - c
         good = np.flatnonzero(keep > 0)
-        return pd.DataFrame({"node": node[good], "n": n[good], "c": c[good], "tok": [tok[first[i] : first[i] + keep[i]].tobytes() for i in good]})
+        width = parity_width(n)
+        rows = []
+        for i in good.tolist():
+            t, k = tok[first[i] : first[i] + c[i]], int(keep[i])
+            s = _second(t)
+            rows.append((t[:k].tobytes(), (np.partition(s, k - 1)[:k] if k < len(s) else s).tobytes(), parity_bits(t, int(width[i])).tobytes(), int(t[k - 1])))
+        return pd.DataFrame(rows, columns=["tok", "second", "bits", "anchor"]).assign(node=node[good], n=n[good], c=c[good])[["node", "n", "c", "tok", "second", "bits", "anchor"]]
+
+    return shared.groupBy("bucket").applyInPandas(run, PROFILE)
 
-    return shared.groupBy("bucket").applyInPandas(run, "node long, n long, c long, tok binary")
 
+PROFILE = "node long, n long, c long, tok binary, second binary, bits binary, anchor long"
 
-PAIRS = "a long, b long, hits long"
+
+PAIRS = "a long, b long, ca long, cb long, hits long"
 
 
 def _spread(prefixes: DataFrame, buckets: int) -> DataFrame:
@@ -279,7 +320,7 @@ def _spread(prefixes: DataFrame, buckets: int) -> DataFrame:
 
 
 def _candidates(prefixes: DataFrame, rules: JaccardRules, buckets: int) -> DataFrame:
-    """Pairs of nodes of different components, with the number of rare tokens that they share there.
+    """Pairs of nodes of different components ca and cb, with the number of rare tokens shared there.
 
     Of each token only its hub with every node, and neighbours in size: the pairs grow with the
     prefixes, not with their square. The hub is the node of which most tokens occur elsewhere.
@@ -301,8 +342,9 @@ def _candidates(prefixes: DataFrame, rules: JaccardRules, buckets: int) -> DataF
         ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= least_overlap(np.maximum(n[i], n[j]), rules))
         i, j = i[ok], j[ok]
         code, hits = np.unique(np.minimum(i, j) * len(node) + np.maximum(i, j), return_counts=True)
-        x, y = node[code // max(len(node), 1)], node[code % max(len(node), 1)]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "hits": hits})
+        x, y = code // max(len(node), 1), code % max(len(node), 1)
+        x, y = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
+        return pd.DataFrame({"a": node[x], "b": node[y], "ca": comp[x], "cb": comp[y], "hits": hits})
 
     blobs = _spread(prefixes.select("node", "n", "tok", "c", "component"), buckets)
     return blobs.groupBy("bucket").applyInPandas(pairs, PAIRS)
@@ -353,43 +395,93 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _second_prefix(t: np.ndarray, rules: JaccardRules) -> np.ndarray:
-    """Filter 3: the first tokens of a set in the second hash order."""
-    other = tc.mix(t ^ np.uint64(0xABCD1234567))
-    k = len(t) - least_overlap(len(t), rules) + 1
-    return np.partition(other, k - 1)[:k]
+def close_enough(ca, cb, na, nb, apart, rules: JaccardRules):
+    """Filter 4: whether sets of na and nb tokens, ca and cb of them shared, can be similar if so many parities differ."""
+    return (100 + rules.per_cent) * ((ca + cb - apart) // 2) >= rules.per_cent * (na + nb)
+
+
+def _parities_apart(bits: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The number of different parities of each pair of nodes x, y."""
+    words = np.array([len(b) // 8 for b in bits], np.int64)
+    both = np.minimum(words[x], words[y])
+    out = np.zeros(len(x), np.int64)
+    for w in np.unique(both).tolist():
+        at = np.flatnonzero(both == w)
+        used, place = np.unique(np.concatenate([x[at], y[at]]), return_inverse=True)
+        m = np.concatenate([folded(np.frombuffer(bits[k], np.uint64)[None], w) for k in used])
+        i, j = place[: len(at)], place[len(at) :]
+        step = max(1, (1 << 20) // w)
+        for lo in range(0, len(at), step):
+            out[at[lo : lo + step]] = np.bitwise_count(m[i[lo : lo + step]] ^ m[j[lo : lo + step]]).sum(axis=1)
+    return out
+
+
+def _placed(profiles: DataFrame, rules: JaccardRules) -> DataFrame:
+    """Profiles with their block: nodes of a like anchor and component side by side."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        block, held, tokens = TaskContext.get().partitionId() << 33, 0, 0
+        for batch in batches:
+            own = []
+            for n in batch.column(1).to_pylist():
+                if held and (held >= rules.block_nodes or tokens + n > rules.block_tokens):
+                    block, held, tokens = block + 1, 0, 0
+                held, tokens = held + 1, tokens + n
+                own.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=[*batch.schema.names, "block"])
+
+    keys = ["anchor", "component", "node"]
+    parts = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return profiles.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, f"{PROFILE}, component long, block long")
 
 
-def _verified_blocks(placed: DataFrame, pairs: DataFrame, texts: DataFrame, rules: JaccardRules, every: bool) -> DataFrame:
-    """Links between nodes of different components in any pair of blocks.
+def _passing(placed: DataFrame, pairs: DataFrame, rules: JaccardRules) -> DataFrame:
+    """i, j, block, node, component: the nodes that a pair of blocks has to compare by whole sets.
 
-    All filters and the whole sets are compared as products of incidence matrices, so a task
-    gets two blocks and gives links only: all of them, or those that join components.
+    Of the two blocks' profiles, those with a partner in the other block, of another component,
+    that passes every filter.
     """
-    members = placed.select("block", "node", "component", "tok").join(texts.select("node", "text"), "node")
-    need = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")).join(members, "block")
+    need = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")).join(placed.drop("anchor"), "block")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        tc.trim()
+        g = g.sort_values(["block", "node"]).reset_index(drop=True)
+        node, comp, n, c = (g[k].to_numpy() for k in ("node", "component", "n", "c"))
+        left, right = np.flatnonzero(g["block"] == g["i"]), np.flatnonzero(g["block"] == g["j"])
+        ni, nj = n[left][:, None], n[right][None]
+        ok = (comp[left][:, None] != comp[right][None]) & (np.minimum(ni, nj) >= least_overlap(np.maximum(ni, nj), rules))
+        ok &= (node[left][:, None] < node[right][None]) if g["i"].iloc[0] == g["j"].iloc[0] else True
+        for name, kind in (("tok", np.uint64), ("second", np.uint32)):
+            if ok.any():
+                sets = [np.unique(np.frombuffer(x, kind)) for x in g[name]]
+                ok &= overlaps([sets[k] for k in left], [sets[k] for k in right]) > 0
+        x, y = np.nonzero(ok)
+        x, y = left[x], right[y]
+        good = close_enough(c[x], c[y], n[x], n[y], _parities_apart(g["bits"].tolist(), x, y), rules)
+        return g.loc[np.unique(np.concatenate([x[good], y[good]])), ["i", "j", "block", "node", "component"]]
+
+    return need.groupBy("i", "j").applyInPandas(run, "i long, j long, block long, node long, component long")
+
+
+def _verified_blocks(passing: DataFrame, texts: DataFrame, rules: JaccardRules, every: bool) -> DataFrame:
+    """Links a, b (of components ca, cb) between the nodes of each pair of blocks that passed, by
+    products of incidence matrices: all of them, or those that join components."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
+        tc.trim()
         g = g.sort_values(["block", "node"]).reset_index(drop=True)
         sets = [t for _, t in token_sets(pa.array(g["text"]), rules)]
-        rare = [np.sort(np.frombuffer(x, np.uint64)) for x in g["tok"]]
-        second = [_second_prefix(t, rules) for t in sets]
         node, comp, n = g["node"].to_numpy(), g["component"].to_numpy(), np.array([len(t) for t in sets])
-        left = np.flatnonzero(g["block"] == g["i"])
-        right = np.flatnonzero(g["block"] == g["j"])
-        pick = lambda x, at: [x[k] for k in at]
+        left, right = np.flatnonzero(g["block"] == g["i"]), np.flatnonzero(g["block"] == g["j"])
         ni, nj = n[left][:, None], n[right][None]
-        ok = (comp[left][:, None] != comp[right][None]) & (np.minimum(ni, nj) >= least_overlap(np.maximum(ni, nj), rules))
+        ok = comp[left][:, None] != comp[right][None]
         ok &= (node[left][:, None] < node[right][None]) if g["i"].iloc[0] == g["j"].iloc[0] else True
-        if ok.any():
-            ok &= overlaps(pick(rare, left), pick(rare, right)) > 0
-        if ok.any():
-            ok &= overlaps(pick(second, left), pick(second, right)) > 0
-        if ok.any():
-            both = overlaps(pick(sets, left), pick(sets, right))
-            ok &= 100 * both >= rules.per_cent * (ni + nj - both)
+        both = overlaps([sets[k] for k in left], [sets[k] for k in right])
+        ok &= 100 * both >= rules.per_cent * (ni + nj - both)
         x, y = np.nonzero(ok)
-        a, b, ca, cb = node[left[x]], node[right[y]], comp[left[x]], comp[right[y]]
+        x, y = left[x], right[y]
         if not every:  # links of components already joined here add nothing
             up: dict[int, int] = {}
 
@@ -399,16 +491,16 @@ def _verified_blocks(placed: DataFrame, pairs: DataFrame, texts: DataFrame, rule
                     k = up[k]
                 return k
 
-            keep = np.zeros(len(a), bool)
-            for k, (p, q) in enumerate(zip(ca.tolist(), cb.tolist())):
+            keep = np.zeros(len(x), bool)
+            for k, (p, q) in enumerate(zip(comp[x].tolist(), comp[y].tolist())):
                 p, q = find(p), find(q)
                 if p != q:
                     up[max(p, q)] = min(p, q)
                     keep[k] = True
-            a, b = a[keep], b[keep]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            x, y = x[keep], y[keep]
+        return pd.DataFrame({"a": node[x], "b": node[y], "ca": comp[x], "cb": comp[y]})
 
-    return need.groupBy("i", "j").applyInPandas(run, "a long, b long")
+    return passing.join(texts.select("node", "text"), "node").groupBy("i", "j").applyInPandas(run, "a long, b long, ca long, cb long")
 
 
 def _gathered_pairs(g: pd.DataFrame):
@@ -421,67 +513,81 @@ def _gathered_pairs(g: pd.DataFrame):
     return tok, own, name, n, extra[first]
 
 
+def _passing_pairs(pairs: DataFrame, profiles: DataFrame, rules: JaccardRules) -> DataFrame:
+    """Those of pairs (a, b, ca, cb) that pass the filters on profiles."""
+    side = lambda s: profiles.select(F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "c", "second", "bits")))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    names = ["a", "b", "ca", "cb", *(f"{c}_{s}" for s in "ab" for c in ("n", "c", "second", "bits"))]
+
+    def run(batches):
+        for batch in _parts(batches):
+            col = dict(zip(names, batch.columns))
+            number = {k: col[k].to_numpy() for k in ("n_a", "n_b", "c_a", "c_b")}
+            rows = batch.num_rows
+            apart = _parities_apart([*col["bits_a"].to_pylist(), *col["bits_b"].to_pylist()], np.arange(rows), rows + np.arange(rows))
+            ok = close_enough(number["c_a"], number["c_b"], number["n_a"], number["n_b"], apart, rules)
+            for k in np.flatnonzero(ok).tolist():
+                ok[k] = np.isin(*(np.frombuffer(col[f"second_{s}"][k].as_py(), np.uint32) for s in "ab")).any()
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(ok))
+
+    return joined.select(*names).mapInArrow(run, "a long, b long, ca long, cb long")
+
+
 def similar(a: np.ndarray, b: np.ndarray, rules: JaccardRules) -> bool:
-    """Filter 3, then the whole sets. a, b: sorted distinct tokens."""
-    if not np.isin(_second_prefix(a, rules), _second_prefix(b, rules)).any():
-        return False
+    """a, b: sorted distinct tokens."""
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= rules.per_cent * (len(a) + len(b) - both)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, rules: JaccardRules) -> DataFrame:
-    """The linked ones of pairs (a, b). texts: node, text."""
-    joined = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    """The linked ones of pairs (a, b, ca, cb) by whole sets. texts: node, text."""
+    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
         for batch in _parts(batches):
-            sets = [[t for _, t in token_sets(batch.column(i), rules)] for i in (2, 3)]
+            sets = [[t for _, t in token_sets(batch.column(i), rules)] for i in (4, 5)]
             ok = pa.array([similar(x, y, rules) for x, y in zip(*sets)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+            yield batch.select([0, 1, 2, 3]).filter(ok)
 
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "ca", "cb", "text_a", "text_b").mapInArrow(run, "a long, b long, ca long, cb long")
 
 
-def _settle(spark: SparkSession) -> None:
-    """Let Spark's cleaner see that finished steps' shuffles aren't needed, and free their disk."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _merged(current: DataFrame, found: DataFrame) -> DataFrame:
+    """current with the components that the links found (of components ca, cb) join."""
+    joined = connected_components(found, "ca", "cb").withColumnRenamed("component", "root").withColumnRenamed("node", "component")
+    return current.join(joined, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root")
 
 
-def links(docs: DataFrame, members: DataFrame, rules: JaccardRules, key: str = "doc_id", text: str = "text", every: bool = False) -> DataFrame:
-    """Links (a, b) between nodes: enough for the components, or every one."""
+def links(docs: DataFrame, members: DataFrame, rules: JaccardRules, key: str = "doc_id", text: str = "text", every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(links a, b between nodes: enough for the components, or every one; node, component of nodes that may have any)."""
     spark = docs.sparkSession
+    at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = members.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "place")).alias("best"), F.first("n").alias("n"))
-    tokens = first.agg(F.sum("n")).first()[0] or 0
     share = (100 - rules.per_cent) / 100 + 1 / rules.extra
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(tokens * share / rules.bucket_tokens) + 1)
-    left = saved(_enough_shared(_shared_tokens(_prefix_blobs(docs, rules, buckets, text), buckets), rules))
-    _settle(spark)
-    wanted = left.join(first.select("node", "n", F.col("best.place").alias("place")), "node")
+    tokens = members.agg(F.sum("n")).first()[0] or 0
+    buckets = max(at_least, int(tokens * share / rules.bucket_tokens) + 1)
+    left = _enough_shared(_shared_tokens(_prefix_blobs(docs, rules, buckets, text), buckets), rules)
+    wanted = saved(left.join(first.select("node", "n", F.col("best.place").alias("place")), "node"))
     placed = docs.select(F.monotonically_increasing_id().alias("place"), F.col(text).cast("string").alias("text"))
     texts = written(placed.join(wanted, "place").select("node", "n", "text"), "texts")
-    _settle(spark)
-    tokens = texts.agg(F.sum("n")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(tokens / rules.bucket_tokens) + 1)
-    prefixes = written(_rare_prefixes(_shared_tokens(_whole_blobs(texts, rules, buckets), buckets), rules), "prefixes")
-    _settle(spark)
-    current = prefixes.withColumn("component", F.col("node"))
-    stars = saved(_candidates(current, rules, buckets).groupBy("a", "b").agg(F.sum("hits").alias("hits")))
-    families = connected_components(stars).withColumnRenamed("component", "family")
-    found, pairs = None, stars
+    tokens = wanted.agg(F.sum("n")).first()[0] or 0
+    buckets = max(at_least, int(tokens / rules.bucket_tokens) + 1)
+    profiles = written(_profiles(_shared_tokens(_whole_blobs(texts, rules, buckets), buckets), rules), "profiles")
+    current = profiles.select("node", F.col("node").alias("component"))
+    found = []
     for _ in range(0 if every else rules.linear_rounds):
-        ends = pairs.select("a", "b", "hits", F.explode(F.array("a", "b")).alias("node"))
-        best = ends.groupBy("node").agg(F.max(F.struct("hits", "a", "b")).alias("best"))
-        new = saved(_verified(best.select("best.a", "best.b").distinct(), texts, rules))
-        found = new if found is None else found.unionByName(new)
-        current = saved(prefixes.join(connected_components(found), "node", "left").withColumn("component", F.coalesce("component", "node")))
-        pairs = _candidates(current, rules, buckets).groupBy("a", "b").agg(F.sum("hits").alias("hits"))
-        _settle(spark)
-    placed = current.join(families, "node", "left").withColumn("family", F.coalesce("family", "node"))
-    placed, _ = numbered(placed.select("family", "component", "node", "n", "tok"), ["family", "component", "node"])
-    placed = placed.withColumn("block", F.expr(f"row_number div {rules.block_nodes}"))
-    last = saved(_verified_blocks(placed, _block_pairs(placed, buckets), texts, rules, every))
-    return last if found is None else found.unionByName(last)
+        pairs = _candidates(profiles.join(current, "node"), rules, buckets).groupBy("a", "b", "ca", "cb").agg(F.sum("hits").alias("hits"))
+        best = pairs.select("*", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.max(F.struct("hits", "a", "b", "ca", "cb")).alias("best"))
+        best = _passing_pairs(best.select("best.a", "best.b", "best.ca", "best.cb").distinct(), profiles, rules)
+        found.append(saved(_verified(best, texts, rules)))
+        current = saved(_merged(current, found[-1]).select("node", "component"))
+    placed = written(_placed(profiles.join(current, "node").select(*profiles.columns, "component"), rules), "blocks")
+    passing = saved(_passing(placed, _block_pairs(placed, buckets), rules))
+    found.append(saved(_verified_blocks(passing, texts, rules, every)))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.select("a", "b"), _merged(current, found[-1])
 
 
 def _labelled(docs: DataFrame, rules: JaccardRules | None, key: str, text: str) -> DataFrame:
@@ -489,12 +595,10 @@ def _labelled(docs: DataFrame, rules: JaccardRules | None, key: str, text: str)
     rules = rules or JaccardRules()
     fixed_splits(docs.sparkSession)
     members = saved(nodes(docs, rules, key, text))
-    components = connected_components(links(docs, members, rules, key, text))
-    classes = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    placed = classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    label = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = placed.join(label, "component").select("node", "component", "component_id")
-    out = members.join(names, "node", "left")
+    _, components = links(docs, members, rules, key, text)
+    named = saved(members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    label = saved(named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    out = named.join(label, "component", "left")
     return out.select("doc_id", "place", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("node").isNotNull().alias("has_tokens"), "component")
 
 
