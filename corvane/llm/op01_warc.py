@@ -9,10 +9,16 @@ Reading parses whole files record by record. :func:`assemble` joins request, res
 metadata records through their concurrent-to identifiers and gives one nested row per capture.
 
 Defined results: a null page or html is an empty payload; a null id or URL leaves its field out
-and reads back as null; equal pages with equal ids are separate records, one of which is the
-response. A file that ends inside a record gives that record with ``truncated`` set. Records
-that no response belongs to form a capture of their own with a null response. A record id that
-occurs more than once (an archive read twice) counts once. Empty tables give empty results.
+and reads back as null; a URL with blanks or control characters is written percent-encoded as
+target and exactly in the metadata record; equal pages with equal ids are separate records, one of
+which is the response. A file that ends inside a record gives that record with ``truncated`` set;
+so does a record without a sound length, which has an empty block, and reading goes on at the
+next version line. Records that no response belongs to form a capture of their own with a null
+response. Records with one id and equal content (an archive read twice) count once; different
+records of one id are captures of their own, each with the requests and metadata of that id; a
+truncated record counts only where no whole one has its id;
+records without an id are never equal and are named by file and place. Empty tables give empty
+results. Archives are read whole, one file a task, so a file must stay below Spark's 2 GB.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fixed_splits, saved, scratch
+from .common import fixed_splits, saved, scratch, written
 
 #: Fixed values of the formats.
 VERSION, BREAK, BASE32 = "WARC/1.1", "\r\n", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -65,14 +71,17 @@ def _line(c: Column) -> Column:
 
 
 def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", key: str = "page_id", url: str = "url", html: str = "html", per_file: int = 4000) -> None:
-    """Write pages to path as gzip WARC files; payloads from min_bytes on are stored once."""
+    """Write pages to path as gzip WARC files; payloads from min_bytes on are stored once.
+
+    Only the digests that recur are joined to the pages, as a hash table; pages aren't sorted.
+    """
     fixed_splits(pages.sparkSession)
     p = pages.select(
         F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("body"), F.monotonically_increasing_id().alias("mid"),
     ).withColumn("n", F.octet_length("body")).withColumn("digest", F.sha1(F.col("body").cast("binary")))
     first = p.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.max(F.struct("page_id", "mid")).alias("best"), F.count("*").alias("copies"))
     first = first.where("copies > 1").select("digest", F.col("best.mid").alias("best_mid"))
-    p = p.join(first, "digest", "left")
+    p = p.join(first.hint("shuffle_hash"), "digest", "left")
     revisit = F.coalesce(F.col("best_mid") != F.col("mid"), F.lit(False))
     original = F.when(F.col("n") >= min_bytes, _uuid("response", F.col("digest"), F.col("n"))).otherwise(_uuid("response", F.col("page_id"), F.col("mid"), "small"))
     own = F.when(revisit, _uuid("revisit", F.col("page_id"), F.col("mid"))).otherwise(original)
@@ -81,7 +90,8 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "20
     uri = _line(F.col("url"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{BREAK}Content-Type: text/html; charset=utf-8{BREAK}Content-Length: "), F.col("n").cast("string"), F.lit(BREAK * 2))
     asked = F.concat(F.lit("GET "), F.coalesce(uri, F.lit("/")), F.lit(f" HTTP/1.1{BREAK * 2}"))
-    fields = F.concat(F.lit("page_id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(BREAK))
+    exact = F.when(uri != F.col("url"), F.concat(F.lit("url_base64: "), F.regexp_replace(F.base64(F.col("url").cast("binary")), r"\s", ""), F.lit(BREAK)))
+    fields = F.concat(F.lit("page_id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(BREAK), F.coalesce(exact, F.lit("")))
     records = (
         _record("request", req, date, {"WARC-Target-URI": uri, "WARC-Concurrent-To": F.col("rid"), "Content-Type": F.lit("application/http;msgtype=request")}, asked),
         _record(
@@ -144,6 +154,13 @@ class _Bytes:
         return out
 
 
+def _length(fields: dict[str, list[str]]) -> int | None:
+    """The one length that a record states; None if there is none or it is no number."""
+    told = set(fields.get("content-length", []))
+    one = told.pop() if len(told) == 1 else ""
+    return int(one) if one.isascii() and one.isdigit() and len(one) < 19 else None
+
+
 def parse(content: bytes) -> Iterator[tuple[dict[str, list[str]], bytes, bool]]:
     """(fields by lower-case name, block, truncated) of each record."""
     src = _Bytes(content)
@@ -160,9 +177,9 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, list[str]], bytes, bool]]:
             name, _, value = text.partition(":")
             last = name.strip().lower()
             fields.setdefault(last, []).append(value.strip())
-        size = int((fields.get("content-length") or ["0"])[0] or 0)
-        block = src.take(size)
-        yield fields, block, line is None or len(block) < size
+        size = _length(fields)
+        block = src.take(size or 0)
+        yield fields, block, line is None or size is None or len(block) < size
 
 
 def _row(file: str, ordinal: int, fields: dict, block: bytes, truncated: bool, keep: bool) -> tuple:
@@ -208,25 +225,28 @@ def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: its response and the requests and metadata concurrent to it.
 
     A concurrent-to field may stand on either side, and metadata may name the request instead of
-    the response; both lead to the response.
+    the response; both lead to the response. records should be stored: it is read several times.
     """
-    records = records.where(F.col("record_type").isin("request", "response", "revisit", "resource", "metadata")).dropDuplicates(["record_id"])
+    content = [c for c in records.columns if c not in ("file", "ordinal", "payload")]
+    place = F.concat_ws("#", "file", F.col("ordinal").cast("string"))
+    records = records.where(F.col("record_type").isin("request", "response", "revisit", "resource", "metadata"))
+    records = records.withColumn("id", F.coalesce("record_id", place)).withColumn("mark", F.when(F.col("record_id").isNull(), place).otherwise(F.sha1(F.to_json(F.struct(*content)).cast("binary"))))
+    whole = records.where(~F.col("truncated"))
+    records = whole.dropDuplicates(["id", "mark"]).union(records.where("truncated").dropDuplicates(["id", "mark"]).join(whole.select("id"), "id", "left_anti").select(*records.columns))
     main = F.col("record_type").isin("response", "revisit", "resource")
     heads, rest = records.where(main), records.where(~main)
-    ids = heads.select(F.col("record_id").alias("head_id"))
-    named = rest.select("record_id", F.explode("concurrent_to").alias("target"))
-    direct = named.join(ids, F.col("target") == F.col("head_id")).select("record_id", "head_id")
-    back = heads.select(F.explode("concurrent_to").alias("record_id"), F.col("record_id").alias("head_id"))
-    known = direct.unionByName(back).groupBy("record_id").agg(F.min("head_id").alias("head_id"))
-    over = named.join(known.withColumnRenamed("record_id", "via"), F.col("target") == F.col("via")).groupBy("record_id").agg(F.min("head_id").alias("far_id"))
-    placed = rest.join(known, "record_id", "left").join(over, "record_id", "left")
+    claims = heads.select("id", F.col("id").alias("head_id")).union(heads.select(F.explode("concurrent_to"), "id")).groupBy("id").agg(F.min("head_id").alias("head_id"))
+    ties = rest.select(F.col("id").alias("own"), F.explode(F.array_union(F.array("id"), F.coalesce("concurrent_to", F.array().cast("array<string>")))).alias("id"))
+    known = ties.join(claims, "id").groupBy("own").agg(F.min("head_id").alias("head_id"))
+    far = ties.where("id != own").join(known, "own", "left_anti").join(known.withColumnRenamed("own", "id"), "id").groupBy("own").agg(F.min("head_id").alias("head_id"))
+    placed = rest.join(known.union(far).withColumnRenamed("own", "id"), "id", "left").withColumn("capture_id", F.coalesce("head_id", "id"))
     part = F.struct("record_id", "date", "target_uri", "status", "block", "truncated")
-    group = placed.withColumn("capture_id", F.coalesce("head_id", "far_id", "record_id")).groupBy("capture_id").agg(
+    group = placed.groupBy("capture_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("record_type") == "request", part))).alias("requests"),
         F.array_sort(F.collect_list(F.when(F.col("record_type") == "metadata", part))).alias("metadata"),
     )
     response = heads.select(
-        F.col("record_id").alias("capture_id"),
+        F.col("id").alias("capture_id"),
         F.struct("record_id", "record_type", "date", "target_uri", "refers_to", "named_digest", "status", "payload_bytes", "payload_digest", "payload", "truncated").alias("response"),
     )
     return response.join(group, "capture_id", "full")
@@ -237,15 +257,17 @@ def pages_through_archive(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     write_pages(pages, path, min_bytes)
-    captures = assemble(read_records(spark, path)).select(
+    block = F.col("metadata")[0]["block"]
+    field = lambda name, value: F.nullif(F.regexp_extract(block, rf"(?m)^{name}: ({value})\r?$", 1), F.lit(""))
+    captures = assemble(written(read_records(spark, path), "records")).select(
         "capture_id", F.col("response.record_type").alias("record_type"), F.col("response.refers_to").alias("refers_id"), F.col("response.payload_bytes").alias("payload_bytes"),
-        F.col("response.payload_digest").alias("payload_digest"), F.col("response.named_digest").alias("named_digest"),
-        F.regexp_extract(F.col("metadata")[0]["block"], r"page_id: (-?\d+)", 1).alias("id_text"),
+        F.col("response.payload_digest").alias("payload_digest"), F.col("response.named_digest").alias("named_digest"), field("page_id", r"-?\d+").cast("long").alias("page_id"),
+        F.coalesce(F.unbase64(field("url_base64", "[A-Za-z0-9+/=]+")).cast("string"), F.col("response.target_uri")).alias("url"),
     )
-    captures = saved(captures.withColumn("page_id", F.when(F.col("id_text") != "", F.col("id_text").cast("long"))))
+    captures = saved(captures)
     target = captures.where("record_type = 'response'").select(F.col("capture_id").alias("refers_id"), F.col("page_id").alias("first_page"), F.col("payload_bytes").alias("first_bytes"), F.col("payload_digest").alias("first_digest"))
     again = F.col("record_type") == "revisit"
     return captures.join(target, "refers_id", "left").select(
         "page_id", F.when(again, F.col("first_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), F.when(again, F.col("first_digest")).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type", F.when(again, F.col("first_page")).alias("refers_to"), (F.col("named_digest") == F.coalesce("first_digest", "payload_digest")).alias("digest_holds"),
+        "record_type", F.when(again, F.col("first_page")).alias("refers_to"), (F.col("named_digest") == F.coalesce("first_digest", "payload_digest")).alias("digest_holds"), "url",
     )

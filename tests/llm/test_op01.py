@@ -23,6 +23,7 @@ def test_round_trip_and_roles(spark, tmp_path):
         raw = (h or "").encode()
         for r in by[i]:
             assert r["payload_bytes"] == len(raw) and r["payload_digest"] == base64.b32encode(hashlib.sha1(raw).digest()).decode() and r["digest_holds"]
+        assert all(r["url"] == u for i, u, h in rows for r in by[i] if len(by[i]) == 1)
     one = {i: (by[i][0]["record_type"], by[i][0]["refers_to"]) for i in (1, 3, 5, 2, 9, 7, 8, None)}
     assert one == {1: ("revisit", 5), 3: ("revisit", 5), 5: ("response", None), 2: ("revisit", 9), 9: ("response", None), 7: ("response", None), 8: ("response", None), None: ("response", None)}
     assert sorted((r["record_type"], r["refers_to"]) for r in by[4]) == [("response", None), ("revisit", 4)] or {r["record_type"] for r in by[4]} == {"response", "revisit"}
@@ -68,3 +69,41 @@ def test_parse_folded_fields_and_garbage():
     raw = b"junk\r\n" + b"WARC/1.0\r\nWARC-Type: metadata\r\nX-A: one\r\n two\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     ((fields, block, cut),) = list(parse(raw))
     assert fields["x-a"] == ["one two"] and block == b"abc" and not cut
+
+
+def test_bad_lengths_flag_the_record_and_reading_goes_on():
+    for bad in ("abc", "-5", "", "9" * 30):
+        raw = f"WARC/1.0\r\nWARC-Type: metadata\r\nContent-Length: {bad}\r\n\r\nlost: 1\r\n\r\n".encode() + record("metadata", "<m>", "a: b")
+        (_, block, cut), (fields, after, whole) = list(parse(raw))
+        assert block == b"" and cut and fields["warc-record-id"] == ["<m>"] and after == b"a: b" and not whole
+
+
+def test_records_without_an_id_and_different_ones_of_one_id(spark, tmp_path):
+    bare = [record("response", "x", f"HTTP/1.1 200 OK\r\n\r\n{i}").replace(b"WARC-Record-ID: x\r\n", b"") for i in (1, 2, 2)]
+    rows = [*bare, record("response", "<r>", "HTTP/1.1 200 OK\r\n\r\none"), record("response", "<r>", "HTTP/1.1 200 OK\r\n\r\ntwo"), record("response", "<r>", "HTTP/1.1 200 OK\r\n\r\ntwo"), record("request", "<q>", "GET / HTTP/1.1\r\n\r\n", Concurrent_To="<r>")]
+    (tmp_path / "a.warc").write_bytes(b"".join(rows))
+    got = [(r["response"]["record_id"], bytes(r["response"]["payload"]), len(r["requests"] or [])) for r in assemble(read_records(spark, str(tmp_path), payloads=True)).collect()]
+    assert sorted(got, key=str) == sorted([(None, b"1", 0), (None, b"2", 0), (None, b"2", 0), ("<r>", b"one", 1), ("<r>", b"two", 1)], key=str)
+
+
+def test_assembly_equals_a_walk_over_the_records(spark, tmp_path):
+    import random
+
+    rng, raw, want = random.Random(8), [], {}
+    for i in range(300):
+        heads = rng.random() < 0.9
+        kind = rng.choice(["response", "revisit", "resource"])
+        asks = [f"<q{i}.{k}>" for k in range(rng.randrange(3))]
+        about = [f"<m{i}.{k}>" for k in range(rng.randrange(3))]
+        if heads:
+            raw.append(record(kind, f"<r{i}>", f"HTTP/1.1 200 OK\r\n\r\n{i}", **({"Concurrent_To": asks[0]} if asks else {})))
+            want[f"<r{i}>"] = (sorted(asks), sorted(about))
+        else:
+            want |= {q: ([q], []) for q in asks} | {m: ([], [m]) for m in about}
+        raw += [record("request", q, "GET / HTTP/1.1\r\n\r\n", Concurrent_To=f"<r{i}>") for q in asks]
+        raw += [record("metadata", m, "a: b", Concurrent_To=rng.choice(asks) if asks and heads else f"<r{i}>") for m in about]
+    rng.shuffle(raw)
+    for k in range(3):
+        (tmp_path / f"{k}.warc.gz").write_bytes(gzip.compress(b"".join(raw[k::3])))
+    got = {r["capture_id"]: tuple(sorted(x["record_id"] for x in r[c] or []) for c in ("requests", "metadata")) for r in assemble(read_records(spark, str(tmp_path))).collect()}
+    assert got == {k: tuple(map(list, v)) for k, v in want.items()}
