@@ -83,40 +83,52 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None, stored: bool = False) -> DataFrame:
     """node, component (its least node) by contraction; edges: a, b; nodes adds nodes without edges.
 
     Each task unites the edges of its stretches by itself and names every node's local root.
     Grouped by node, the roots that a node has in several stretches become the next round's edges;
     a node that is no root in any stretch has its pointer and leaves. So a hub of any degree is
     one row for each stretch that holds it, and a round's edges join the last round's roots only.
-    From the second round on each edge lies with both of its ends, so that chains of roots shorten
-    every round. At last the pointers are followed back by equi-joins. Rounds are cut with
-    checkpoint() in the folder of spark.checkpoint.dir. Edges with a null end are left out;
-    self-loops keep their node.
+    As many tasks are used as the edges have stretches; while there are several, from the second
+    round on each edge lies with both of its ends, so that chains of roots shorten every round.
+    At last the pointers are followed back by equi-joins. Rounds are cut with checkpoint() in the
+    folder of spark.checkpoint.dir; edges that are stored already (stored) aren't copied there.
+    Edges with a null end are left out; self-loops keep their node.
     """
     ready_checkpoints(edges.sparkSession)
-    e, rounds = edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u is not null and v is not null"), []
-    while True:
-        roots = e.mapInArrow(_united, "node long, root long")
-        seen = roots.groupBy("node").agg(F.min("root").alias("least"), F.collect_set("root").alias("roots")).checkpoint()
+    e = edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u is not null and v is not null")
+    e = e if stored else e.checkpoint()
+    left, rounds = e.count(), []
+    while left or not rounds:
+        tasks = left // STRETCH + 1
+        e = e.coalesce(tasks)
+        if rounds and tasks > 1:
+            e = e.mapInArrow(_united, "node long, root long").toDF("u", "v").where("u != v")
+            e = e.union(e.select("v", "u")).repartition("u")
+        seen = e.mapInArrow(_united, "node long, root long").groupBy("node").agg(F.min("root").alias("least"), F.collect_set("root").alias("roots")).checkpoint()
         rounds.append(seen)
         e = seen.where(F.size("roots") > 1).select(F.explode("roots").alias("u"), F.col("least").alias("v")).where("u != v")
-        if e.isEmpty():
-            break
-        e = e.mapInArrow(_united, "node long, root long").toDF("u", "v").where("u != v")
-        e = e.union(e.select("v", "u")).repartition("u")
+        left = e.count()
     known = None
-    for seen in reversed(rounds):
-        own = seen.where(~F.array_contains("roots", F.col("node"))).select("node", F.col("least").alias("component"))
-        if known is not None:
-            further = known.select(F.col("node").alias("component"), F.col("component").alias("far"))
-            own = own.join(further, "component", "left").select("node", F.coalesce("far", "component").alias("component")).union(known)
-        known = own
-    every = rounds[0].select("node")
-    every = every.union(nodes.select(F.col("node").cast("long"))).distinct() if nodes is not None else every
+    for seen in reversed(rounds[1:]):
+        own = _followed(seen.where(~F.array_contains("roots", F.col("node"))), known)
+        known = own if known is None else own.union(known)
+    out = _followed(rounds[0], known)
     kind = edges.schema["a"].dataType
-    return every.join(known, "node", "left").select(F.col("node").cast(kind), F.coalesce("component", "node").cast(kind).alias("component"))
+    if nodes is not None:
+        every = rounds[0].select("node").union(nodes.select(F.col("node").cast("long"))).distinct()
+        out = every.join(out, "node", "left")
+    return out.select(F.col("node").cast(kind), F.coalesce("component", "node").cast(kind).alias("component"))
+
+
+def _followed(seen: DataFrame, known: DataFrame | None) -> DataFrame:
+    """node, component of a round's nodes by their least root and what later rounds know of it."""
+    own = seen.select("node", F.col("least").alias("component"))
+    if known is None:
+        return own
+    further = known.select(F.col("node").alias("component"), F.col("component").alias("far"))
+    return own.join(further, "component", "left").select("node", F.coalesce("far", "component").alias("component"))
 
 
 def ready_checkpoints(spark) -> None:

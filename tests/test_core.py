@@ -45,6 +45,31 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+def test_components_over_many_stretches(spark, monkeypatch):
+    import random
+
+    from corvane.operators import sets as S
+
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, x) for x in range(1001, 1200)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(140)] + [(4000, 4000)]
+    rng.shuffle(edges)
+    up = {x: x for e in edges for x in e}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    df = spark.createDataFrame([*edges, (None, 3)], "a long, b long").repartition(8)
+    monkeypatch.setattr(S, "STRETCH", 40)  # many tasks and rounds
+    got = {r["node"]: r["component"] for r in S.connected_components(df, spark.createDataFrame([(5000,), (7,)], "node long")).collect()}
+    assert got == {x: find(x) for x in up} | {5000: 5000}
+    assert S.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_radius_join_is_an_equi_join(spark):
     plan = q.QUERIES["radius_join"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
