@@ -274,8 +274,8 @@ def _profiles(shared: DataFrame, rules: JaccardRules) -> DataFrame:
     """Filters 2 to 4: node, n, c (its shared tokens) and profile of nodes that have a prefix.
 
     tok: those of its rarest tokens that others have; second: the prefix under the second order;
-    bits: parity of its shared tokens; anchor: the most common of tok. A token that no other node
-    has comes before any other in both orders, so those take the prefixes first.
+    bits: parity of its shared tokens. A token that no other node has comes before any other in
+    both orders, so those take the prefixes first.
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -291,13 +291,13 @@ def _profiles(shared: DataFrame, rules: JaccardRules) -> DataFrame:
         for i in good.tolist():
             t, k = tok[first[i] : first[i] + c[i]], int(keep[i])
             s = _second(t)
-            rows.append((t[:k].tobytes(), (np.partition(s, k - 1)[:k] if k < len(s) else s).tobytes(), parity_bits(t, int(width[i])).tobytes(), int(t[k - 1])))
-        return pd.DataFrame(rows, columns=["tok", "second", "bits", "anchor"]).assign(node=node[good], n=n[good], c=c[good])[["node", "n", "c", "tok", "second", "bits", "anchor"]]
+            rows.append((t[:k].tobytes(), (np.partition(s, k - 1)[:k] if k < len(s) else s).tobytes(), parity_bits(t, int(width[i])).tobytes()))
+        return pd.DataFrame(rows, columns=["tok", "second", "bits"]).assign(node=node[good], n=n[good], c=c[good])[["node", "n", "c", "tok", "second", "bits"]]
 
     return shared.groupBy("bucket").applyInPandas(run, PROFILE)
 
 
-PROFILE = "node long, n long, c long, tok binary, second binary, bits binary, anchor long"
+PROFILE = "node long, n long, c long, tok binary, second binary, bits binary"
 
 
 PAIRS = "a long, b long, ca long, cb long, hits long"
@@ -351,19 +351,24 @@ def _candidates(prefixes: DataFrame, rules: JaccardRules, buckets: int) -> DataF
 
 
 def _block_pairs(placed: DataFrame, buckets: int) -> DataFrame:
-    """Pairs of blocks (i <= j) with nodes of different components that share a rare token."""
+    """Pairs of blocks (i <= j) that hold nodes of different components with a rare token in common."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         tok, own, node, n, extra = _gathered_pairs(g.copy())
         block, comp = extra[own, 0], extra[own, 1]
-        order = np.lexsort((block, tok))
+        order = np.lexsort((comp, block, tok))
         tok, block, comp = tok[order], block[order], comp[order]
-        start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
-        mixed = np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
+        new = np.concatenate([[True], (tok[1:] != tok[:-1]) | (block[1:] != block[:-1])])
+        start = np.flatnonzero(new)
+        last = np.append(start[1:], len(tok)) - 1
+        tok, block, low, high = tok[start], block[start], comp[start], comp[last]  # a row for each token and block
+        at = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+        mixed = np.minimum.reduceat(low, at) != np.maximum.reduceat(high, at) if len(at) else np.zeros(0, bool)
         found: set[tuple[int, int]] = set()
-        for a, b in zip(start[mixed].tolist(), np.append(start[1:], len(tok))[mixed].tolist()):
-            u = np.unique(block[a:b]).tolist()
-            found.update((x, y) for k, x in enumerate(u) for y in u[k:])
+        for lo, hi in zip(at[mixed].tolist(), np.append(at[1:], len(tok))[mixed].tolist()):
+            for k in range(lo, hi):  # a token's blocks are sorted
+                apart = (low[k:hi] != low[k]) | (high[k:hi] != low[k]) | (high[k] != low[k])
+                found.update((int(block[k]), y) for y in block[k:hi][apart].tolist())
         return pd.DataFrame(sorted(found), columns=["i", "j"])
 
     blobs = _spread(placed.select("node", "n", "tok", "block", "component"), buckets)
@@ -417,7 +422,7 @@ def _parities_apart(bits: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarr
 
 
 def _placed(profiles: DataFrame, rules: JaccardRules) -> DataFrame:
-    """Profiles with their block: nodes of a like anchor and component side by side."""
+    """Profiles with their block: nodes of a family, and in it of a component, side by side."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -432,9 +437,9 @@ def _placed(profiles: DataFrame, rules: JaccardRules) -> DataFrame:
                 own.append(block)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=[*batch.schema.names, "block"])
 
-    keys = ["anchor", "component", "node"]
+    keys = ["family", "component", "node"]
     parts = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return profiles.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, f"{PROFILE}, component long, block long")
+    return profiles.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, f"{PROFILE}, component long, family long, block long")
 
 
 def _passing(placed: DataFrame, pairs: DataFrame, rules: JaccardRules) -> DataFrame:
@@ -443,7 +448,7 @@ def _passing(placed: DataFrame, pairs: DataFrame, rules: JaccardRules) -> DataFr
     Of the two blocks' profiles, those with a partner in the other block, of another component,
     that passes every filter.
     """
-    need = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")).join(placed.drop("anchor"), "block")
+    need = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")).join(placed.drop("family"), "block")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         tc.trim()
@@ -574,14 +579,19 @@ def links(docs: DataFrame, members: DataFrame, rules: JaccardRules, key: str = "
     buckets = max(at_least, int(tokens / rules.bucket_tokens) + 1)
     profiles = written(_profiles(_shared_tokens(_whole_blobs(texts, rules, buckets), buckets), rules), "profiles")
     current = profiles.select("node", F.col("node").alias("component"))
+    # families: nodes that candidates connect at all; a node's pairs with its tokens' hubs suffice
+    pairs = saved(_candidates(profiles.join(current, "node"), rules, buckets).groupBy("a", "b", "ca", "cb").agg(F.sum("hits").alias("hits")))
+    families = connected_components(pairs).withColumnRenamed("component", "family")
     found = []
-    for _ in range(0 if every else rules.linear_rounds):
-        pairs = _candidates(profiles.join(current, "node"), rules, buckets).groupBy("a", "b", "ca", "cb").agg(F.sum("hits").alias("hits"))
+    for k in range(0 if every else rules.linear_rounds):
+        if k:
+            pairs = _candidates(profiles.join(current, "node"), rules, buckets).groupBy("a", "b", "ca", "cb").agg(F.sum("hits").alias("hits"))
         best = pairs.select("*", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.max(F.struct("hits", "a", "b", "ca", "cb")).alias("best"))
         best = _passing_pairs(best.select("best.a", "best.b", "best.ca", "best.cb").distinct(), profiles, rules)
         found.append(saved(_verified(best, texts, rules)))
         current = saved(_merged(current, found[-1]).select("node", "component"))
-    placed = written(_placed(profiles.join(current, "node").select(*profiles.columns, "component"), rules), "blocks")
+    placed = profiles.join(current, "node").join(families, "node", "left").select(*profiles.columns, "component", F.coalesce("family", "node").alias("family"))
+    placed = written(_placed(placed, rules), "blocks")
     passing = saved(_passing(placed, _block_pairs(placed, buckets), rules))
     found.append(saved(_verified_blocks(passing, texts, rules, every)))
     out = found[0]
