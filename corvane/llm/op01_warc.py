@@ -40,7 +40,7 @@ VERSION, BREAK, BASE32 = "WARC/1.1", "\r\n", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORDS = (
     "file string, ordinal long, record_id string, record_type string, date string, target_uri string, "
     "concurrent_to array<string>, refers_to string, named_digest string, status int, payload_bytes long, "
-    "payload_digest string, block string, payload binary, truncated boolean"
+    "payload_digest string, block string, payload binary, truncated boolean, mark binary"
 )
 
 
@@ -70,9 +70,10 @@ def _line(c: Column) -> Column:
     return F.regexp_replace(c.cast("string"), r"[\x00-\x20]", "%20")
 
 
-def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", key: str = "page_id", url: str = "url", html: str = "html", per_file: int = 4000) -> None:
+def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", key: str = "page_id", url: str = "url", html: str = "html", per_file: int = 4000, level: str = "BEST_SPEED") -> None:
     """Write pages to path as gzip WARC files; payloads from min_bytes on are stored once.
 
+    level: of zlib, as its names in Hadoop.
     Only the digests that recur are joined to the pages, as a hash table; pages aren't sorted.
     """
     fixed_splits(pages.sparkSession)
@@ -104,7 +105,7 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "20
         ),
         _record("metadata", _uuid("metadata", F.col("page_id"), F.col("mid")), date, {"WARC-Target-URI": uri, "WARC-Concurrent-To": F.col("rid"), "Content-Type": F.lit("application/warc-fields")}, fields),
     )
-    p.select(F.concat_ws(BREAK * 2, *records).alias("value")).write.option("lineSep", BREAK * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    p.select(F.concat_ws(BREAK * 2, *records).alias("value")).write.option("lineSep", BREAK * 2).option("compression", "gzip").option("zlib.compress.level", level).option("maxRecordsPerFile", per_file).text(path)
 
 
 class _Bytes:
@@ -192,14 +193,14 @@ def _row(file: str, ordinal: int, fields: dict, block: bytes, truncated: bool, k
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if kind in ("response", "resource") else None
     named = one("warc-payload-digest")
     small = block.decode("utf-8", "replace") if kind in ("metadata", "warcinfo", "request") else None
-    return file, ordinal, one("warc-record-id"), kind, one("warc-date"), one("warc-target-uri"), fields.get("warc-concurrent-to", []), one("warc-refers-to"), named.partition(":")[2] if named else None, status, len(payload), digest, small, payload if keep else None, truncated
+    return file, ordinal, one("warc-record-id"), kind, one("warc-date"), one("warc-target-uri"), fields.get("warc-concurrent-to", []), one("warc-refers-to"), named.partition(":")[2] if named else None, status, len(payload), digest, small, payload if keep else None, truncated, hashlib.sha1(repr(sorted(fields.items())).encode("utf-8", "replace") + block).digest()
 
 
 def read_records(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """One row for each record of the archives in path. Payloads are measured, and kept on demand."""
 
     def run(batches):
-        types = [pa.string(), pa.int64(), *[pa.string()] * 4, pa.list_(pa.string()), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.bool_()]
+        types = [pa.string(), pa.int64(), *[pa.string()] * 4, pa.list_(pa.string()), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.bool_(), pa.binary()]
         names = [x.split()[0] for x in RECORDS.split(", ")]
 
         def made(rows):
@@ -221,18 +222,24 @@ def read_records(spark: SparkSession, path: str, payloads: bool = False) -> Data
     return files.mapInArrow(run, RECORDS)
 
 
+def _distinct_records(records: DataFrame) -> DataFrame:
+    """records with id: their own, or file and place. Only those whose id recurs are compared."""
+    place = F.concat_ws("#", "file", F.col("ordinal").cast("string"))
+    records = records.withColumn("id", F.coalesce("record_id", place))
+    again = records.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    several = records.join(again, "id", "left_semi").select(records.columns)
+    whole = several.where(~F.col("truncated")).dropDuplicates(["id", "mark"])
+    cut = several.where("truncated").dropDuplicates(["id", "mark"]).join(whole.select("id"), "id", "left_anti").select(records.columns)
+    return records.join(again, "id", "left_anti").select(records.columns).union(whole).union(cut)
+
+
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: its response and the requests and metadata concurrent to it.
 
     A concurrent-to field may stand on either side, and metadata may name the request instead of
     the response; both lead to the response. records should be stored: it is read several times.
     """
-    content = [c for c in records.columns if c not in ("file", "ordinal", "payload")]
-    place = F.concat_ws("#", "file", F.col("ordinal").cast("string"))
-    records = records.where(F.col("record_type").isin("request", "response", "revisit", "resource", "metadata"))
-    records = records.withColumn("id", F.coalesce("record_id", place)).withColumn("mark", F.when(F.col("record_id").isNull(), place).otherwise(F.sha1(F.to_json(F.struct(*content)).cast("binary"))))
-    whole = records.where(~F.col("truncated"))
-    records = whole.dropDuplicates(["id", "mark"]).union(records.where("truncated").dropDuplicates(["id", "mark"]).join(whole.select("id"), "id", "left_anti").select(*records.columns))
+    records = saved(_distinct_records(records.where(F.col("record_type").isin("request", "response", "revisit", "resource", "metadata"))))
     main = F.col("record_type").isin("response", "revisit", "resource")
     heads, rest = records.where(main), records.where(~main)
     claims = heads.select("id", F.col("id").alias("head_id")).union(heads.select(F.explode("concurrent_to"), "id")).groupBy("id").agg(F.min("head_id").alias("head_id"))
