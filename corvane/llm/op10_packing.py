@@ -2,8 +2,8 @@
 
 Documents are dealt into index shards of a bounded number of tokens, as they come. Each shard
 holds a BM25 inverted index over the token ids of its documents. The first document of a window
-is its seed; the index returns the unused documents that match the seed's most telling tokens
-best, and these greedily fill the window. A document that passes the window's end is cut, and
+is its seed; the index returns the unused documents that match the seed's tokens best, and these
+greedily fill the window. A document that passes the window's end is cut, and
 its rest is the next seed, so windows are full. What a shard has left at its end goes to
 sequences whose lengths are powers of two, which aren't padded.
 
@@ -12,7 +12,8 @@ bounded by the shard's tokens (or one document), and a task that is run again gi
 pieces: sequence ids join the partition's number and a count.
 
 Defined results: a null or empty text is its closing id alone, and is packed as any other; equal
-texts and repeated rows are packed once for each row; an empty table gives an empty result. Only
+texts and repeated rows are packed once for each row; of documents with equal scores the first in
+the shard comes first, and so does the first unused one where no neighbour is left; an empty table gives an empty result. Only
 the id and the text are read.
 """
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import WordIds, default_path
+from .tokens import WordIds, default_path, spread
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, seed_doc long, bm25 double"
 
@@ -37,8 +38,6 @@ class PackingPlan:
     window: int = 2048
     end_id: int = 1
     shard_tokens: int = 1 << 20
-    #: Tokens of a seed that are looked up: those of the greatest weight in it.
-    query_terms: int = 16
     k1: float = 1.2
     b: float = 0.75
     tokenizer: str = ""
@@ -69,18 +68,33 @@ class Bm25Shard:
         by_doc = np.argsort(self.doc, kind="stable")
         by_doc = by_doc[self.many[by_doc]]
         self.by_doc, self.doc_at = by_doc, np.searchsorted(self.doc[by_doc], np.arange(n + 1))
-        self.terms = plan.query_terms
 
-    def scores(self, seed: int) -> np.ndarray | None:
-        own = self.by_doc[self.doc_at[seed] : self.doc_at[seed + 1]]
-        if not len(own):
-            return None
-        if len(own) > self.terms:
-            own = own[np.argpartition(-self.weight[own], self.terms - 1)[: self.terms]]
-        spans = [(self.at[t], self.at[t + 1]) for t in self.term[own]]
-        docs = np.concatenate([self.doc[a:b] for a, b in spans])
-        weights = np.concatenate([self.weight[a:b] for a, b in spans])
-        return np.bincount(docs, weights, self.n)
+    def scores(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """The documents that have a token of the seed, in order, and their scores for all its different tokens."""
+        t = self.term[self.by_doc[self.doc_at[seed] : self.doc_at[seed + 1]]]
+        at = spread(self.at[t], self.at[t + 1] - self.at[t])
+        if 8 * len(at) < self.n:  # a few of many documents
+            docs, own = np.unique(self.doc[at], return_inverse=True)
+            return docs, np.bincount(own, self.weight[at], len(docs))
+        scores = np.bincount(self.doc[at], self.weight[at], self.n)
+        docs = np.flatnonzero(scores)
+        return docs, scores[docs]
+
+    def neighbours(self, seed: int, used: np.ndarray) -> Iterator[tuple[int, float]]:
+        """The unused documents with a token of the seed and their scores, the best first, of equal ones the first.
+
+        Ranked in growing parts, as far as the window takes them; used is read when this begins.
+        """
+        docs, scores = self.scores(seed)
+        docs, scores = docs[~used[docs]], scores[~used[docs]]
+        part = 32
+        while len(docs):
+            least = np.partition(scores, -part)[-part] if len(docs) > part else 0.0
+            now = scores >= least
+            order = np.argsort(-scores[now], kind="stable")
+            yield from zip(docs[now][order].tolist(), scores[now][order].tolist())
+            docs, scores = docs[~now], scores[~now]
+            part *= 4
 
 
 def pack_shard(keys: list, docs: list[np.ndarray], plan: PackingPlan, first_sequence: int) -> Iterator[tuple]:
@@ -93,30 +107,21 @@ def pack_shard(keys: list, docs: list[np.ndarray], plan: PackingPlan, first_sequ
     sizes = [plan.window] * full + [1 << k for k in reversed(range(rest.bit_length())) if rest >> k & 1]
     doc, done = -1, 0  # the document that is being laid, and its tokens laid so far
     for seq, size in enumerate(sizes, first_sequence):
-        room, seed, scores, score = size, -1, None, 0.0
+        room, seed, near, score = size, -1, None, 0.0
         while room:
             if doc < 0:
-                if scores is not None:
-                    best = int(scores.argmax())
-                    if scores[best] > 0:
-                        doc, score = best, float(scores[best])
-                        scores[best] = -1.0
-                    else:
-                        scores = None
-                if doc < 0:
+                doc, score = next(near, (-1, 0.0)) if near else (-1, 0.0)
+                if doc < 0:  # no neighbours or none left: the next document is a seed in turn
+                    near, seed = None, -1
                     while used[unseen]:
                         unseen += 1
-                    doc, score = unseen, 0.0
+                    doc = unseen
                 used[doc] = True
                 done = 0
-                if scores is None and seed >= 0:
-                    seed = -1  # neighbours ran out: the next document is a seed in turn
             if seed < 0:
                 seed = doc
                 if len(docs[doc]) - done < room:
-                    scores = index.scores(seed)
-                    if scores is not None:
-                        scores[used] = -1.0
+                    near = index.neighbours(seed, used)
             take = min(room, len(docs[doc]) - done)
             yield keys[doc], done, take, zlib.crc32(docs[doc][done : done + take].tobytes()), len(docs[doc]), seq, size - room, keys[seed], score
             done += take
@@ -152,13 +157,12 @@ def pack(docs: DataFrame, plan: PackingPlan | None = None, text: str = "text", k
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                texts = part.column(1).to_pylist()
-                for k, e in zip(part.column(0).to_pylist(), coder.encode(texts)):
+            names = batch.column(0).to_pylist()
+            for a, b, flat, first in coder.slices(batch.column(1)):
+                for k, x, y in zip(names[a:b], first[:-1].tolist(), first[1:].tolist()):
                     keys.append(k)
-                    ids.append(np.concatenate([e, end]))
-                    held += len(e) + 1
+                    ids.append(np.concatenate([flat[x:y], end]))
+                    held += y - x + 1
                     if held >= plan.shard_tokens:
                         yield flush()
         if keys:

@@ -1,11 +1,12 @@
 """Tokenizing by white-space pieces, with memory and a vectorised merge of new words.
 
 The word tokenizer drops white space and never merges over it, so the ids of a text are the ids
-of its white-space pieces, one after another. Pieces recur, so a worker keeps the ids of those it
-has met (a bounded memory). New pieces of plain Latin letters and signs are split by the
-tokenizer's own pattern and merged together, all words of a batch at a time, by its own merge
-table; any other piece goes to the tokenizer, and so does a whole text with separators on which
-Python and the tokenizer disagree. Tests hold the result against the tokenizer's.
+of its white-space pieces, one after another. Texts are cut into words as bytes, words are found
+by 64-bit hashes in a table of those that the worker has met (a bounded memory), and the ids of
+a whole slice are gathered at once. New ASCII words are split into letters, digits and other
+signs and merged together by the tokenizer's own merge table without becoming Python strings;
+others are split by its own pattern, or go to the tokenizer; so does a whole text with
+separators on which the two disagree. Tests hold the result against the tokenizer's.
 """
 
 from __future__ import annotations
@@ -13,13 +14,18 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-_ODD = re.compile("[\x1c-\x1f\x85​﻿]|<\\|")
+from . import textcore as tc
+
+_ODD = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xe2\x80\x8b", b"\xef\xbb\xbf", b"<|")
 #: Composed characters on whose case and class both sides agree.
 _PLAIN = re.compile("[\x21-\x7e¡-¬®-įı-ňŊ-ž]*")
-_MOST_KEPT = 800_000
+#: Words that a worker keeps, if one slice has no more.
+_MOST_KEPT = 1 << 20
 _NONE = np.iinfo(np.int64).max
 _loaded: dict[str, "WordIds"] = {}
 
@@ -72,13 +78,14 @@ class Merges:
         out[maybe[hit]] = self.rank[at[hit]] << 20 | at[hit]
         return out
 
-    def ids(self, words: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each word."""
-        n = len(words)
-        lens = np.fromiter(map(len, words), np.int64, n)
-        tok = self.inner[np.frombuffer(b"".join(words), np.uint8)]
+    def ids(self, raw: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many each has). raw: bytes of words of these lengths, none empty."""
+        n = len(lens)
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        tok = self.inner[raw]
         ends = np.cumsum(lens)
-        tok[ends - 1] = self.last[np.frombuffer(b"".join(words), np.uint8)[ends - 1]]
+        tok[ends - 1] = self.last[raw[ends - 1]]
         own = np.repeat(np.arange(n), lens)
         done_tok, done_own = [], []
         rank = self._pair_ranks(tok, own)
@@ -112,9 +119,7 @@ class Merges:
             rank[again] = fresh
         tok, own = np.concatenate(done_tok), np.concatenate(done_own)
         order = np.argsort(own, kind="stable")
-        raw = tok[order].astype("<u4").tobytes()
-        cut = (4 * np.searchsorted(own[order], np.arange(n + 1))).tolist()
-        return [raw[a:b] for a, b in zip(cut, cut[1:])]
+        return tok[order].astype(np.uint32), np.bincount(own, minlength=n)
 
     def _pair_ranks(self, tok: np.ndarray, own: np.ndarray) -> np.ndarray:
         rank = np.full(len(tok), _NONE, np.int64)
@@ -123,8 +128,88 @@ class Merges:
         return rank
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans of data, eight bytes at a time; 16 bytes must follow the last."""
+    at_once = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    size = end - start
+    h = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    todo, at, left = np.arange(len(start)), start, size
+    while len(todo):
+        part = at_once[at]
+        short = left < 8
+        part[short] &= (np.uint64(1) << (np.uint64(8) * left[short].astype(np.uint64))) - np.uint64(1)
+        h[todo] = tc.mix(h[todo] ^ part)
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    return h
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[i] .. first[i] + count[i] - 1 of every i, one after another."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+class WordTable:
+    """Ids of the words met, by hash: open addressing in arrays."""
+
+    def __init__(self, room: int):
+        self.room, self.bits = room, max(4, (2 * room - 1).bit_length())
+        self.slot = np.zeros(1 << self.bits, np.int32)  # number of the word there and one; 0: free
+        self.hash = np.zeros(room, np.uint64)
+        self.first, self.count = np.zeros(room, np.int64), np.zeros(room, np.int64)
+        self.ids, self.n, self.used = np.zeros(room, np.uint32), 0, 0
+
+    def _place(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash; -1 if it is not there."""
+        out, todo, at = np.full(len(h), -1, np.int64), np.arange(len(h)), self._place(h)
+        while len(todo):
+            k = self.slot[at] - 1
+            hit = (k >= 0) & (self.hash[k] == h[todo])
+            out[todo[hit]] = k[hit]
+            more = (k >= 0) & ~hit
+            todo, at = todo[more], (at[more] + 1) & (len(self.slot) - 1)
+        return out
+
+    def add(self, h: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """New, different hashes."""
+        new = np.arange(self.n, self.n + len(h))
+        self.hash[new], self.count[new], self.first[new] = h, count, self.used + np.cumsum(count) - count
+        self.n += len(h)
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(len(ids) + len(self.ids), np.uint32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        at = self._place(h)
+        while len(new):
+            free = np.flatnonzero(self.slot[at] == 0)
+            place, k = np.unique(at[free], return_index=True)
+            self.slot[place] = new[free[k]] + 1
+            left = np.ones(len(new), bool)
+            left[free[k]] = False
+            new, at = new[left], (at[left] + 1) & (len(self.slot) - 1)
+
+
+#: 0: letters (with the two bytes of those from À to ÿ), 1: digits, 2: other signs, 3: what the
+#: tokenizer's own pattern has to split.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[33:127] = 2
+_KIND[48:58] = 1
+_KIND[65:91] = _KIND[97:123] = 0
+_KIND[39] = 3
+
+
+def _letters(data: np.ndarray) -> np.ndarray:
+    """First bytes of the letters from À to ÿ."""
+    at = np.flatnonzero(data[:-1] == 0xC3)
+    second = data[at + 1]
+    return at[(second & 0xC0 == 0x80) & (second != 0x97) & (second != 0xB7)]
+
+
 class WordIds:
-    """Token ids of whole texts, as little-endian unsigned 32-bit values."""
+    """Token ids of whole texts, as unsigned 32-bit values."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -138,7 +223,7 @@ class WordIds:
         model, steps = spec["model"], spec["pre_tokenizer"]["pretokenizers"]
         self.merges = Merges(model["vocab"], model["merges"], model["end_of_word_suffix"])
         self.pattern = regex.compile(steps[0]["pattern"]["Regex"] + "|\n")
-        self.known: dict[str, bytes] = {}
+        self.known = WordTable(_MOST_KEPT)
 
     @classmethod
     def of(cls, path: str) -> "WordIds":
@@ -146,41 +231,98 @@ class WordIds:
             _loaded[path] = cls(path)
         return _loaded[path]
 
-    def _learn(self, pieces: list[str]) -> None:
-        plain, rest = [], []
+    def _merged(self, raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of the pre-tokens at these places of raw; equal ones are merged once."""
+        _, one, which = np.unique(word_hashes(raw, first, first + size), return_index=True, return_inverse=True)
+        ids, n = self.merges.ids(raw[spread(first[one], size[one])], size[one])
+        return ids[spread((np.cumsum(n) - n)[which], n[which])], n[which]
+
+    def _plain(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of words without signs of kind 3."""
+        size = end - start
+        raw = tc.LOWER[data[spread(start, size)]]
+        kind = _KIND[raw]
+        at = _letters(raw)
+        kind[at] = kind[at + 1] = 0
+        raw[at + 1] |= np.where(raw[at + 1] != 0x9F, 0x20, 0).astype(np.uint8)
+        begins = np.ones(len(raw), bool)
+        begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 1)
+        begins[np.cumsum(size) - size] = True
+        first = np.flatnonzero(begins)
+        ids, n = self._merged(np.append(raw, np.zeros(16, np.uint8)), first, np.diff(np.append(first, len(raw))))
+        word = np.repeat(np.arange(len(size)), size)[first]
+        return ids, np.bincount(word, n, len(size)).astype(np.int64)
+
+    def _others(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of any words."""
+        out: list = [None] * len(words)
         full = _PLAIN.fullmatch
-        for x in pieces:
-            (plain if full(x) else rest).append(x)
+        plain = [i for i, x in enumerate(words) if full(x)]
         if plain:
-            parts = self.pattern.findall("\n".join(plain).lower())
-            words = list(set(parts) - {"\n"})
-            ids = dict(zip(words, self.merges.ids([w.encode() for w in words]))) if words else {}
-            ids["\n"] = b"\n"
-            marks = [i for i, x in enumerate(parts) if x == "\n"]
-            values = list(map(ids.__getitem__, parts))
+            parts = self.pattern.findall("\n".join(words[i] for i in plain).lower())
+            used = list(set(parts) - {"\n"})
+            raw = [x.encode() for x in used]
+            ids, n = self.merges.ids(np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw)))
+            known = dict(zip(used, np.split(ids, np.cumsum(n)[:-1]))) if used else {}
+            marks = [k for k, x in enumerate(parts) if x == "\n"]
             at = 0
-            for x, m in zip(plain, [*marks, len(parts)]):
-                self.known[x] = values[at] if m - at == 1 else b"".join(values[at:m])
+            for i, m in zip(plain, [*marks, len(parts)]):
+                out[i] = np.concatenate([known[x] for x in parts[at:m]]) if m > at else np.zeros(0, np.uint32)
                 at = m + 1
-        for x in rest:
-            self.known[x] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+        for i, x in enumerate(words):
+            if out[i] is None:
+                out[i] = self._whole(x)
+        return np.concatenate([*out, np.zeros(0, np.uint32)]), np.fromiter(map(len, out), np.int64, len(out))
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _learn(self, h: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        odd, other, at = np.zeros(len(data) + 1, np.int64), _KIND[data] == 3, _letters(data)
+        other[at] = other[at + 1] = False
+        np.cumsum(other, out=odd[1:])
+        odd = odd[end] > odd[start]
+        k = np.flatnonzero(~odd)
+        if len(k):
+            self.known.add(h[k], *self._plain(data, start[k], end[k]))
+        k = np.flatnonzero(odd)
+        if len(k):
+            raw = data.tobytes()
+            self.known.add(h[k], *self._others([raw[a:b].decode("utf-8", "replace") for a, b in zip(start[k].tolist(), end[k].tolist())]))
+
+    def slices(self, col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, row after the last, ids of their texts, where each text's ids begin and the end)."""
+        raw, offs = tc.strings(col)
+        for a, b in tc.slices(offs):
+            own = offs[a : b + 1] - offs[a]
+            data = np.append(raw[offs[a] : offs[b]], np.zeros(16, np.uint8))
+            space = tc.SPACE[data]
+            edge = np.zeros(len(data), bool)
+            edge[own] = True
+            space[-16:] = True
+            start = np.flatnonzero(~space & (edge | np.append(True, space[:-1])))
+            end = np.flatnonzero(~space[:-1] & (edge[1:] | space[1:])) + 1
+            h = word_hashes(data, start, end)
+            number = self.known.find(h)
+            if len(new := np.flatnonzero(number < 0)):
+                one = new[np.unique(h[new], return_index=True)[1]]
+                if self.known.n + len(one) > self.known.room:
+                    one, new = np.unique(h, return_index=True)[1], np.arange(len(h))
+                    self.known = WordTable(max(_MOST_KEPT, len(one)))
+                self._learn(h[one], data, start[one], end[one])
+                number[new] = self.known.find(h[new])
+            n = self.known.count[number]
+            ids = self.known.ids[spread(self.known.first[number], n)]
+            at = np.append(0, np.cumsum(n))[np.searchsorted(start, own)]
+            text = data[:-16].tobytes()
+            if any(x in text for x in _ODD):
+                parts = np.split(ids, at[1:-1])
+                for d in range(b - a):
+                    if any(x in text[own[d] : own[d + 1]] for x in _ODD):
+                        parts[d] = self._whole(text[own[d] : own[d + 1]].decode("utf-8", "replace"))
+                ids, at = np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
+            yield a, b, ids, at
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [t.split() if t and not _ODD.search(t) else None for t in texts]
-        met = set().union(*(s for s in split if s))
-        new = [x for x in met if x not in self.known]
-        if len(self.known) + len(new) > _MOST_KEPT:
-            self.known.clear()
-            new = list(met)
-        if new:
-            self._learn(new)
-        get = self.known.__getitem__
-        out = []
-        for t, s in zip(texts, split):
-            if s is not None:
-                out.append(np.frombuffer(b"".join(map(get, s)), "<u4"))
-            elif t:
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4"))
-            else:
-                out.append(np.zeros(0, "<u4"))
-        return out
+        """Ids of each text, as little-endian unsigned 32-bit values."""
+        return [ids[at[d] : at[d + 1]].astype("<u4") for a, b, ids, at in self.slices(pa.array(texts, pa.string())) for d in range(b - a)]

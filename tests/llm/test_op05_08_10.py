@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 from corvane.llm.op05_substring_dedup import dedup_passages
 from corvane.llm.op08_decontamination import TilingRules, clean_rows, matches, tile, verdicts
-from corvane.llm.op10_packing import PackingPlan, pack
+from corvane.llm.op10_packing import Bm25Shard, PackingPlan, pack
 from corvane.llm.tokens import WordIds, default_path
 
 rng = random.Random(11)
@@ -152,11 +152,48 @@ ODD = ["", None, "Hello, World! It's 2024's  best", "ÀÉÎ õü ß straße", "
 def test_ids_equal_the_tokenizers():
     t = Tokenizer.from_file(default_path())
     t.encode_special_tokens = True
-    texts = [*ODD, *(words(200) for _ in range(20)), " ".join("".join(rng.choice("abcÄéñ.,'!?-1ß") for _ in range(rng.randrange(1, 14))) for _ in range(3000))]
+    texts = [*ODD, *(words(200) for _ in range(20)), " ".join("".join(rng.choice("abcÄéñ.,'!?-1ß×÷ÿÀÞE\u0301\u00a0œ日") for _ in range(rng.randrange(1, 14))) for _ in range(3000))]
     for x, ids in zip(texts, WordIds.of(default_path()).encode(texts)):
         assert ids.tolist() == t.encode(x or "", add_special_tokens=False).ids
 
 
+def test_words_beyond_the_room_kept(monkeypatch):
+    from corvane.llm import tokens
+
+    monkeypatch.setattr(tokens, "_MOST_KEPT", 50)
+    coder = WordIds(default_path())
+    texts = [" ".join(f"w{rng.randrange(4000)}x" for _ in range(n)) for n in (10, 30, 2000, 5, 60)]
+    for _ in range(2):
+        for x in texts:
+            assert coder.encode([x])[0].tolist() == coder.tokenizer.encode(x, add_special_tokens=False).ids
+
+
+def test_neighbours_are_those_of_bm25_over_all_tokens():
+    import math
+
+    r = random.Random(3)
+    docs = [np.array([r.randrange(2, 60) for _ in range(r.randrange(1, 40))], "<u4") for _ in range(150)] + [np.zeros(0, "<u4")]
+    docs += docs[:5]  # ties
+    index, mean = Bm25Shard(docs, PackingPlan()), sum(map(len, docs)) / len(docs)
+    df = {t: sum(t in d for d in docs) for t in range(60)}
+    for seed in range(0, len(docs), 7):
+        used = np.array([r.random() < 0.3 for _ in docs])
+        want = []
+        for k, d in enumerate(docs):
+            score = 0.0
+            for t in set(docs[seed].tolist()):
+                tf = int((d == t).sum())
+                if tf and df[t] > 1:
+                    score += math.log1p((len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+            if score and not used[k]:
+                want.append((k, score))
+        got = list(index.neighbours(seed, used))
+        assert sorted(k for k, _ in got) == [k for k, _ in want]
+        exact = dict(want)
+        assert all(abs(exact[k] - s) < 1e-4 for k, s in got) and all(a >= b for (_, a), (_, b) in zip(got, got[1:]))
+        assert all(x < y for (x, a), (y, b) in zip(got, got[1:]) if a == b)
+
+
 @pytest.mark.parametrize("shard", [300, 1 << 20])
 def test_pieces_cover_every_id_once_with_little_padding(docs, shard):
     rows = [*enumerate(ODD), (500, words(5000)), *((i, words(rng.randrange(1, 400))) for i in range(1000, 1060)), (7000, "same text"), (7000, "same text"), (None, "no id")]
