@@ -77,11 +77,12 @@ def numbered(df: DataFrame, order: list[str], partitions: int | None = None) ->
     """df with a gapless `row_number` from 0 in the given order, and the number of rows.
 
     Rows are dealt by range and sorted in their partition; only the rows' count of each partition
-    goes to the driver. Equal rows can lie on both sides of no cut, so a value held by a third of
-    all rows is one partition of these narrow rows; the sort spills.
+    goes to the driver. The row's place in df is the last key, so that equal rows, however many,
+    are dealt over partitions too.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = saved(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
+    keys = [*order, "__place"]
+    ranged = saved(df.withColumn("__place", F.monotonically_increasing_id()).repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("__place"))
     counts = {r["p"]: r["n"] for r in ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
     starts, total = [], 0
     for p in range(max(counts, default=-1) + 1):

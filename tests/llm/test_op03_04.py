@@ -71,3 +71,14 @@ def test_shards_rows_law(docs):
 def test_shards_fewer_rows_than_shards_and_none(docs):
     assert {r["slot"] for r in shard_rows(docs([(1, "a"), (2, "b")])).collect()} == {0}
     assert shard_rows(docs([])).count() == 0
+
+
+def test_equal_rows_are_dealt_over_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from corvane.llm.op04_sharding import numbered
+
+    out, total = numbered(spark.range(4000).select(F.lit(1).alias("k")), ["k"], 8)
+    got = out.withColumn("p", F.spark_partition_id()).collect()
+    assert total == 4000 and sorted(r["row_number"] for r in got) == list(range(4000))
+    assert len({r["p"] for r in got}) > 4
