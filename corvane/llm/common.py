@@ -16,10 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset (tests in one process) a temporary folder is made and set.
+    Only in a local session without it (tests) a temporary folder is made and set.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", conf)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -56,6 +59,12 @@ def fixed_splits(spark: SparkSession) -> None:
         spark.conf.set(name, str(max(2, spark.sparkContext.defaultParallelism)))
 
 
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """docs less its columns of these names, in any case: an operator's own columns take their place."""
+    own = {n.lower() for n in names}
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in own))
+
+
 def crc_bucket(doc_id, n: int):
     """crc32 of the id written as text, modulo n."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))

@@ -18,11 +18,13 @@ Defined results: null and empty texts stay as they are; rows with equal id and e
 as one document and get equal results; a null id ranks first; short units that aren't part of
 something repeated go only together with removed units on both sides; of a passage that repeats
 within itself the first place stays whole; texts of fewer than ``unit_words`` words stay; a text
-may become empty, its row stays. All columns of docs pass through.
+may become empty, its row stays. All columns of docs pass through, but one that has the name of
+the added column gives way to it.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
+from .common import without
 from .op06_toxicity import _PUNCT
 
 UNIT = "digest long, doc_id long, doc_key long, unit int"
@@ -191,11 +194,12 @@ def dedup_passages(docs: DataFrame, rules: UnitRules | None = None, key: str = "
     original text; None adds none.
     """
     rules = rules or UnitRules()
+    docs = without(docs, spans) if spans else docs
     rows = unit_rows(docs, rules, key, text)
     place = F.struct("doc_id", "doc_key", "unit")
     repeated = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("best")).where("n > 1")
     later = rows.join(repeated.select("digest", "best"), "digest").where(~place.eqNullSafe(F.col("best")))
-    mark, dups = "__doc_key", "__dups"
+    mark, dups = f"key_{uuid.uuid4().hex}", f"dups_{uuid.uuid4().hex}"  # no column of docs
     # places that reach into the first one keep out of it
     apart = F.col("unit") - F.col("best.unit")
     near = (F.col("doc_key") == F.col("best.doc_key")) & (apart % 2 == 0) & (F.col("best.unit") % 2 == 0) & (apart < 2 * rules.unit_words)

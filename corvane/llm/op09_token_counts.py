@@ -13,13 +13,16 @@ texts and trees and edits them without counting the rest again. Neither shuffles
 
 Defined results: a null text has no tokens and stays null, an empty one has none; edits must lie
 inside the text and not overlap, else the task fails; they are taken in order of their place;
-null edits are none. Rows are independent; columns beside those named pass through build_trees.
+null edits are none. Rows are independent; columns beside those named pass through build_trees,
+and columns of docs that have the names of its own give way to them.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import without
+
 BLOCK = 64
 _MOST_KEPT = 1_000_000
 _loaded: dict[str, "PieceCounter"] = {}
@@ -75,11 +80,50 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+class Rope:
+    """A text in parts of a few thousand characters, so that an edit copies only parts it touches."""
+
+    PART = 4096
+
+    def __init__(self, text: str):
+        self.parts = [text[i : i + self.PART] for i in range(0, len(text), self.PART)]
+        self.starts, self.length = [i * self.PART for i in range(len(self.parts))], len(text)
+
+    def __len__(self) -> int:
+        return self.length
+
+    def __str__(self) -> str:
+        return "".join(self.parts)
+
+    def cut(self, start: int, end: int) -> str:
+        """The characters from start to end."""
+        i = max(0, bisect_right(self.starts, start) - 1)
+        out = []
+        while i < len(self.parts) and self.starts[i] < end:
+            out.append(self.parts[i][max(0, start - self.starts[i]) : end - self.starts[i]])
+            i += 1
+        return "".join(out)
+
+    def replace(self, start: int, end: int, new: str) -> None:
+        if not self.parts:
+            self.__init__(new)
+            return
+        i = max(0, bisect_right(self.starts, start) - 1)
+        j = max(i + 1, bisect_left(self.starts, end))
+        text = self.cut(self.starts[i], start) + new + self.cut(end, self.starts[j] if j < len(self.parts) else self.length)
+        self.length = self.starts[i]
+        self.parts[i:j] = [text[k : k + self.PART] for k in range(0, len(text), self.PART)]
+        del self.starts[i:]
+        for x in self.parts[i:]:
+            self.starts.append(self.length)
+            self.length += len(x)
+
+
 class TokenTree:
     """A text with the sums of its pre-tokens' characters and tokens."""
 
     def __init__(self, text: str, lens: list[int], counts: list[int], counter: PieceCounter):
-        self.text, self.counter, self.recounted = text, counter, 0
+        self.rope, self.counter, self.recounted = text if isinstance(text, Rope) else Rope(text), counter, 0
         n = max(1, -(-len(lens) // BLOCK))
         self.lens = [lens[i * BLOCK : (i + 1) * BLOCK] for i in range(n)]
         self.counts = [counts[i * BLOCK : (i + 1) * BLOCK] for i in range(n)]
@@ -96,6 +140,10 @@ class TokenTree:
         pieces = counter.split(text)
         return cls(text, list(map(len, pieces)), counter.counts(pieces), counter)
 
+    @property
+    def text(self) -> str:
+        return str(self.rope)
+
     @property
     def tokens(self) -> int:
         return self.sums[1][1]
@@ -136,16 +184,17 @@ class TokenTree:
         looks to its run's end, so further back while there is only white space.
         """
         here = self._before(*self._before(*self._piece(at)))
-        while here[2] and self.text[here[2] : here[2] + self.lens[here[0]][here[1]]].isspace():
+        while here[2] and self.rope.cut(here[2], here[2] + self.lens[here[0]][here[1]]).isspace():
             here = self._before(*here)
         return here
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Replace the characters from start to end."""
-        if not 0 <= start <= end <= len(self.text):
-            raise ValueError(f"edit {start}..{end} of a text of {len(self.text)} characters")
-        old, shift = self.text, len(new) - (end - start)
-        leaf, k, begin = self._context(start) if old else (0, 0, 0)
+        old = self.rope
+        if not 0 <= start <= end <= len(old):
+            raise ValueError(f"edit {start}..{end} of a text of {len(old)} characters")
+        shift = len(new) - (end - start)
+        leaf, k, begin = self._context(start) if len(old) else (0, 0, 0)
         window = 8
         while True:
             # old boundaries from the context's start on, to some pre-tokens past the edit
@@ -163,7 +212,7 @@ class TokenTree:
                     continue
                 break
             stop = bounds[-1]
-            pieces = self.counter.split(old[begin:start] + new + old[end:stop])
+            pieces = self.counter.split(old.cut(begin, start) + new + old.cut(end, stop))
             olds, at, met = {b + shift: n for n, b in enumerate(bounds) if b >= end}, begin, None
             whole = stop == len(old)
             for n, p in enumerate(pieces):
@@ -179,7 +228,7 @@ class TokenTree:
         made, gone = pieces[: met[0]], met[1]
         self._replace(leaf, k, gone, list(map(len, made)), self.counter.counts(made))
         self.recounted += len(made)
-        self.text = old[:start] + new + old[end:]
+        old.replace(start, end, new)
 
     def _replace(self, leaf: int, k: int, gone: int, lens: list[int], counts: list[int]) -> None:
         first, changed = leaf, [leaf]
@@ -194,7 +243,7 @@ class TokenTree:
             gone -= here
             changed.append(leaf)
         if len(self.lens[first]) > 16 * BLOCK:  # long insertions: deal the leaves anew
-            self.__dict__.update(TokenTree(self.text, sum(self.lens, []), sum(self.counts, []), self.counter).__dict__ | {"recounted": self.recounted})
+            self.__dict__.update(TokenTree(self.rope, list(chain(*self.lens)), list(chain(*self.counts)), self.counter).__dict__ | {"recounted": self.recounted})
             return
         for i in changed:
             self.sums[self.cap + i] = [sum(self.lens[i]), sum(self.counts[i])]
@@ -205,7 +254,7 @@ class TokenTree:
                 i >>= 1
 
     def state(self) -> bytes:
-        return _state(sum(self.lens, []), sum(self.counts, []))
+        return _state(list(chain(*self.lens)), list(chain(*self.counts)))
 
 
 def _state(lens: list[int], counts: list[int]) -> bytes:
@@ -244,6 +293,7 @@ def mask_edits(text: str) -> list[tuple[int, int, str]]:
 def build_trees(docs: DataFrame, text: str = "text", tokenizer: str | None = None) -> DataFrame:
     """docs with n_tokens, n_pieces and the tree of each text."""
     path = tokenizer or default_path()
+    docs = without(docs, "n_tokens", "n_pieces", "tree")
     at, names = docs.columns.index(text), [*docs.columns, "n_tokens", "n_pieces", "tree"]
     schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("n_pieces", T.LongType()), T.StructField("tree", T.BinaryType())])
 
@@ -299,7 +349,7 @@ def apply_edits(trees: DataFrame, edits: str | Callable[[str], list[tuple[int, i
                             raise ValueError("overlapping edits")
                         tree.edit(s, e, new or "")
                         last = s
-                    rows.append((n, len(todo), tree.recounted, sum(map(len, tree.lens)), tree.tokens, len(tree.text), tree.text, tree.state()))
+                    rows.append((n, len(todo), tree.recounted, sum(map(len, tree.lens)), tree.tokens, len(tree.rope), tree.text, tree.state()))
                 types = [*[pa.int64()] * 6, pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, x) for c, x in zip(zip(*rows), types))], names=[x.split()[0] for x in EDITED.split(", ")])
 

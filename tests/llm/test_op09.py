@@ -48,3 +48,13 @@ def test_edit_column_and_second_round(spark):
 
 def test_empty_table(spark):
     assert apply_edits(build_trees(spark.createDataFrame([], "doc_id long, text string")), mask_edits).count() == 0
+
+
+def test_columns_of_the_operators_names_give_way(spark):
+    df = spark.createDataFrame([(1, "mail me at a@b.org now", 7, "t", 3, 4)], "doc_id long, text string, n_tokens int, Tree string, n_pieces int, recounted_pieces int")
+    trees = build_trees(df)
+    assert trees.columns == ["doc_id", "text", "recounted_pieces", "n_tokens", "n_pieces", "tree"]
+    counter = PieceCounter.of(default_path())
+    r = apply_edits(trees, mask_edits).first()
+    assert (r["tokens_before"], r["tokens_after"]) == tuple(len(counter.coder.encode_ordinary(t)) for t in ("mail me at a@b.org now", r["text"]))
+    assert "a@b.org" not in r["text"]
