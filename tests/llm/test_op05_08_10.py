@@ -70,6 +70,15 @@ def test_short_ends_of_lines_and_repeats_within_a_text(docs, tmp_path):
     assert out == {1: rows[0][1], 2: "here we begin.\nwith other words", 3: "no, no, no, that is all"}
 
 
+def test_columns_of_the_operators_names_give_way(spark):
+    p = words(40)
+    df = spark.createDataFrame([(1, p, "x", 2, 3), (2, p, "y", 2, 3)], "doc_id long, text string, Kept_spans string, __dups int, __doc_key int")
+    got = dedup_passages(df)
+    assert got.columns == ["doc_id", "text", "__dups", "__doc_key", "kept_spans"]
+    assert {r["doc_id"]: (r["text"], r["__dups"], [tuple(s) for s in r["kept_spans"]]) for r in got.collect()} == {1: (p, 2, [(0, len(p))]), 2: ("", 2, [])}
+    assert dedup_passages(df, spans=None).columns == df.columns
+
+
 # --- op 8
 
 
@@ -143,6 +152,28 @@ def test_case_and_outer_punctuation_do_not_hide_an_item(spark, docs):
     assert rows[0][1].encode()[span["doc_start"] : span["doc_end"]].decode() == item.upper() and span["coverage"] == 1.0
 
 
+def test_coverage_is_the_greatest_of_all_items(spark, docs):
+    r = random.Random(9)
+    common = "one two three four five"
+    items = [(i, " ".join([common, *(f"v{r.randrange(40)}" for _ in range(r.randrange(1, 25))), common])) for i in range(60)]
+    rows = []
+    for i in range(40):
+        w = [f"v{r.randrange(40)}" for _ in range(60)]
+        for _ in range(r.randrange(4)):
+            src = r.choice(items)[1].split()
+            a = r.randrange(len(src))
+            w[r.randrange(60) : r.randrange(60)] = src[a : a + r.randrange(4, 20)]
+        rows.append((i, " ".join([*w, common])))
+    df = spark.createDataFrame(items, "item_id long, text string")
+    want = {}
+    for m in matches(docs(rows), df).collect():
+        best, ids = want.setdefault(m["doc_id"], [0.0, []])
+        want[m["doc_id"]][0] = max(best, m["coverage"])
+        ids += [m["item_id"]] * (m["coverage"] >= 0.6)
+    got = {v["doc_id"]: [v["coverage"], v["item_ids"]] for v in verdicts(docs(rows), df).collect()}
+    assert got == {i: [want.get(i, [0.0, []])[0], sorted(want.get(i, [0.0, []])[1])] for i, _ in rows}
+
+
 # --- op 10
 
 
