@@ -7,8 +7,9 @@ training texts is its word vector. A text is the mean of its units' vectors with
 its length. A two-layer network in numpy turns that into a logit; a temperature fitted on a part
 of the training rows that the network didn't learn from makes it a probability.
 
-Bounds: vectors and network are fitted on at most ``train_rows`` labelled rows; the vector table
-has a fixed size whatever the corpus. Every row and its whole text is scored, without a shuffle.
+Bounds: vectors and network are fitted on at most ``train_rows`` labelled rows, one document for
+each labelled id (the least text of those that have it); the vector table has a fixed size
+whatever the corpus, so words can share a row (README). Every row and its whole text is scored, without a shuffle.
 Defined results: null and empty texts have the mean vector zero and are scored as such; rows are
 independent, so repeated rows repeat; without training rows of both kinds every score is 0.5.
 Null labels aren't learned from. Only the id and the text are read.
@@ -31,7 +32,8 @@ from .common import crc_bucket
 @dataclass(frozen=True)
 class QualityPlan:
     train_rows: int = 12_000
-    word_rows: int = 1 << 14
+    #: Rows of the table of word vectors; words whose hashes agree modulo this share one.
+    word_rows: int = 1 << 16
     dims: int = 64
     nonzero: int = 4
     window: int = 2
@@ -104,15 +106,19 @@ def index_vectors(plan: QualityPlan) -> np.ndarray:
     return out
 
 
-def _add_contexts(sums: np.ndarray, a: np.ndarray, b: np.ndarray, doc: np.ndarray, index: np.ndarray, window: int) -> None:
-    """Add to each unit's row the index vectors around its places."""
+def _add_contexts(sums: np.ndarray, a: np.ndarray, b: np.ndarray, doc: np.ndarray, index: np.ndarray, window: int, first: int, past: int) -> None:
+    """Add to the rows of the units first..past the index vectors around their places."""
+    lo, hi = max(0, first - window), past + window
+    a, b, doc = a[lo:hi], b[lo:hi], doc[lo:hi]
     own = index[a] + index[b]
     around = np.zeros_like(own)
     for k in range(1, window + 1):
         near = (doc[k:] == doc[:-k])[:, None]
         around[k:] += own[:-k] * near
         around[:-k] += own[k:] * near
-    for rows in (a, b):
+    inner = slice(first - lo, past - lo)
+    around = around[inner]
+    for rows in (a[inner], b[inner]):
         order = np.argsort(rows, kind="stable")
         at = np.flatnonzero(np.concatenate([[True], np.diff(rows[order]) > 0]))
         sums[rows[order][at]] += np.add.reduceat(around[order], at)
@@ -179,9 +185,9 @@ def _fit_network(x: np.ndarray, y: np.ndarray, plan: QualityPlan) -> QualityMode
 def train(docs: DataFrame, labels: DataFrame, plan: QualityPlan | None = None, key: str = "doc_id", text: str = "text", label: str = "quality") -> QualityModel | None:
     """Fit on labelled rows, at most plan.train_rows (those of lowest hashed id); None without both kinds."""
     plan = plan or QualityPlan()
-    rows = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), (F.col(label) > 0).cast("long").alias("y"))
+    rows = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), (F.col(label) > 0).cast("long").alias("y")).distinct()
     rows = rows.orderBy(F.xxhash64("k"), "k", "y").limit(plan.train_rows)
-    sample = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("text")).join(F.broadcast(rows), "k").select("k", "text", "y").repartition(8, "k").persist()
+    sample = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("text")).join(F.broadcast(rows), "k").groupBy("k", "y").agg(F.min("text").alias("text")).select("k", "text", "y").repartition(8, "k").persist()
     try:
         if {r["y"] for r in sample.select("y").distinct().collect()} != {0, 1}:
             return None
@@ -194,9 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, plan: QualityPlan | None = None, k
                     a, b = units(w, plan.word_rows)
                     doc = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
                     for at in range(0, len(a), 1 << 17):
-                        cut = slice(at, at + (1 << 17))
-                        if len(a[cut]):
-                            _add_contexts(sums, a[cut], b[cut], doc[cut], index, plan.window)
+                        _add_contexts(sums, a, b, doc, index, plan.window, at, min(len(a), at + (1 << 17)))
             yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
 
         total = np.zeros((plan.word_rows + SHAPES, plan.dims), np.float32)

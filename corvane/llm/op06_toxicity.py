@@ -9,12 +9,14 @@ outside the lexicon costs what its absence from it tells: the log-odds of all ot
 Scoring: a text is a row of scores, the log-odds of lexicon tokens and a small cost for any
 other word. The linear-time all-maximal-segments scan finds every maximal passage; a passage of
 score S among n words has the extreme-value significance 1 - exp(-K n exp(-lambda S)), where
-lambda solves the balance of the scores over clean text. The surprises -ln p of all maximal
+lambda solves the balance of the scores over clean text and K is, of a geometric grid, the one
+under which the training labels are likeliest. The surprises -ln p of all maximal
 passages, so of many weak ones too, add up to one number, which a fitted logistic turns into a
 probability; the significant passages are returned with their places.
 
-Bounds: the model is fitted on at most ``train_rows`` labelled rows and holds at most
-``lexicon_rows`` tokens. Everything else covers all rows and whole texts; there is no shuffle of
+Bounds: the model is fitted on at most ``train_rows`` labelled rows, one document for each
+labelled id (the least text of those that have it); its lexicon, which goes to the driver, is a
+part of their tokens. Everything else covers all rows and whole texts; there is no shuffle of
 texts. Defined results: null and empty texts have no passage and get the lowest score; rows are
 independent, so repeated ids and texts give repeated rows; without training rows of both kinds
 every score is 0. Labels that are null aren't learned from. Other columns aren't read.
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ from . import textcore as tc
 from .common import crc_bucket
 
 PREFIXES = (4, 5, 6)
+#: Values of K that the fit compares.
+GRID = (0.01, 0.03, 0.1, 0.3, 1.0)
 _PUNCT = np.zeros(256, bool)
 _PUNCT[np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)] = True
 
@@ -42,12 +46,9 @@ _PUNCT[np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)] = True
 @dataclass(frozen=True)
 class ToxicityPlan:
     train_rows: int = 20_000
-    lexicon_rows: int = 50_000
     #: Weight of the Dirichlet prior as a share of all training tokens: a token met t times has a prior count of so much of t.
     prior_share: float = 0.1
-    least_texts: int = 4
     least_z: float = 3.3
-    k: float = 0.1
     significance: float = 0.05
     threshold: float = 0.3
 
@@ -57,6 +58,7 @@ class ToxicityModel:
     token: np.ndarray  # sorted
     odds: np.ndarray
     lam: float
+    k: float
     gap_cost: float  # of a word outside the lexicon: minus its log-odds
     slope: float
     shift: float
@@ -110,25 +112,27 @@ def _hits(w: tc.Words, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray]:
     return at, best[at]
 
 
-def passages(w: tc.Words, model: ToxicityModel, plan: ToxicityPlan) -> Iterator[tuple[float, list]]:
-    """(surprise, significant passages as first byte, past the last, score, p) of each document."""
+def _rows(w: tc.Words, model: ToxicityModel) -> Iterator[list[tuple[float, int, int]]]:
+    """Each document's row of scores, from its first lexicon token to its last: (score, first word, past the last)."""
     at, odds = _hits(w, model)
     cut = np.searchsorted(at, w.first)
-    for d in range(len(w.offs) - 1):
-        a, b = cut[d], cut[d + 1]
-        if a == b:
-            yield 0.0, []
-            continue
-        n = int(w.first[d + 1] - w.first[d])
+    for a, b in zip(cut, cut[1:]):
         row, last = [], None
         for i, s in zip(at[a:b].tolist(), odds[a:b].tolist()):
             if last is not None and i > last + 1:
                 row.append((-model.gap_cost * (i - last - 1), last + 1, i))
             row.append((s, i, i + 1))
             last = i
+        yield row
+
+
+def passages(w: tc.Words, model: ToxicityModel, plan: ToxicityPlan) -> Iterator[tuple[float, list]]:
+    """(surprise, significant passages as first byte, past the last, score, p) of each document."""
+    for d, row in enumerate(_rows(w, model)):
+        n = int(w.first[d + 1] - w.first[d])
         total, spans = 0.0, []
         for s, first, past in maximal_segments(row):
-            x = model.lam * s - math.log(plan.k * max(n, 1))
+            x = model.lam * s - math.log(model.k * max(n, 1))
             p = -math.expm1(-math.exp(-x)) if x > -30 else 1.0
             total += -math.log(max(p, 1e-300))
             if p <= plan.significance:
@@ -179,10 +183,10 @@ def _balance(odds: np.ndarray, rate: np.ndarray, cost: float) -> float:
 def train(docs: DataFrame, labels: DataFrame, plan: ToxicityPlan | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
     """Fit on labelled rows, at most plan.train_rows of them (those of lowest hashed id)."""
     plan = plan or ToxicityPlan()
-    none = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), 1.0, 0.1, 0.0, -50.0, np.zeros(1 << 20, bool))
-    rows = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), (F.col(label) > 0).cast("long").alias("y"))
+    none = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), 1.0, 0.1, 0.1, 0.0, -50.0, np.zeros(1 << 20, bool))
+    rows = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), (F.col(label) > 0).cast("long").alias("y")).distinct()
     rows = rows.orderBy(F.xxhash64("k"), "k", "y").limit(plan.train_rows)
-    sample = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("text")).join(F.broadcast(rows), "k").select("text", "y").repartition(8).persist()
+    sample = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("text")).join(F.broadcast(rows), "k").groupBy("k", "y").agg(F.min("text").alias("text")).select("text", "y").repartition(8).persist()
     try:
         counts = _counts(sample).persist()
         n = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
@@ -195,8 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, plan: ToxicityPlan | None = None,
         a = F.lit(plan.prior_share) * both
         delta = F.log((F.col("t") + a) / (nt + a0 - F.col("t") - a)) - F.log((F.col("c") + a) / (nc + a0 - F.col("c") - a))
         z = delta / F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a))
-        best = counts.where(F.col("t") >= plan.least_texts).select("token", "t", "c", a.alias("a"), delta.alias("odds"), z.alias("z")).where((F.col("z") > plan.least_z) & (F.col("odds") > 1))
-        got = best.orderBy(F.desc("z"), "token").limit(plan.lexicon_rows).toPandas()
+        best = counts.select("token", "t", "c", a.alias("a"), delta.alias("odds"), z.alias("z")).where((F.col("z") > plan.least_z) & (F.col("odds") > 1))
+        got = best.toPandas()
         counts.unpersist()
         if not len(got):
             return none
@@ -206,16 +210,22 @@ def train(docs: DataFrame, labels: DataFrame, plan: ToxicityPlan | None = None,
         quick[h & np.uint64(0xFFFFF)] = True
         rate = ((got["c"] + got["a"]) / (nc + a0)).to_numpy()
         cost = max(1e-3, math.log1p(-min(rate.sum(), 0.5)) - math.log1p(-min(0.9, float(got["t"].sum()) / nt)))
-        model = ToxicityModel(h[order], got["odds"].to_numpy()[order], _balance(got["odds"].to_numpy(), rate, cost), cost, 1.0, 0.0, quick)
+        model = ToxicityModel(h[order], got["odds"].to_numpy()[order], _balance(got["odds"].to_numpy(), rate, cost), 0.1, cost, 1.0, 0.0, quick)
 
         def run(batches):
             for batch in batches:
                 for i, j, w in tc.docs_words(batch.column(0), lower=True):
-                    x = [s for s, _ in passages(w, model, plan)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1).slice(i, j - i)], names=["x", "y"])
-
-        xy = sample.mapInArrow(run, "x double, y long").toPandas()
-        model.slope, model.shift = _logistic(np.log1p(xy["x"].to_numpy()), xy["y"].to_numpy(float))
+                    x = [[s for s, _ in passages(w, replace(model, k=k), plan)] for k in GRID]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(one, pa.float64()) for one in x), batch.column(1).slice(i, j - i)], names=[*(f"x{n}" for n in range(len(GRID))), "y"])
+
+        xy = sample.mapInArrow(run, ", ".join(f"x{n} double" for n in range(len(GRID))) + ", y long").toPandas()
+        fits = []
+        for n, k in enumerate(GRID):
+            x, y = np.log1p(xy[f"x{n}"].to_numpy()), xy["y"].to_numpy(float)
+            slope, shift = _logistic(x, y)
+            t = slope * x + shift
+            fits.append((float(np.mean(np.logaddexp(0, t) - y * t)), k, slope, shift))
+        _, model.k, model.slope, model.shift = min(fits)
         return model
     finally:
         sample.unpersist()

@@ -151,3 +151,23 @@ def test_pipeline_stages(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in pieces} == {1, 4, 5, 10}
     assert sum(r["length"] for r in pieces) == sum({r["doc_id"]: r["doc_tokens"] for r in pieces}.values())
+
+
+def test_pipeline_on_empty_repeated_and_clashing_rows(spark, tmp_path):
+    rng = random.Random(7)
+    prose = lambda n: ". ".join(" ".join(f"{rng.choice('klmnop')}{rng.randrange(3000)}" for _ in range(9)) for _ in range(n)) + "."
+    a, b = prose(12), prose(12)
+    rows = [(1, a), (1, a), (None, b), (None, b.upper()), (4, None), (5, ""), (6, prose(9))]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, node long, component long, place long, kept_spans string, row_number int"
+    for name, own, items, want in (("full", rows, [(1, "some item that is nowhere")], [None, 1, 6]), ("empty", [], [], []), ("none", rows, [], [None, 1, 6])):
+        d = tmp_path / name
+        spark.createDataFrame([(i, t, None, None, None, 1, 2, 3, "s", 4) for i, t in own], kind).write.parquet(str(d / "documents.parquet"))
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(str(d / "benchmark.parquet"))
+        df = spark.read.parquet(str(d / "documents.parquet"))
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            out = stage(spark, df, str(d))
+            assert out.columns == df.columns
+            out.write.parquet(str(d / f"s{k}"))
+            df = spark.read.parquet(str(d / f"s{k}"))
+        assert sorted((r["doc_id"] for r in df.collect()), key=str) == sorted(want, key=str)
+        assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(d)).collect()} == set(want)
