@@ -1,7 +1,12 @@
 """The corpus pipeline: quality rules, near copies, repeated passages, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
-again as the next one's docs. All but the last return the columns of documents.
+again as the next one's docs. All but the last return the columns of documents, whatever their
+names; only doc_id, text and n_chars are read. Defined results: null, empty and wordless texts go
+in the first stage, which rejects texts of few words; rows with a null id are documents like any
+other, and of rows with equal ids each is judged by its own text; of equal texts the row of the
+smallest id stays (of those with one id, or none, the first); empty tables give empty results, an
+empty benchmark removes nothing; very long texts are worked on whole.
 """
 
 from __future__ import annotations
