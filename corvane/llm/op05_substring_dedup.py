@@ -10,8 +10,8 @@ of all places of a unit the earliest in rank (document id, then place) is the on
 In each document consecutive repeated units form runs; runs of ``least_words`` words, and whole
 lines of ``least_line_words``, are removed. What stays keeps its offsets in the original text.
 
-Shuffles carry narrow rows of digests; hot digests are aggregated before they are shuffled, and
-the joins back are plain equi-joins that adaptive execution can split. Texts are shuffled once,
+Shuffles carry narrow rows of digests; hot digests are aggregated before they are shuffled, the
+repeated ones are stored, and the joins back are plain equi-joins that adaptive execution can split. Texts are shuffled once,
 to meet their removals.
 
 Defined results: null and empty texts stay as they are; rows with equal id and equal text count
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import without
+from .common import saved, without
 from .op06_toxicity import _PUNCT
 
 UNIT = "digest long, doc_id long, doc_key long, unit int"
@@ -197,7 +197,8 @@ def dedup_passages(docs: DataFrame, rules: UnitRules | None = None, key: str = "
     docs = without(docs, spans) if spans else docs
     rows = unit_rows(docs, rules, key, text)
     place = F.struct("doc_id", "doc_key", "unit")
-    repeated = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("best")).where("n > 1")
+    # stored, so that the join meets two plain shuffles and a hot digest's rows can be split
+    repeated = saved(rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("best")).where("n > 1"))
     later = rows.join(repeated.select("digest", "best"), "digest").where(~place.eqNullSafe(F.col("best")))
     mark, dups = f"key_{uuid.uuid4().hex}", f"dups_{uuid.uuid4().hex}"  # no column of docs
     # places that reach into the first one keep out of it
