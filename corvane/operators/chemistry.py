@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import chem
 from ..functions import text as C
 from ..functions.udf import arrow_udf
+from .windows import ordered_by_members
 
 MOL = "struct<symbols: array<string>, aromatic: array<boolean>, charges: array<int>, bonds: array<struct<i: int, j: int, bond_order: double>>, pairs: array<string>, error: string>"
 
@@ -70,17 +71,34 @@ FRAGMENTS = "lig_id string, elements_str string, smiles string, canonical string
 
 
 def ligand_fragments(ligands: DataFrame, radius: int = 2, least: int = 4, most: int = 5) -> DataFrame:
-    """Every fragment of every usable ligand, in every fitting order of atoms."""
+    """Every fragment of every usable ligand, in every fitting order of atoms.
+
+    Each different SMILES is parsed once, on all cores whatever files the ligands lie in, and
+    its fragments are joined to the ligands that have it.
+    """
+    known = ligands.select("smiles").where(F.col("smiles").isNotNull() & ~C.undesired_elements(F.col("smiles"))).distinct()
+    known = known.repartition(int(ligands.sparkSession.conf.get("spark.sql.shuffle.partitions")), "smiles")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             rows = []
-            for lig, s in zip(p["lig_id"], p["smiles"]):
-                for f in chem.fragments(chem.parse_smiles(s), radius, least, most):
-                    rows.append((lig, f.elements, f.smiles, f.key, f.site, list(f.atoms)))
-            yield pd.DataFrame(rows, columns=["lig_id", "elements_str", "smiles", "canonical", "site", "atoms"])
+            for s in p["smiles"]:
+                try:
+                    m = chem.parse_smiles(s)
+                except (chem.SmilesError, IndexError):
+                    continue
+                if {a.symbol for a in m.atoms} & {"C", "O", "N"}:
+                    rows.append((s, [(f.elements, f.smiles, f.key, f.site, list(f.atoms)) for f in chem.fragments(m, radius, least, most)]))
+            yield pd.DataFrame(rows, columns=["source", "fragments"])
+
+    found = known.mapInPandas(run, "source string, fragments array<struct<elements_str: string, smiles: string, canonical: string, site: int, atoms: array<int>>>")
+    return ligands.select("lig_id", F.col("smiles").alias("source")).join(found, "source").select("lig_id", F.explode("fragments").alias("f")).select("lig_id", "f.*")
+
 
-    return with_status(ligands).where("status = 'ok'").select("lig_id", "smiles").mapInPandas(run, FRAGMENTS)
+def with_keys(ligands: DataFrame) -> DataFrame:
+    """ligands with symmetry and canonical of their SMILES; each different one is worked out once, on all cores."""
+    known = ligands.select("smiles").distinct().repartition(int(ligands.sparkSession.conf.get("spark.sql.shuffle.partitions")), "smiles")
+    return ligands.join(known.select("smiles", symmetry_string("smiles").alias("symmetry"), canonical_key("smiles").alias("canonical")), "smiles", "left")
 
 
 def fragment_dictionary(fragments: DataFrame) -> DataFrame:
@@ -89,9 +107,10 @@ def fragment_dictionary(fragments: DataFrame) -> DataFrame:
 
 
 def qualifying_fragments(dictionary: DataFrame, least: int = 80, most_atoms: int = 5) -> DataFrame:
-    """Fragments of enough ligands and few enough atoms, most ligands first in their element group."""
-    n = dictionary.groupBy("elements_str", "smiles", "canonical").agg(F.countDistinct("lig_id").alias("ligands"), F.first(F.size(C.smiles_elements(F.col("smiles")))).alias("atoms"))
-    return n.where((F.col("ligands") >= least) & (F.col("atoms") <= most_atoms)).withColumn("symmetry", symmetry_string("smiles"))
+    """Fragments of enough ligands and few enough atoms; place: most ligands first in their element group."""
+    n = dictionary.groupBy("elements_str", "smiles", "canonical").agg(F.countDistinct("lig_id").alias("ligands")).withColumn("atoms", F.size(C.smiles_elements(F.col("smiles"))))
+    good = n.where((F.col("ligands") >= least) & (F.col("atoms") <= most_atoms))
+    return ordered_by_members(good, "elements_str", "ligands", "smiles").withColumn("symmetry", symmetry_string("smiles"))
 
 
 def bond_code(order):

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,32 +14,38 @@ def kde_grid(points: DataFrame, steps: int = 50, pad: float = 5.0, bandwidth: fl
     """Density of points (x, y, z) at steps**3 places: ix, iy, iz, x, y, z, density.
 
     The kernel's covariance is the sample covariance times bandwidth squared. One pass takes the
-    moments (a single row); the second adds every point to every place with partial sums, so only
-    the grid is shuffled.
+    moments, a single row; in the second each task adds its points to a grid of its own in numpy,
+    and only these grids are shuffled, whatever the number of points. No points or points in one
+    plane give no rows.
     """
-    pts = points.select(*(F.col(c).cast("double").alias(c) for c in "xyz"))
+    pts = points.select(*(F.col(c).cast("double").alias(c) for c in "xyz")).where("x is not null and y is not null and z is not null")
     pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
-    m = pts.agg(
-        F.count("*").alias("n"), *(F.covar_samp(a, b).alias(a + b) for a, b in pairs), *(F.min(c).alias(f"{c}0") for c in "xyz"), *(F.max(c).alias(f"{c}1") for c in "xyz"),
-    ).select("n", *((F.col(a + b) * bandwidth**2).alias(a + b) for a, b in pairs), *((F.col(f"{c}0") - pad).alias(f"{c}0") for c in "xyz"), *((F.col(f"{c}1") + pad).alias(f"{c}1") for c in "xyz"))
-    c = F.col
-    det = c("xx") * (c("yy") * c("zz") - c("yz") * c("yz")) - c("xy") * (c("xy") * c("zz") - c("yz") * c("xz")) + c("xz") * (c("xy") * c("yz") - c("yy") * c("xz"))
-    inverse = {
-        "ixx": c("yy") * c("zz") - c("yz") * c("yz"), "iyy": c("xx") * c("zz") - c("xz") * c("xz"), "izz": c("xx") * c("yy") - c("xy") * c("xy"),
-        "ixy": c("xz") * c("yz") - c("xy") * c("zz"), "ixz": c("xy") * c("yz") - c("xz") * c("yy"), "iyz": c("xy") * c("xz") - c("xx") * c("yz"),
-    }
-    m = m.withColumn("det", det).select("*", *((v / c("det")).alias(k) for k, v in inverse.items()))
-    axis = F.sequence(F.lit(0), F.lit(steps - 1))
-    with_m = pts.crossJoin(F.broadcast(m))  # the moments are one row
-    grid = with_m.withColumn("ix", F.explode(axis)).withColumn("iy", F.explode(axis)).withColumn("iz", F.explode(axis))
-
-    def at(k: str):
-        return c(f"{k}0") + c(f"i{k}") * ((c(f"{k}1") - c(f"{k}0")) / (steps - 1))
-
-    g = grid.select("ix", "iy", "iz", "n", "det", *inverse, *(at(k).alias(f"g{k}") for k in "xyz"), *((at(k) - c(k)).alias(f"d{k}") for k in "xyz"))
-    q = c("dx") * c("dx") * c("ixx") + c("dy") * c("dy") * c("iyy") + c("dz") * c("dz") * c("izz") + 2 * (c("dx") * c("dy") * c("ixy") + c("dx") * c("dz") * c("ixz") + c("dy") * c("dz") * c("iyz"))
-    s = g.groupBy("ix", "iy", "iz").agg(F.sum(F.exp(-0.5 * q)).alias("s"), *(F.first(f"g{k}").alias(k) for k in "xyz"), F.first("n").alias("n"), F.first("det").alias("det"))
-    return s.select("ix", "iy", "iz", "x", "y", "z", (c("s") / (c("n") * F.sqrt(F.pow(F.lit(2 * 3.141592653589793), 3) * c("det")))).alias("density"))
+    m = pts.agg(F.count("*").alias("n"), *(F.covar_samp(a, b).alias(a + b) for a, b in pairs), *(F.min(c).alias(f"{c}0") for c in "xyz"), *(F.max(c).alias(f"{c}1") for c in "xyz")).first()
+    shape = "ix int, iy int, iz int, x double, y double, z double, density double"
+    spread = np.array([[(m[min(a, b) + max(a, b)] or 0.0) * bandwidth**2 for b in "xyz"] for a in "xyz"])
+    if not m["n"] or not np.isfinite(spread).all() or np.linalg.det(spread) <= 0:
+        return points.sparkSession.createDataFrame([], shape)
+    inverse, norm = np.linalg.inv(spread), m["n"] * np.sqrt((2 * np.pi) ** 3 * np.linalg.det(spread))
+    axes = [np.linspace(m[f"{c}0"] - pad, m[f"{c}1"] + pad, steps) for c in "xyz"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, some = np.zeros((steps, steps, steps)), False
+        for batch in batches:
+            for p in np.column_stack([c.to_numpy() for c in batch.columns]):
+                some = True
+                dx, dy, dz = (axis - v for axis, v in zip(axes, p))
+                # the form in parts of one and two axes
+                xy = inverse[0, 0] * dx[:, None] ** 2 + inverse[1, 1] * dy[None] ** 2 + 2 * inverse[0, 1] * dx[:, None] * dy[None]
+                xz = 2 * inverse[0, 2] * dx[:, None] * dz[None] + inverse[2, 2] * dz[None] ** 2
+                yz = 2 * inverse[1, 2] * dy[:, None] * dz[None]
+                total += np.exp(-0.5 * (xy[:, :, None] + xz[:, None, :] + yz[None]))
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(steps**3, dtype=np.int32)), pa.array(total.ravel())], names=["at", "s"])
+
+    grid = pts.mapInArrow(run, "at int, s double").groupBy("at").agg(F.sum("s").alias("s"))
+    place = {k: F.expr(e).cast("int") for k, e in (("ix", f"at div {steps * steps}"), ("iy", f"(at div {steps}) % {steps}"), ("iz", f"at % {steps}"))}
+    value = lambda c, axis: F.lit(float(axis[0])) + F.col(c) * F.lit(float(axis[-1] - axis[0]) / (steps - 1))
+    return grid.select(*(v.alias(k) for k, v in place.items()), "s").select("ix", "iy", "iz", *(value(f"i{c}", axis).alias(c) for c, axis in zip("xyz", axes)), (F.col("s") / F.lit(float(norm))).alias("density"))
 
 
 def dx_lines(grid: DataFrame, steps: int) -> DataFrame:

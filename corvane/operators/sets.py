@@ -40,6 +40,11 @@ def first_wins(rows: DataFrame, key: list[Column], order: list[str]) -> DataFram
     return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__rn = 1").drop("__rn")
 
 
+def missing(wanted: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Rows of wanted whose key isn't in found; a null key is in nothing."""
+    return wanted.join(found.select(key).distinct(), key, "left_anti")
+
+
 def overlap_edges(sites: DataFrame, molecule: list[str], site: str, atoms: str) -> DataFrame:
     """Pairs of sites that share at least half of the larger one's atoms."""
     each = sites.select(*molecule, F.col(site), F.size(F.array_distinct(atoms)).alias("n"), F.explode(F.array_distinct(atoms)).alias("atom"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sets import ready_checkpoints
+
 
 def pose_ranks(scores: DataFrame, group: list[str], score: str = "score", name: str = "sample", true_pose: Column | None = None) -> DataFrame:
     """Rank of each pose by falling score, equal scores by name; or of the true pose only."""
@@ -22,9 +27,45 @@ def renumbered(clusters: DataFrame, within: list[str], size: str = "size", old:
     return clusters.withColumn("new_id", F.row_number().over(Window.partitionBy(*within).orderBy(F.desc(size), old)).cast("bigint"))
 
 
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with `row_number`, gapless from 0 in order; equal rows in the order they are read.
+
+    Rows are dealt by range and sorted in their partition, and only the partitions' counts go to
+    the driver. The row's place is the last key, so that equal rows are dealt over partitions too.
+    """
+    ready_checkpoints(rows.sparkSession)
+    keys = [*order, "__place"]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.withColumn("__place", F.monotonically_increasing_id()).repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("__place").checkpoint()
+    counts = {r["p"]: r["n"] for r in ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
+    starts = list(accumulate((counts.get(p, 0) for p in range(max(counts, default=0) + 1)), initial=0))
+    base = F.element_at(F.array(*(F.lit(x).cast("long") for x in starts)), F.spark_partition_id() + 1)
+    return ranged.withColumn("row_number", base + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+
+
 def batches(rows: DataFrame, n: int, order: list[str], group: list[str] | None = None) -> DataFrame:
-    """Contiguous batches 1..n in order, the first ones larger by the remainder."""
-    return rows.withColumn("batch", F.ntile(n).over(Window.partitionBy(*(group or [])).orderBy(*order)).cast("bigint"))
+    """Contiguous batches 1..n in order, the first ones larger by the remainder.
+
+    Rows are numbered over all groups by range, so that neither one group nor rows without a
+    group meet in one task; a group's first number and size are one small row each.
+    """
+    out = numbered(rows, [*(group or []), *order])
+    each = out.groupBy(*(group or [])).agg(F.min("row_number").alias("__first"), F.count("*").alias("__n"))
+    if group:
+        keys = each.select(*(F.col(c).alias(f"__{c}") for c in group), "__first", "__n")
+        out = out.join(keys, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group])).drop(*(f"__{c}" for c in group))
+    else:
+        out = out.crossJoin(F.broadcast(each))  # one row
+    small, more = F.expr(f"__n div {n}"), F.col("__n") % n
+    at = F.col("row_number") - F.col("__first")
+    large = (small + 1) * more  # rows in the larger batches
+    batch = F.when(at < large, F.floor(at / (small + 1))).otherwise(more + F.floor((at - large) / F.greatest(small, F.lit(1))))
+    return out.withColumn("batch", (batch + 1).cast("bigint")).drop("row_number", "__first", "__n")
+
+
+def strided(rows: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """Batches 1..n by turns in order: the first row to the first, the next to the second."""
+    return numbered(rows, order).withColumn("batch", (F.col("row_number") % n + 1).cast("bigint")).drop("row_number")
 
 
 def chain_walk(residues: DataFrame, group: list[str], order: list[str], gap: Column, k: int = 2) -> DataFrame:

@@ -224,17 +224,23 @@ def id_similarity(spark, d):
     return j.where(C.similar_ids(F.col("a.id"), F.col("b.id"))).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
 
 
+def _sign(c: str) -> str:
+    return f"coalesce(CASE WHEN {c} = 'bb' THEN '{GAP}' ELSE left({c}, 1) END, '{GAP}')"
+
+
 @query(
-    f"""WITH {SQL_LINES}, s AS (SELECT l_orderkey AS k, list(CASE WHEN pos = 3 THEN '{CENTRE}' WHEN label = 'bb' THEN '{GAP}' ELSE left(label, 1) END ORDER BY pos) AS v FROM lines WHERE pos <= 5 GROUP BY 1 HAVING count(*) = 5),
-    z AS (SELECT a.k AS a, b.k AS b, [x for x in list_zip(a.v, b.v) if x[1] NOT IN ('{CENTRE}', '{GAP}') AND x[2] NOT IN ('{CENTRE}', '{GAP}')] AS p FROM s a JOIN s b ON b.k = a.k + 1)
-    SELECT a, b, round(CASE WHEN len(p) = 0 THEN 0 ELSE 100.0 * len([x for x in p if x[1] = x[2]]) / len(p) END, 6) AS identity FROM z"""
+    f"""WITH {SQL_LINES}, s AS (SELECT l_orderkey, pos, [{", ".join(f"'{CENTRE}'" if not i else _sign(f"lag(label, {-i}) OVER w" if i < 0 else f"lead(label, {i}) OVER w") for i in range(-2, 3))}] AS v FROM lines WINDOW w AS (PARTITION BY l_orderkey ORDER BY pos)),
+    z AS (SELECT a.l_orderkey, a.pos, [x for x in list_zip(a.v, b.v) if x[1] NOT IN ('{CENTRE}', '{GAP}') AND x[2] NOT IN ('{CENTRE}', '{GAP}')] AS p FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND b.pos = 1)
+    SELECT l_orderkey, pos, round(CASE WHEN len(p) = 0 THEN 0 ELSE 100.0 * len([x for x in p if x[1] = x[2]]) / len(p) END, 6) AS identity FROM z"""
 )
 def seq_identity(spark, d):
-    label = F.when(F.col("pos") == 3, CENTRE).when(F.col("label") == "bb", GAP).otherwise(F.substring("label", 1, 1))
-    s = lines(spark, d).where("pos <= 5").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("pos", label.alias("v")))).alias("z"), F.count("*").alias("n"))
-    s = s.where("n = 5").select("k", F.transform("z", lambda x: x["v"]).alias("v"))
-    a, b = s.select(F.col("k").alias("a"), F.col("v").alias("va"), (F.col("k") + 1).alias("b")), s.select(F.col("k").alias("b"), F.col("v").alias("vb"))
-    return a.join(b, "b").select("a", "b", F.round(C.percent_identity(F.col("va"), F.col("vb")), 6).alias("identity"))
+    """The two lines either side of each line, as its flank, against those of its order's first line."""
+    w = Window.partitionBy("l_orderkey").orderBy("pos")
+    sign = lambda c: F.coalesce(F.when(c == "bb", GAP).otherwise(F.substring(c, 1, 1)), F.lit(GAP))
+    flank = F.array(*(F.lit(CENTRE) if not i else sign(F.lag("label", -i).over(w)) for i in range(-2, 3)))
+    s = lines(spark, d).select("l_orderkey", "pos", flank.alias("v"))
+    s = s.withColumn("first", F.first("v").over(w))
+    return s.select("l_orderkey", "pos", F.round(C.percent_identity(F.col("v"), F.col("first")), 6).alias("identity"))
 
 
 @query("SELECT l_quantity, round(CASE WHEN l_quantity < 8 THEN 0.5 WHEN l_quantity > 15 THEN 1.0 ELSE 0.5 + (l_quantity - 8) / 7 * 0.5 END, 6) AS pose, round(CASE WHEN l_quantity < 8 THEN 0.5 WHEN l_quantity > 15 THEN 1.5 ELSE 0.5 + (l_quantity - 8) / 7 END, 6) AS flank, count(*) AS n FROM lineitem GROUP BY 1, 2, 3")
@@ -264,15 +270,17 @@ def set_overlap_redundant(spark, d):
     return J.overlap_join(s, "block", "l_orderkey", "items", 2)
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_quantity > 45)")
+@query("SELECT l_orderkey, l_partkey, l_linenumber, l_returnflag FROM lineitem l WHERE EXISTS (SELECT 1 FROM lineitem m WHERE m.l_orderkey = l.l_orderkey AND m.l_returnflag = l.l_returnflag AND m.l_quantity > 45)")
 def shared_chain_semi(spark, d):
-    hit = t(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    return t(spark, d, "orders").select("o_orderkey", "o_custkey").join(hit, "o_orderkey", "left_semi")
+    """Lines as atoms, their return flag as the chain, lines of a large quantity as a network's residues."""
+    li = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("pdb_id"), F.col("l_returnflag").alias("chain"), "l_partkey", "l_linenumber", "l_quantity")
+    nets = li.where("l_quantity > 45").groupBy(F.col("pdb_id").alias("pdb_file")).agg(F.collect_list(F.struct("chain")).alias("residues"))
+    return J.interacting_chains(li, nets).select(F.col("pdb_id").alias("l_orderkey"), "l_partkey", "l_linenumber", F.col("chain").alias("l_returnflag"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT p_partkey, p_brand FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)")
 def missing_anti(spark, d):
-    return t(spark, d, "customer").select("c_custkey").join(t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return S.missing(t(spark, d, "part").select("p_partkey", "p_brand"), t(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
 
 
 @query(
@@ -284,16 +292,37 @@ def required_contacts(spark, d):
     return J.required_contacts(c, ("A", "N"), ["F"], ("l_orderkey",)).select("l_orderkey", "l_partkey", "l_linenumber")
 
 
+def _status(spark, d, **lists):
+    li = t(spark, d, "lineitem").select(F.col("l_partkey").alias("canonical"), "l_quantity")
+    w = t(spark, d, "part").select(F.col("p_partkey").alias("canonical"), F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("name"))
+    return J.fragment_status(w, li.where("l_quantity > 48"), li.where("l_quantity > 44"), **lists)
+
+
+SQL_STATUS = """WITH w AS (SELECT p_partkey, 'f' || p_partkey AS name FROM part), lib AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 48), db AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 44)
+    SELECT name, CASE {first} WHEN p_partkey IN (SELECT * FROM lib) THEN 'ok' WHEN p_partkey IN (SELECT * FROM db) THEN 'need' ELSE 'missing' END AS status FROM w"""
+
+
+@query(SQL_STATUS.format(first="WHEN p_partkey BETWEEN 1 AND 60 THEN 'excluded'"))
+def fragment_status(spark, d):
+    return _status(spark, d, excluded=[f"f{k}" for k in range(1, 61)])
+
+
+@query(SQL_STATUS.format(first="WHEN p_partkey BETWEEN 41 AND 60 THEN 'excluded' WHEN p_partkey NOT BETWEEN 1 AND 60 THEN 'not included'"))
+def fragment_status_gated(spark, d):
+    return _status(spark, d, excluded=[f"f{k}" for k in range(41, 61)], included=[f"f{k}" for k in range(1, 61)])
+
+
 @query(
-    """WITH w AS (SELECT p_partkey, p_brand FROM part), lib AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 48), db AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 44)
-    SELECT p_partkey, CASE WHEN p_brand = 'Brand#1' THEN 'excluded' WHEN p_partkey IN (SELECT * FROM lib) THEN 'ok' WHEN p_partkey IN (SELECT * FROM db) THEN 'need' ELSE 'missing' END AS status FROM w"""
+    """WITH w AS (SELECT p_brand || '/' || p_size AS name, p_brand || p_type AS canonical FROM part), lib AS (SELECT p_brand || '/' || p_size AS name, p_brand || p_type AS canonical, p_partkey AS place FROM part WHERE p_size % 3 = 0),
+    e AS (SELECT DISTINCT name FROM lib), f AS (SELECT canonical, arg_min(name, place) AS equal FROM lib GROUP BY 1)
+    SELECT w.name, coalesce(e.name, f.equal) AS library_name FROM (SELECT DISTINCT * FROM w) w LEFT JOIN e ON e.name = w.name LEFT JOIN f ON f.canonical = w.canonical"""
 )
-def fragment_status(spark, d):
-    li = t(spark, d, "lineitem").select(F.col("l_partkey").alias("canonical"), "l_quantity")
-    w = t(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("canonical")).withColumn("name", F.concat("brand", F.lit("|"), F.col("canonical").cast("string")))
-    s = J.fragment_status(w, li.where("l_quantity > 48"), li.where("l_quantity > 44"))
-    out = s.select(F.split("name", r"\|")[1].cast("bigint").alias("p_partkey"), F.split("name", r"\|")[0].alias("brand"), "status")
-    return out.select("p_partkey", F.when(F.col("brand") == "Brand#1", "excluded").otherwise(F.col("status")).alias("status"))
+def resolved_names(spark, d):
+    """Brand and size as a fragment's spelling, brand and type as its canonical key; sizes of three in the library, by part key."""
+    w = t(spark, d, "part").select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("spelling"), F.concat("p_brand", "p_type").alias("canonical"), "p_partkey", "p_size")
+    lib = w.where("p_size % 3 = 0").select(F.col("spelling").alias("name"), "canonical", F.col("p_partkey").alias("place"))
+    each = w.select("spelling", "canonical").distinct()
+    return J.resolved_names(each.select(F.col("spelling").alias("name"), "canonical"), lib, "place")
 
 
 @query(
@@ -397,14 +426,14 @@ def groups_by_members(spark, d):
 
 
 def _hits(spark, d):
-    return lines(spark, d, "l_discount").where("l_discount <= 0.03").select(F.concat(F.lit("s"), F.pmod("l_suppkey", F.lit(50)).cast("string")).alias("sample"), F.col("label").alias("frag"), F.when(F.pmod("l_partkey", F.lit(3)) == 0, 1).otherwise(2).alias("size"))
+    return lines(spark, d).select(F.concat(F.lit("s"), F.pmod("l_suppkey", F.lit(50)).cast("string")).alias("sample"), F.col("label").alias("frag"), F.when(F.pmod("l_partkey", F.lit(3)) == 0, 1).otherwise(2).alias("size"))
 
 
 def _samples(spark, d):
     return spark.range(52).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("sample"))
 
 
-SQL_GRID = f"""{SQL_LINES}, hits AS (SELECT 's' || (l_suppkey % 50)::VARCHAR AS sample, label AS frag, CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 2 END AS size FROM lines WHERE l_discount <= 0.03),
+SQL_GRID = f"""{SQL_LINES}, hits AS (SELECT 's' || (l_suppkey % 50)::VARCHAR AS sample, label AS frag, CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 2 END AS size FROM lines),
 samples AS (SELECT 's' || i::VARCHAR AS sample FROM range(52) r(i)), frags AS (SELECT DISTINCT frag FROM hits), cnt AS (SELECT sample, frag, sum(CASE WHEN size = 1 THEN 0.5 ELSE 1.0 END)::DOUBLE AS v FROM hits GROUP BY 1, 2),
 grid AS (SELECT s.sample, f.frag, coalesce(v, 0) AS v FROM samples s CROSS JOIN frags f LEFT JOIN cnt c ON c.sample = s.sample AND c.frag = f.frag), m AS (SELECT frag, avg(v) AS m FROM grid GROUP BY 1)"""
 
@@ -430,12 +459,13 @@ def pose_rank(spark, d):
 
 
 @query(
-    """WITH r AS (SELECT o_orderpriority, o_orderstatus, o_custkey, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus, o_custkey % 50 ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders)
-    SELECT o_orderpriority, o_orderstatus, sum((rank <= 2)::INT)::BIGINT AS top2, sum((rank = 3)::INT)::BIGINT AS third, sum((rank <= 3)::INT)::BIGINT AS total FROM r WHERE o_custkey % 7 = 0 GROUP BY 1, 2"""
+    """WITH r AS (SELECT o_orderpriority, o_orderstatus, o_orderdate, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus, o_custkey % 50 ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders)
+    SELECT o_orderpriority, o_orderstatus, sum((rank <= 2)::INT)::BIGINT AS top2, sum((rank = 3)::INT)::BIGINT AS third, sum((rank <= 3)::INT)::BIGINT AS total FROM r WHERE month(o_orderdate) = 1 GROUP BY 1, 2"""
 )
 def rank_rollup(spark, d):
-    o = t(spark, d, "orders").select("o_orderpriority", "o_orderstatus", "o_custkey", "o_orderkey", "o_totalprice", F.pmod("o_custkey", F.lit(50)).alias("b"))
-    r = O.pose_ranks(o, ["o_orderpriority", "o_orderstatus", "b"], "o_totalprice", "o_orderkey", F.pmod("o_custkey", F.lit(7)) == 0)
+    """Orders of January are the true poses."""
+    o = t(spark, d, "orders").select("o_orderpriority", "o_orderstatus", "o_orderdate", "o_orderkey", "o_totalprice", F.pmod("o_custkey", F.lit(50)).alias("b"))
+    r = O.pose_ranks(o, ["o_orderpriority", "o_orderstatus", "b"], "o_totalprice", "o_orderkey", F.month("o_orderdate") == 1)
     return A.rank_rollup(r, ["o_orderpriority", "o_orderstatus"])
 
 
@@ -527,13 +557,17 @@ def coords(spark, d):
     return t(spark, d, "embeddings").select("vec_id", "label", c.alias("c"))
 
 
+def known_pose(e):
+    """Every vector with the known pose of its label, the one of the least id: one row a label."""
+    best = e.groupBy("label").agg(F.min_by("c", "vec_id").alias("ck"), F.min("vec_id").alias("known"))
+    return e.join(best, "label")
+
+
 @query(
-    f"WITH {_COORDS} SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum([(x[1] - x[2]) * (x[1] - x[2]) for x in list_zip(flatten(a.c), flatten(b.c))]) / 21), 6) AS rmsd FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id"
+    f"WITH {_COORDS}, k AS (SELECT label, arg_min(c, vec_id) AS c, min(vec_id) AS vec_id FROM e GROUP BY 1) SELECT a.vec_id AS pose, b.vec_id AS known, round(sqrt(list_sum([(x[1] - x[2]) * (x[1] - x[2]) for x in list_zip(flatten(a.c), flatten(b.c))]) / 21), 6) AS rmsd FROM e a JOIN k b ON a.label = b.label"
 )
 def inplace_rmsd(spark, d):
-    e = coords(spark, d)
-    a, b = e.select("label", F.col("vec_id").alias("a"), F.col("c").alias("ca")), e.select("label", F.col("vec_id").alias("b"), F.col("c").alias("cb"))
-    return a.join(b, "label").where("a < b").select("a", "b", F.round(G.inplace_rmsd(F.col("ca"), F.col("cb")), 6).alias("rmsd"))
+    return known_pose(coords(spark, d)).select(F.col("vec_id").alias("pose"), "known", F.round(G.inplace_rmsd(F.col("c"), F.col("ck")), 6).alias("rmsd"))
 
 
 @query(
@@ -541,11 +575,9 @@ def inplace_rmsd(spark, d):
     SELECT label, a AS medoid FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(s, 6), a) AS rn FROM p) WHERE rn = 1"""
 )
 def exact_medoid(spark, d):
-    e = t(spark, d, "embeddings")
-    a, b = e.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("va")), e.select("label", F.col("embedding").alias("vb"))
-    dist = F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda p, q: F.pow(p.cast("double") - q.cast("double"), 2)), F.lit(0.0), lambda s, v: s + v))
-    s = a.join(b, "label").groupBy("label", "a").agg(F.round(F.sum(dist), 6).alias("s"))
-    return s.groupBy("label").agg(F.min_by("a", F.struct("s", "a")).alias("medoid"))
+    from ..operators.clustering import group_medoids
+
+    return group_medoids(t(spark, d, "embeddings"), "label", "vec_id", "embedding", lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: F.pow(p.cast("double") - q.cast("double"), 2)), F.lit(0.0), lambda s, v: s + v)))
 
 
 @query(
@@ -572,9 +604,118 @@ def duplicate_permutations(spark, d):
 
 @query()
 def kabsch_rmsd(spark, d):
+    return known_pose(coords(spark, d)).select(F.col("vec_id").alias("pose"), "known", F.round(G.kabsch_rmsd("c", "ck"), 6).alias("rmsd"))
+
+
+def match_tables(spark, d):
+    """(queries, library): each vector is a library row of one or two residues, and again, all its
+    points shifted, a query with its group in two placings. Buckets are labels of its id."""
     e = coords(spark, d)
-    a, b = e.select(F.col("vec_id").alias("a"), F.col("c").alias("ca"), (F.col("vec_id") + 1).alias("b")), e.select(F.col("vec_id").alias("b"), F.col("c").alias("cb"))
-    return a.join(b, "b").select("a", "b", F.round(G.kabsch_rmsd("ca", "cb"), 6).alias("rmsd"))
+    v = F.col("vec_id")
+    two = F.pmod(v, F.lit(2)) == 1
+    names = F.when(two, F.array(aa(F.col("label")), aa(F.col("label") + 1))).otherwise(F.array(aa(F.col("label"))))
+    e = e.withColumn("names", F.array_sort(names))
+    size, bucket = F.size("names"), F.array_join("names", "_")
+    pts = lambda a, n, by=0.0: F.transform(F.slice("c", a, n), lambda p: F.transform(p, lambda x: x * 10 + by))
+    bb = lambda by=0.0: F.when(two, F.array(pts(5, 3, by), pts(8, 3, by))).otherwise(F.array(pts(5, 3, by)))
+    scrr = F.transform("names", lambda a: F.struct(F.lit("").alias("seg"), F.lit("A").alias("chain"), F.lit(1).alias("resnum"), a.alias("resname")))
+    lib = e.select(F.lit("g").alias("frag"), size.alias("subset_size"), bucket.alias("aa_bucket"), v.cast("int").alias("vdg_index"), F.col("label").cast("int").alias("cluster_id"), pts(1, 4).alias("cg_coords"), bb().alias("bb_coords"), scrr.alias("scrr"))
+    turned = F.array(*(F.element_at(pts(1, 4, 3.0), i) for i in (2, 1, 3, 4)))
+    sites = F.array(*(F.struct(F.lit(0).alias("site"), F.lit(i).alias("perm")) for i in (0, 1)))
+    text = v.cast("string")
+    q = e.select(text.alias("pdbfile"), F.lit("s").alias("sample"), text.alias("struct_id"), F.lit("g").alias("frag"), size.alias("subset_size"), F.lit("c").alias("bsr_combo"), bucket.alias("aa_bucket"), F.col("names").alias("labels"), bb(3.0).alias("q_bb"), F.array(pts(1, 4, 3.0), turned).alias("q_cg"), sites.alias("q_sites"))
+    return q, lib
+
+
+def _matched(spark, d, f):
+    return f(*match_tables(spark, d)).select("pdbfile", "vdg_index", "aa_bucket", "subset_size", F.round("vdg_rmsd", 5).alias("vdg_rmsd"), "aa_perm_idx", "q_cg_perm_idx")
+
+
+@query()
+def pose_match(spark, d):
+    from ..operators import matching as M
+
+    return _matched(spark, d, lambda q, lib: M.pose_match(q, lib, 2.0))
+
+
+@query()
+def pair_match(spark, d):
+    from ..operators import matching as M
+
+    return _matched(spark, d, lambda q, lib: M.pair_match(q, lib, 2.0))
+
+
+@query()
+def known_pose_validation(spark, d):
+    from ..operators import matching as M
+
+    return _matched(spark, d, lambda q, lib: M.validate_known_poses(q, lib, 2.0))
+
+
+# --- environments: customers as atoms, three to a residue
+
+_ATOMS = f"""atoms AS (SELECT c_custkey AS serial, (c_custkey // 300)::VARCHAR AS pdb_id, c_custkey // 3 AS resnum, ['A', 'B'][(c_custkey // 3 % 2)::INT + 1] AS chain, ['N', 'CA', 'C'][(c_custkey % 3)::INT + 1] AS name, c_custkey % 60 AS bfactor,
+    CASE WHEN c_custkey // 3 % 10 = 0 THEN 'LIG' ELSE {AA_LIST}[(c_custkey // 3 % 20)::INT + 1] END AS resname, c_acctbal / 400 AS x, (c_custkey * 7 % 97)::DOUBLE / 4 AS y, (c_custkey * 13 % 89)::DOUBLE / 4 AS z FROM customer)"""
+
+
+def atoms(spark, d):
+    k, r = F.col("c_custkey"), F.expr("c_custkey div 3")
+    ligand = F.pmod(r, F.lit(10)) == 0
+    return t(spark, d, "customer").select(
+        F.expr("c_custkey div 300").cast("string").alias("pdb_id"), F.lit("").alias("seg"), F.element_at(F.array(F.lit("A"), F.lit("B")), F.pmod(r, F.lit(2)).cast("int") + 1).alias("chain"), r.cast("int").alias("resnum"),
+        F.when(ligand, "LIG").otherwise(aa(r)).alias("resname"), F.element_at(F.array(F.lit("N"), F.lit("CA"), F.lit("C")), F.pmod(k, F.lit(3)).cast("int") + 1).alias("name"), F.element_at(F.array(F.lit("N"), F.lit("C"), F.lit("C")), F.pmod(k, F.lit(3)).cast("int") + 1).alias("element"),
+        F.when(ligand, "HETATM").otherwise("ATOM").alias("record"), k.cast("int").alias("serial"), r.cast("int").alias("resindex"), F.pmod(k, F.lit(60)).cast("double").alias("bfactor"),
+        (F.col("c_acctbal") / 400).alias("x"), (F.pmod(k * 7, F.lit(97)) / 4).cast("double").alias("y"), (F.pmod(k * 13, F.lit(89)) / 4).cast("double").alias("z"),
+    )
+
+
+@query(
+    f"""WITH {_ATOMS}, good AS (SELECT pdb_id, resnum FROM atoms WHERE resname = 'LIG' GROUP BY 1, 2 HAVING count(*) > 1 AND avg(bfactor) <= 40)
+    SELECT a.pdb_id, a.resnum AS lig, b.chain || ':' || b.resnum || ':' || b.resname AS residue FROM atoms a JOIN good USING (pdb_id, resnum) JOIN atoms b ON a.pdb_id = b.pdb_id AND {_D2} <= 4.8 * 4.8 GROUP BY 1, 2, 3"""
+)
+def contact_networks(spark, d):
+    n = J.contact_networks(atoms(spark, d), F.col("resname") == "LIG")
+    return n.select(F.col("pdb_file").alias("pdb_id"), F.col("lig.resnum").cast("bigint").alias("lig"), F.explode("residues").alias("r")).select("pdb_id", "lig", F.concat_ws(":", "r.chain", F.col("r.resnum").cast("string"), "r.resname").alias("residue"))
+
+
+@query(
+    f"""WITH {_ATOMS}, near AS (SELECT DISTINCT b.pdb_id, b.chain, b.resnum FROM atoms a JOIN atoms b ON a.pdb_id = b.pdb_id AND a.resname = 'LIG' AND {_D2} <= 5 * 5)
+    SELECT pdb_id, serial, resname FROM atoms JOIN near USING (pdb_id, chain, resnum)"""
+)
+def ligand_shell(spark, d):
+    return J.ligand_shell(atoms(spark, d), F.col("resname") == "LIG", 5.0).select("pdb_id", F.col("serial").cast("bigint").alias("serial"), "resname")
+
+
+@query(
+    f"""WITH {_ATOMS}, whole AS (SELECT pdb_id, chain, resnum, any_value(resname) AS resname FROM atoms WHERE resname <> 'LIG' GROUP BY 1, 2, 3 HAVING count(*) = 3),
+    site AS (SELECT w.*, row_number() OVER (PARTITION BY w.pdb_id ORDER BY chain, resnum) AS o FROM whole w WHERE EXISTS (SELECT 1 FROM atoms a JOIN atoms b ON a.pdb_id = b.pdb_id AND a.resname = 'LIG' AND {_D2} <= 4.5 * 4.5 WHERE b.pdb_id = w.pdb_id AND b.resnum = w.resnum)),
+    v AS (SELECT *, ':' || chain || ':' || resnum AS who, unnest(CASE WHEN resname = 'GLY' THEN ['bb'] ELSE [resname, 'bb'] END) AS label FROM site)
+    SELECT pdb_id, who AS bsr_combo, label AS aa_bucket, 1 AS subset_size FROM v UNION ALL
+    SELECT a.pdb_id, a.who || ';' || b.who, CASE WHEN a.label <= b.label THEN a.label || '_' || b.label ELSE b.label || '_' || a.label END, 2 FROM v a JOIN v b ON a.pdb_id = b.pdb_id AND a.o < b.o"""
+)
+def binding_site_combos(spark, d):
+    from ..operators.environments import binding_site_combos as combos
+
+    return combos(atoms(spark, d), F.col("resname") == "LIG").select("pdb_id", "bsr_combo", "aa_bucket", "subset_size")
+
+
+@query(
+    f"""WITH c AS (SELECT l_orderkey, l_linenumber % 3 AS resnum1, l_linestatus AS name1, {AA_LIST}[(l_partkey % 20)::INT + 1] AS resname2, l_returnflag AS chain2, l_suppkey % 3 AS kind FROM lineitem),
+    m AS (SELECT *, unnest(CASE WHEN name1 = 'F' THEN [0, 1] ELSE [1] END) AS match_no FROM c),
+    ids AS (SELECT l_orderkey, chain2, row_number() OVER (PARTITION BY l_orderkey ORDER BY chain2) - 1 AS cluster FROM (SELECT DISTINCT l_orderkey, chain2 FROM m))
+    SELECT l_orderkey, resnum1, match_no, chain2, resname2, -sum([1, 2, 5][kind + 1])::DOUBLE AS score, count(*) AS contacts, any_value(cluster) AS cluster FROM m JOIN ids USING (l_orderkey, chain2) GROUP BY 1, 2, 3, 4, 5"""
+)
+def group_contact_table(spark, d):
+    """Lines as contacts of an order's residues; match 0 is the atom F, match 1 the atoms F and O."""
+    from ..operators.environments import group_contact_table as table
+
+    li = t(spark, d, "lineitem")
+    c = li.select(F.col("l_orderkey").cast("string").alias("probe_name"), F.lit("A").alias("chain1"), F.pmod("l_linenumber", F.lit(3)).cast("int").alias("resnum1"), F.col("l_linestatus").alias("name1"), aa(F.col("l_partkey")).alias("resname2"), F.col("l_returnflag").alias("orig_chain2"), F.concat(F.lit("k"), F.pmod("l_suppkey", F.lit(3)).cast("string")).alias("atomtype2"))
+    each = F.explode(F.array(F.struct(F.lit(0).alias("match_no"), F.array(F.lit("F")).alias("atom_names")), F.struct(F.lit(1).alias("match_no"), F.array(F.lit("F"), F.lit("O")).alias("atom_names"))))
+    m = c.select("probe_name", F.col("chain1").alias("chain"), F.col("resnum1").alias("resnum")).distinct().select("*", each.alias("m")).select("probe_name", "chain", "resnum", "m.*")
+    prec = spark.createDataFrame([("k0", 1), ("k1", 2), ("k2", 5)], "atomtype2 string, precedence int")
+    g = table(c, m, prec, AA_CODES)
+    return g.select(F.col("probe_name").cast("bigint").alias("l_orderkey"), F.col("resnum1").cast("bigint").alias("resnum1"), "match_no", F.col("orig_chain2").alias("chain2"), "resname2", "score", "contacts", F.col("prot_chain_cluster").cast("bigint").alias("cluster"))
 
 
 @query()
@@ -603,26 +744,31 @@ def redundant_networks(spark, d):
     return deduplicated_networks(nets).select("pdb_file", F.col("lig.resname").cast("bigint").alias("o_custkey"), F.col("lig.resnum").cast("bigint").alias("l_orderkey"))
 
 
-_SMILES = ["CC(=O)[O-]", "CCC(=O)NC", "c1ccccc1O", "CS(=O)(=O)N", "CC(C)CO", "C[N+](C)(C)C", "n1cc[nH]c1CC", "OC(=O)CCCCC(=O)O", "CCBr", "CC#N"]
+_HEADS = ["C", "CC", "CC(=O)N", "NC(=O)", "OC", "CS", "C[N+](C)(C)C", "FC(F)(F)", "N#C", "CC(C)", "c1ccccc1", "n1cc[nH]c1C"]
+_MIDDLES = ["C", "CC", "C(C)", "C(O)", "CNC", "COC", "c2ccc(cc2)", "C(=O)N", "CSC", "S(=O)(=O)N"]
+_TAILS = ["C", "O", "N", "C(=O)[O-]", "C(=O)O", "c3ccccc3", "Br", "C#N", "CO", "S(=O)(=O)N"]
 
 
-def _ligands(spark, d):
-    s = F.element_at(F.array(*(F.lit(x) for x in _SMILES)), F.pmod("p_partkey", F.lit(len(_SMILES))).cast("int") + 1)
-    return t(spark, d, "part").select(s.alias("smiles"), F.col("p_partkey").cast("string").alias("lig_id"), F.lit("").alias("name"))
+def ligands(spark, d):
+    """1200 different molecules, each a head, a middle and a tail by the part's key."""
+    part = lambda xs, k: F.element_at(F.array(*(F.lit(x) for x in xs)), F.pmod(k, F.lit(len(xs))).cast("int") + 1)
+    k = F.col("p_partkey")
+    s = F.concat(part(_HEADS, k), part(_MIDDLES, F.floor(k / len(_HEADS))), part(_TAILS, F.floor(k / (len(_HEADS) * len(_MIDDLES)))))
+    return t(spark, d, "part").select(s.alias("smiles"), k.cast("string").alias("lig_id"), F.lit("").alias("name"))
 
 
 @query()
 def smiles_fragments(spark, d):
     from ..operators import chemistry as H
 
-    return H.qualifying_fragments(H.fragment_dictionary(H.ligand_fragments(_ligands(spark, d))), least=10)
+    return H.qualifying_fragments(H.fragment_dictionary(H.ligand_fragments(ligands(spark, d))), least=10)
 
 
 @query()
 def wl_symmetry(spark, d):
     from ..operators import chemistry as H
 
-    return _ligands(spark, d).select("lig_id", "smiles", H.symmetry_string("smiles").alias("symmetry"), H.canonical_key("smiles").alias("canonical"))
+    return H.with_keys(ligands(spark, d)).select("lig_id", "smiles", "symmetry", "canonical")
 
 
 @query()

@@ -12,9 +12,12 @@ from .. import schemas
 
 
 def write_library(library: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Partitions by fragment, size and bucket; one shuffle on them, so few files each."""
+    """Partitions by fragment, size and bucket; one shuffle on them, so few files each.
+
+    The shuffle is a rebalancing one: adaptive execution splits a bucket that is too large for a task.
+    """
     key = ["frag", "subset_size", "aa_bucket"]
-    library.repartition(*key).write.mode(mode).partitionBy(*key).parquet(path)
+    library.hint("rebalance", *key).write.mode(mode).partitionBy(*key).parquet(path)
 
 
 def read_library(spark: SparkSession, path: str, frag: str | None = None, size: int | None = None, bucket: str | None = None) -> DataFrame:

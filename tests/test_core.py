@@ -70,6 +70,85 @@ def test_components_over_many_stretches(spark, monkeypatch):
     assert S.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def by_hand(points, target):
+    """RMSD after the best superposition."""
+    import numpy as np
+
+    x, y = np.asarray(points, float), np.asarray(target, float)
+    x, y = x - x.mean(0), y - y.mean(0)
+    u, s, v = np.linalg.svd(x.T @ y)
+    turn = u @ np.diag([1, 1, np.sign(np.linalg.det(u @ v))]) @ v
+    return float(np.sqrt(((x @ turn - y) ** 2).sum(1).mean()))
+
+
+def test_pose_matching_equals_all_pairs(spark):
+    from itertools import permutations
+
+    queries, library = (x.collect() for x in q.match_tables(spark, DIR))
+    want, every = {}, {}
+    for a in queries:
+        for b in library:
+            if (a["aa_bucket"], a["subset_size"]) != (b["aa_bucket"], b["subset_size"]):
+                continue
+            names = [r["resname"] for r in b["scrr"]]
+            orders = [o for o in permutations(range(len(names))) if [names[i] for i in o] == list(a["labels"])]
+            flat = [p for r in a["q_bb"] for p in r]
+            fits = [(round(by_hand([p for i in o for p in b["bb_coords"][i]] + list(b["cg_coords"]), flat + list(c)), 5), n, k) for n, o in enumerate(orders) for k, c in enumerate(a["q_cg"])]
+            key = a["pdbfile"], b["vdg_index"]
+            best = min(fits)
+            if best[0] <= 2.0:
+                want[key] = best[0]
+            for d, n, k in fits:
+                if round(d, 2) < 2.0:
+                    every[(*key, n, k)] = d
+    got = {(r["pdbfile"], r["vdg_index"]): r["vdg_rmsd"] for r in q.QUERIES["pose_match"](spark, DIR).collect()}
+    assert len(want) >= len(queries) and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+    pairs = {(r["pdbfile"], r["vdg_index"]) for r in q.QUERIES["pair_match"](spark, DIR).collect()}
+    assert pairs == {k for k in want if int(k[0]) % 2}
+    known = {(r["pdbfile"], r["vdg_index"], r["aa_perm_idx"], r["q_cg_perm_idx"]): r["vdg_rmsd"] for r in q.QUERIES["known_pose_validation"](spark, DIR).collect()}
+    assert known.keys() == every.keys() and all(abs(known[k] - every[k]) < 1e-4 for k in every)
+
+
+def test_superposed_rmsd_equals_one_pair_at_a_time(spark):
+    rows = {r["vec_id"]: r for r in q.coords(spark, DIR).collect()}
+    least = {}
+    for r in rows.values():
+        least[r["label"]] = min(r["vec_id"], least.get(r["label"], r["vec_id"]))
+    got = q.QUERIES["kabsch_rmsd"](spark, DIR).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["known"] == least[rows[r["pose"]]["label"]] and abs(r["rmsd"] - by_hand(rows[r["pose"]]["c"], rows[r["known"]]["c"])) < 1e-5
+
+
+def test_fragments_and_symmetry_equal_one_molecule_at_a_time(spark):
+    from collections import defaultdict
+
+    from corvane.functions import chem
+
+    rows = q.ligands(spark, DIR).collect()
+    assert len({r["smiles"] for r in rows}) > 150
+    found = defaultdict(set)
+    for r in rows:
+        for f in chem.fragments(chem.parse_smiles(r["smiles"]), 2, 4, 5):
+            found[f.elements, f.smiles, f.key].add(r["lig_id"])
+    got = {(r["elements_str"], r["smiles"], r["canonical"]): (r["ligands"], r["symmetry"]) for r in q.QUERIES["smiles_fragments"](spark, DIR).collect()}
+    assert got == {k: (len(v), chem.symmetry_string(k[1])) for k, v in found.items() if len(v) >= 10}
+    keys = {r["lig_id"]: (r["symmetry"], r["canonical"]) for r in q.QUERIES["wl_symmetry"](spark, DIR).collect()}
+    assert keys == {r["lig_id"]: (chem.symmetry_string(r["smiles"]), chem.canonical_key(chem.parse_smiles(r["smiles"]))) for r in rows}
+
+
+def test_batches_in_order(spark):
+    from corvane.operators import windows as O
+
+    df = spark.createDataFrame([(g, i) for g, n in ((1, 10), (None, 4), (2, 2)) for i in range(n)], "g int, i int")
+    got = {(r["g"], r["i"]): r["batch"] for r in O.batches(df, 3, ["i"], ["g"]).collect()}
+    assert [got[1, i] for i in range(10)] == [1, 1, 1, 1, 2, 2, 2, 3, 3, 3] and [got[None, i] for i in range(4)] == [1, 1, 2, 3] and [got[2, 0], got[2, 1]] == [1, 2]
+    alone = {r["i"]: r["batch"] for r in O.batches(spark.range(7).withColumnRenamed("id", "i"), 2, ["i"]).collect()}
+    assert [alone[i] for i in range(7)] == [1, 1, 1, 1, 2, 2, 2]
+    assert [r["batch"] for r in O.strided(spark.range(5), 2, ["id"]).orderBy("id").collect()] == [1, 2, 1, 2, 1]
+    assert O.batches(spark.range(0), 2, ["id"]).count() == 0
+
+
 def test_radius_join_is_an_equi_join(spark):
     plan = q.QUERIES["radius_join"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
