@@ -263,6 +263,33 @@ def graph_edges(nodes: DataFrame, most: float = 1.8) -> DataFrame:
     return e.select(F.col("pdb_id").alias("graph_id"), "src", "dst", F.lit(0.0).cast("float").alias("bond_type"), F.lit(1.0).cast("float").alias("is_covalent"))
 
 
+def ligand_edges(nodes: DataFrame, templates: DataFrame) -> DataFrame:
+    """Edges of the ligand atoms with the bond codes of its template, both ways.
+
+    nodes: graph_nodes. templates: graph_id and smiles. Atoms are bonded by distance, then the
+    template's bond orders are laid on them; where it doesn't fit the code is 0.
+    """
+    from ..functions import chem
+    from .ligands import mol_of
+
+    kind = "graph_id string, src int, dst int, bond_type float, is_covalent float"
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("node_id")
+        mol = mol_of([chem.ELEMENTS[int(n) - 1] for n in p["atomic_num"]], p[["x", "y", "z"]].to_numpy(float))
+        code = {1.0: 1, 2.0: 2, 3.0: 3, chem.AROMATIC: 4}
+        try:
+            template = chem.parse_smiles(p["smiles"].iloc[0] or "")
+            bonds = [(i, j, code.get(o, 0)) for i, j, o in chem.with_template_orders(mol, template.part(template.heavy())).bonds]
+        except (chem.SmilesError, IndexError):
+            bonds = [(i, j, 0) for i, j, _ in mol.bonds]
+        ids = p["node_id"].tolist()
+        rows = [(p["graph_id"].iloc[0], ids[a], ids[b], float(o), 1.0) for i, j, o in bonds for a, b in ((i, j), (j, i))]
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in kind.split(", ")])
+
+    return nodes.where("is_protein = 0").join(templates.select("graph_id", "smiles"), "graph_id", "left").groupBy("graph_id").applyInPandas(run, kind)
+
+
 def group_contact_table(contacts: DataFrame, matches: DataFrame, precedence: DataFrame, aa_codes, allowed_types: list[str] | None = None) -> DataFrame:
     """One row for each match, touched chain and residue name: precedence score and contacts.
 

@@ -27,6 +27,30 @@ def mol_of(symbols: list[str], coords: np.ndarray) -> chem.Mol:
     return chem.Mol([chem.Atom(s) for s in symbols], [(int(a), int(b), chem.SINGLE) for a, b in zip(i, j)])
 
 
+def match_points(molecules: DataFrame, pattern: str) -> DataFrame:
+    """name, match_no, atoms and points of every place of a pattern in molecules (name, symbols, coords, bonds).
+
+    One match for each set of atoms. Bond order 4 is aromatic; molecules without a graph have none.
+    """
+    kind = "name string, match_no int, atoms array<int>, points array<array<double>>"
+
+    def run(parts):
+        want = chem.parse_smiles(pattern)
+        for p in parts:
+            rows = []
+            for name, symbols, coords, bonds in zip(p["name"], p["symbols"], p["coords"], p["bonds"]):
+                if symbols is None or coords is None:
+                    continue
+                order = [(b["i"], b["j"], chem.AROMATIC if b["bond_order"] == 4 else float(b["bond_order"])) for b in (bonds if bonds is not None else [])]
+                ring = {k for i, j, o in order if o == chem.AROMATIC for k in (i, j)}
+                mol = chem.Mol([chem.Atom(x, i in ring) for i, x in enumerate(symbols)], order)
+                for n, m in enumerate(chem.matches(mol, want)):
+                    rows.append((name, n, list(m), [list(map(float, coords[i])) for i in m]))
+            yield pd.DataFrame(rows, columns=["name", "match_no", "atoms", "points"])
+
+    return molecules.select("name", "symbols", "coords", "bonds").mapInPandas(run, kind)
+
+
 PLACINGS = "pdb_id string, seg string, chain string, resnum int, resname string, frag string, canonical string, site int, perm int, names array<string>, coords array<array<double>>"
 
 

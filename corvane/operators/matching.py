@@ -32,7 +32,7 @@ def pose_match(queries: DataFrame, library: DataFrame, threshold: float = 0.7, e
     (struct of site and permutation of each placing). library: schemas.NR_VDGS with vdg_index.
 
     The two meet on fragment, size and bucket, an equi-join; the wildcard label stands in the
-    bucket of both. Each Arrow batch of pairs is superposed in one array operation by size.
+    bucket of both. All pairs of a batch that have equally many points are superposed in one array operation.
     every_hit: all fits, not the best of each pair. strict: below the threshold, rounded to two
     places first. excellent: stop at the first assignment with so good a fit.
     """
@@ -41,31 +41,33 @@ def pose_match(queries: DataFrame, library: DataFrame, threshold: float = 0.7, e
     pairs = queries.select(*keys, *_QUERY).join(lib, keys)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = []
-            for r in p.itertuples(index=False):
-                placings = [np.array([np.asarray(x, float) for x in c]) for c in r.q_cg]
-                cg, bb, q_bb = np.array([np.asarray(x, float) for x in r.cg_coords]), _coords(r.bb_coords), _coords(r.q_bb).reshape(-1, 3)
-                fits = [k for k, c in enumerate(placings) if len(c) == len(cg)]
-                if not fits:
-                    continue
-                y = np.stack([np.concatenate([q_bb, placings[k]]) for k in fits])
-                found = []
-                for n, order in enumerate(label_assignments(tuple(r.lib_aas), tuple(r.labels), BACKBONE_LABEL)):
-                    x = np.concatenate([bb[list(order)].reshape(-1, 3), cg])
-                    if x.shape != y.shape[1:]:
-                        continue
-                    d = superposed_rmsd(x, y)
-                    ok = np.round(d, 2) < threshold if strict else d <= threshold
-                    found += [(float(d[k]), n, fits[k]) for k in np.flatnonzero(ok)]
-                    if excellent is not None and len(d) and d.min() <= excellent:
-                        break
-                if found and not every_hit:
-                    found = [min(found, key=lambda f: (f[0], f[1], f[2]))]
-                for d, n, k in found:
-                    s = r.q_sites[k]
-                    rows.append((r.pdbfile, r.sample, r.struct_id, r.frag, r.subset_size, r.bsr_combo, r.aa_bucket, r.vdg_index, r.vdg_cluster_id, d, n, s["site"], s["perm"]))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in MATCHES.split(", ")])
+        for whole in parts:
+            for at in range(0, len(whole), 2000):
+                p = whole.iloc[at : at + 2000]
+                fits: dict[int, list] = {}  # by points: row, assignment, placing, library points, query points
+                for i, r in enumerate(p.itertuples(index=False)):
+                    cg, bb, q_bb = np.array([np.asarray(x, float) for x in r.cg_coords]), _coords(r.bb_coords), _coords(r.q_bb).reshape(-1, 3)
+                    placings = [(k, np.array([np.asarray(x, float) for x in c])) for k, c in enumerate(r.q_cg) if len(c) == len(cg)]
+                    for n, order in enumerate(label_assignments(tuple(r.lib_aas), tuple(r.labels), BACKBONE_LABEL) if placings else ()):
+                        x = np.concatenate([bb[list(order)].reshape(-1, 3), cg])
+                        if len(x) == len(q_bb) + len(cg):
+                            fits.setdefault(len(x), []).extend((i, n, k, x, np.concatenate([q_bb, c])) for k, c in placings)
+                found: dict[int, list] = {}
+                for rows in fits.values():
+                    d = superposed_rmsd(np.stack([x for *_, x, _ in rows]), np.stack([y for *_, y in rows]))
+                    for (i, n, k, _, _), v in zip(rows, d.tolist()):
+                        found.setdefault(i, []).append((v, n, k))
+                out = []
+                for i, own in sorted(found.items()):
+                    if excellent is not None:  # assignments after the first with so good a fit aren't tried
+                        stop = min((n for v, n, _ in own if v <= excellent), default=None)
+                        own = [f for f in own if stop is None or f[1] <= stop]
+                    own = [f for f in own if (np.round(f[0], 2) < threshold if strict else f[0] <= threshold)]
+                    r = p.iloc[i]
+                    for v, n, k in own if every_hit else sorted(own)[:1]:
+                        s = r["q_sites"][k]
+                        out.append((r["pdbfile"], r["sample"], r["struct_id"], r["frag"], r["subset_size"], r["bsr_combo"], r["aa_bucket"], r["vdg_index"], r["vdg_cluster_id"], v, n, s["site"], s["perm"]))
+                yield pd.DataFrame(out, columns=[x.split()[0] for x in MATCHES.split(", ")])
 
     return pairs.mapInPandas(run, MATCHES)
 

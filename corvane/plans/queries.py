@@ -715,7 +715,7 @@ def group_contact_table(spark, d):
     m = c.select("probe_name", F.col("chain1").alias("chain"), F.col("resnum1").alias("resnum")).distinct().select("*", each.alias("m")).select("probe_name", "chain", "resnum", "m.*")
     prec = spark.createDataFrame([("k0", 1), ("k1", 2), ("k2", 5)], "atomtype2 string, precedence int")
     g = table(c, m, prec, AA_CODES)
-    return g.select(F.col("probe_name").cast("bigint").alias("l_orderkey"), F.col("resnum1").cast("bigint").alias("resnum1"), "match_no", F.col("orig_chain2").alias("chain2"), "resname2", "score", "contacts", F.col("prot_chain_cluster").cast("bigint").alias("cluster"))
+    return g.select(F.col("probe_name").cast("bigint").alias("l_orderkey"), "resnum1", "match_no", F.col("orig_chain2").alias("chain2"), "resname2", "score", "contacts", F.col("prot_chain_cluster").cast("bigint").alias("cluster"))
 
 
 @query()

@@ -43,6 +43,33 @@ def read_networks(spark: SparkSession, path) -> DataFrame:
     return spark.read.schema(schemas.NETWORKS).json(path)
 
 
+def unfinished(structures: DataFrame, networks: DataFrame, key: str = "pdb_file") -> DataFrame:
+    """Structures without networks yet: what a stopped run has still to do."""
+    return structures.join(networks.select(key).distinct(), key, "left_anti")
+
+
+def append_networks(networks: DataFrame, path: str) -> None:
+    """Networks of further structures; a structure's old ones are replaced, so a repeated run adds nothing twice.
+
+    One JSON folder for each structure; only those of the given ones are written.
+    """
+    named = networks.withColumn("structure", F.col("pdb_file"))
+    named.repartition("structure").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("structure").json(path)
+
+
+def read_fragment_dictionary(spark: SparkSession, path) -> DataFrame:
+    """The table elements_str, smiles, lig_id of a fragment run, as Parquet."""
+    return spark.read.schema(schemas.FRAG_LIGANDS).parquet(path)
+
+
+def write_group_table(table: DataFrame, path: str, kind: str = "parquet", mode: str = "overwrite") -> None:
+    """A group contact table as Parquet or CSV."""
+    if kind not in ("parquet", "csv"):
+        raise ValueError(f"no format {kind}")
+    w = table.write.mode(mode)
+    w.parquet(path) if kind == "parquet" else w.option("header", True).csv(path)
+
+
 def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("sep", "\t").option("header", True).csv(path)
 
@@ -70,11 +97,29 @@ class LibraryJob:
     most_structures: int = 2500
 
 
+class Settings:
+    """Made from a dictionary or a YAML text; names that a job doesn't know are an error."""
+
+    @classmethod
+    def from_dict(cls, d: dict):
+        known = {f.name for f in fields(cls)}
+        if unknown := sorted(set(d) - known):
+            raise ValueError(f"unknown settings: {', '.join(unknown)}")
+        return cls(**{k: v for k, v in d.items() if v is not None})
+
+    @classmethod
+    def from_yaml(cls, text: str):
+        """Needs a YAML library, which isn't otherwise used."""
+        import yaml
+
+        return cls.from_dict(yaml.safe_load(text))
+
+
 @dataclass
-class RerankJob:
+class RerankJob(Settings):
     """Parameters of a pose ranking run."""
 
-    vdg_lib_dir: str
+    library_dir: str
     query_pdbs_dir: str
     outdir: str
     lig_smiles: str
@@ -84,19 +129,39 @@ class RerankJob:
     frags_to_include: list[str] = field(default_factory=list)
     query_pdbs: list[str] = field(default_factory=list)
 
-    @classmethod
-    def from_dict(cls, d: dict) -> "RerankJob":
-        known = {f.name for f in fields(cls)}
-        if unknown := sorted(set(d) - known):
-            raise ValueError(f"unknown settings: {', '.join(unknown)}")
-        return cls(**{k: v for k, v in d.items() if v is not None})
 
-    @classmethod
-    def from_yaml(cls, text: str) -> "RerankJob":
-        """Needs a YAML library, which isn't otherwise used."""
-        import yaml
+@dataclass
+class PoseValidationJob(Settings):
+    """Parameters of holding known poses against the library."""
 
-        return cls.from_dict(yaml.safe_load(text))
+    library_dir: str
+    query_pdbs_dir: str
+    outdir: str
+    rmsd_threshold: float = 0.7
+    query_pdbs: list[str] = field(default_factory=list)
+
+
+@dataclass
+class FragmentJob(Settings):
+    """Parameters of a fragment dictionary and its list of SMILES."""
+
+    ligands: str
+    outdir: str
+    radius: int = 2
+    least_atoms: int = 4
+    most_atoms: int = 5
+    least_ligands: int = 80
+
+
+@dataclass
+class GroupTableJob(Settings):
+    """Parameters of a table of a group's contacts."""
+
+    pattern: str
+    contacts: str
+    structures: str
+    out: str
+    allowed_types: list[str] = field(default_factory=list)
 
 
 def job_script(template: str, values: dict[str, object]) -> str:

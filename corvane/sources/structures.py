@@ -155,25 +155,44 @@ def read_ligands(spark: SparkSession, path) -> DataFrame:
     return lines.select(row.alias("r")).select("r.*")
 
 
+def _sdf_record(text: str) -> tuple | None:
+    """(name, symbols, coords, bonds) of a V2000 or V3000 record; None of one without a counts line."""
+    lines = text.split("\n")
+    head = next((i for i, x in enumerate(lines) if "V2000" in x or "V3000" in x), None)
+    if head is None:
+        return None
+    name = lines[head - 3].strip() if head >= 3 else ""
+    if "V3000" in lines[head]:
+        body = "\n".join(lines[head:]).replace("-\nM  V30 ", "").split("\n")
+        rows = [x[6:].strip() for x in body if x.startswith("M  V30")]
+        part = lambda k: [x.split() for x in rows[rows.index(f"BEGIN {k}") + 1 : rows.index(f"END {k}")]] if f"BEGIN {k}" in rows else []
+        atoms, bonds = part("ATOM"), part("BOND")
+        at = {a[0]: i for i, a in enumerate(atoms)}
+        return name, [a[1] for a in atoms], [[float(v) for v in a[2:5]] for a in atoms], [{"i": at[b[2]], "j": at[b[3]], "bond_order": int(b[1])} for b in bonds]
+    n, m = int(lines[head][:3]), int(lines[head][3:6])
+    atoms, bonds = [x.split() for x in lines[head + 1 : head + 1 + n]], lines[head + 1 + n : head + 1 + n + m]
+    if len(atoms) < n or len(bonds) < m:
+        raise ValueError("the record ends early")
+    return name, [a[3] for a in atoms], [[float(v) for v in a[:3]] for a in atoms], [{"i": int(b[:3]) - 1, "j": int(b[3:6]) - 1, "bond_order": int(b[6:9])} for b in bonds]
+
+
 def read_sdf(spark: SparkSession, path) -> DataFrame:
-    """name, symbols, coords and bonds of each record of V2000 SD files."""
-    kind = "name string, symbols array<string>, coords array<array<double>>, bonds array<struct<i: int, j: int, bond_order: int>>, path string"
+    """name, symbols, coords and bonds of each record of SD files (V2000 and V3000).
+
+    error: why a malformed record has none of these; such a record doesn't stop the others.
+    """
+    kind = "name string, symbols array<string>, coords array<array<double>>, bonds array<struct<i: int, j: int, bond_order: int>>, path string, error string"
 
     def run(parts):
         for p in parts:
             rows = []
             for text, file in zip(p["value"], p["path"]):
-                lines = text.split("\n")
-                if lines and not lines[0].strip() and len(lines) > 4 and "V2000" not in lines[3]:
-                    lines = lines[1:]
-                head = next((i for i, x in enumerate(lines) if "V2000" in x), None)
-                if head is None:
-                    continue
-                n, m = int(lines[head][:3]), int(lines[head][3:6])
-                at = [x.split() for x in lines[head + 1 : head + 1 + n]]
-                bo = lines[head + 1 + n : head + 1 + n + m]
-                rows.append((lines[head - 3].strip() if head >= 3 else "", [a[3] for a in at], [[float(v) for v in a[:3]] for a in at], [{"i": int(b[:3]) - 1, "j": int(b[3:6]) - 1, "bond_order": int(b[6:9])} for b in bo], file))
-            yield pd.DataFrame(rows, columns=["name", "symbols", "coords", "bonds", "path"])
+                try:
+                    if found := _sdf_record(text):
+                        rows.append((*found, file, None))
+                except (ValueError, IndexError, KeyError) as e:
+                    rows.append((None, None, None, None, file, str(e)))
+            yield pd.DataFrame(rows, columns=["name", "symbols", "coords", "bonds", "path", "error"])
 
     return _text(spark, path, lineSep="$$$$\n").mapInPandas(run, kind)
 

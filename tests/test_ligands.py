@@ -77,3 +77,12 @@ def test_ligand_rmsd_with_many_orders(spark):
 def test_structures_of_ligands(spark):
     have, none = L.structures_of_ligands(spark.createDataFrame([("A",), ("B",)], "lig_id string"), spark.createDataFrame([("A", "1abc")], "lig_id string, pdb_id string"))
     assert have.count() == 1 and none.first()["lig_id"] == "B"
+
+
+def test_ligand_edges_have_the_template_orders(spark):
+    from corvane.operators.environments import ligand_edges
+
+    rows = [("g", 3, 6.0, 0.0, 0.0), ("g", 4, 6.0, 0.0, 1.5), ("g", 5, 8.0, 0.0, 2.7), ("h", 0, 6.0, 1.0, 0.0), ("h", 1, 7.0, 0.0, 1.3)]
+    nodes = spark.createDataFrame([(g, n, z, p, x, 0.0, 0.0) for g, n, z, p, x in rows], "graph_id string, node_id int, atomic_num float, is_protein float, x float, y float, z float")
+    got = {(r["graph_id"], r["src"], r["dst"]): r["bond_type"] for r in ligand_edges(nodes, spark.createDataFrame([("g", "CC=O")], "graph_id string, smiles string")).collect()}
+    assert got == {("g", 3, 4): 1.0, ("g", 4, 3): 1.0, ("g", 4, 5): 2.0, ("g", 5, 4): 2.0}

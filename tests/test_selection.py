@@ -5,6 +5,8 @@ from corvane.functions import arrays as R
 from corvane.functions import text as C
 from corvane.operators import selection as S
 
+from corvane.operators import selection as X
+
 
 def test_predicates(spark):
     rows = [("p", 1, "ATOM", "CA", "ALA", "A", "", 1, "C", 0.0, 0.0, 0.0), ("p", 2, "ATOM", "CB", "ALA", "A", "", 1, "C", 1.0, 0.0, 0.0), ("p", 3, "HETATM", "O", "HOH", "W", "", 2, "O", 3.0, 0.0, 0.0), ("p", 4, "HETATM", "ZN", "ZN", "Z", None, 3, "ZN", 9.0, 0.0, 0.0), ("p", 5, "ATOM", "H", "ALA", "A", "", 1, "H", 9.5, 0.0, 0.0)]
@@ -33,3 +35,19 @@ def test_text_functions(spark):
     assert one(C.equal_places(F.lit("6br5"), F.lit("6bny"))) == 2 and not one(C.similar_ids(F.lit("6br5"), F.lit("6bn")))
     with pytest.raises(Exception):
         one(C.match_file_size(F.lit("a_b")))
+
+
+def test_comparisons_and_points_by_name(spark):
+    import pytest
+
+    rows = [("p", None, "A", 1, "ALA", n, i, 0.5 * i, float(i), 0.0, 0.0) for i, n in enumerate(("N", "CA", "C", "CB"))] + [("p", None, "A", 2, "GLY", "CA", 9, None, 9.0, 0.0, 0.0)]
+    a = spark.createDataFrame(rows, "pdb_id string, seg string, chain string, resnum int, resname string, name string, serial int, occupancy double, x double, y double, z double")
+    assert a.where(X.compare("occupancy", ">", 0.6) & ~X.one_of("name", "CB")).count() == 1 and a.where(X.compare("resnum", "!=", 1)).count() == 1
+    with pytest.raises(ValueError):
+        X.compare("resnum", "~", 1)
+    one = a.where("resnum = 1")
+    assert [list(map(list, r["points"])) for r in X.named_points(one, ["CA", "N"]).collect()] == [[[1.0, 0.0, 0.0], [0.0, 0.0, 0.0]]]
+    for bad in (a, one.union(one.where("name = 'CA'"))):
+        with pytest.raises(Exception, match="once"):
+            X.named_points(bad, ["CA", "N"]).collect()
+    assert X.single_residues(a, ["pdb_id"]).count() == 0 and X.single_residues(one, ["pdb_id"]).count() == 4

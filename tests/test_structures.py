@@ -206,7 +206,7 @@ def test_text_sources(spark, tmp_path):
 
 
 def test_configuration():
-    job = L.RerankJob.from_dict({"vdg_lib_dir": "l", "query_pdbs_dir": "q", "outdir": "o", "lig_smiles": "CC", "frags_to_exclude": None})
+    job = L.RerankJob.from_dict({"library_dir": "l", "query_pdbs_dir": "q", "outdir": "o", "lig_smiles": "CC", "frags_to_exclude": None})
     assert job.rmsd_threshold == 0.7 and job.frags_to_exclude == []
     with pytest.raises(ValueError):
         L.RerankJob.from_dict({"outdirr": "x"})
@@ -221,3 +221,26 @@ def test_group_contact_table(spark):
     pr = spark.createDataFrame([("wc", 1), ("cc", 3), ("zz", 9)], "atomtype2 string, precedence int")
     assert {(r["probe_name"], r["resname2"], r["score"]) for r in E.group_contact_table(c, m, pr, AA_CODES).collect()} == {("p", "ALA", -4.0), ("p", "GLU", -3.0), ("q", "ALA", -1.0), ("r", "ALA", -3.0)}
     assert {r["probe_name"] for r in E.group_contact_table(c, m, pr, AA_CODES, ["wc"]).collect()} == {"p"}
+
+
+def test_sd_records_of_both_versions_and_bad_ones(spark, tmp_path):
+    v2 = "two\n\n\n  2  1  0  0  0  0            999 V2000\n    0.0 0.0 0.0 C\n    1.2 0.0 0.0 O\n  1  2  2\nM  END\n$$$$\n"
+    v3 = "three\n\n\n  0  0  0     0  0            999 V3000\nM  V30 BEGIN CTAB\nM  V30 COUNTS 2 1 0 0 0\nM  V30 BEGIN ATOM\nM  V30 1 C 0 0 0 0\nM  V30 2 N 1.1 0 0 0\nM  V30 END ATOM\nM  V30 BEGIN BOND\nM  V30 1 3 1 2\nM  V30 END BOND\nM  V30 END CTAB\n$$$$\n"
+    (tmp_path / "m.sdf").write_text(v2 + v3 + v2.replace("  2  1  0", " xx  1  0").replace("two", "bad") + v2.replace("  2  1  0", " 99  1  0"))
+    got = S.read_sdf(spark, str(tmp_path / "m.sdf")).collect()
+    assert {r["name"]: (r["symbols"], [tuple(b) for b in r["bonds"]]) for r in got if r["name"]} == {"two": (["C", "O"], [(0, 1, 2)]), "three": (["C", "N"], [(0, 1, 3)])}
+    assert len(got) == 4 and sum(r["error"] is not None for r in got) == 2
+
+
+def test_networks_of_a_stopped_run(spark, tmp_path):
+    from corvane import schemas
+
+    key = lambda n: {"seg": "", "chain": "A", "resnum": n, "resname": "LIG"}
+    nets = lambda *names: spark.createDataFrame([{"pdb_file": n, "lig": key(1), "residues": [key(2)]} for n in names], schemas.NETWORKS)
+    path = str(tmp_path / "nets")
+    L.append_networks(nets("1abc"), path)
+    todo = spark.createDataFrame([("1abc",), ("2abc",)], "pdb_file string")
+    assert [r[0] for r in L.unfinished(todo, L.read_networks(spark, path)).collect()] == ["2abc"]
+    L.append_networks(nets("1abc", "2abc"), path)
+    assert sorted(r["pdb_file"] for r in L.read_networks(spark, path).collect()) == ["1abc", "2abc"]
+    assert L.PoseValidationJob.from_dict({"library_dir": "l", "query_pdbs_dir": "q", "outdir": "o", "query_pdbs": None}).rmsd_threshold == 0.7
