@@ -31,9 +31,15 @@ WATER_RESIDUES = ("HOH", "WAT", "DOD", "TIP3", "H2O", "SOL")
 ION_RESIDUES = ("NA", "CL", "K", "MG", "CA", "ZN", "MN", "FE", "FE2", "CU", "CD", "NI", "CO", "HG", "BR", "IOD", "CS", "RB", "SR", "BA")
 MODIFIED_RESIDUES = ("SEP", "TPO", "MSE")
 # Elements whose presence in a SMILES text rules a ligand out.
-UNDESIRED_METALS = "Be Pt Ru Ir Fe Zn Mg Cu Sn Zr Pb Ga Hg Pd Si Mo W Se Mn Ti Y V Ni Rh Te Au Ag Co Sb Re As Cd Hf Na Ca Os Cr In Al U K se".split()
-UNDESIRED_LANTHANIDES = "La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu".split()
-UNDESIRED_NOBLE_GASES = "He Ne Ar Kr Xe Rn".split()
+UNDESIRED_METALS = (
+    "Be", "Pt", "Ru", "Ir", "Fe", "Zn", "Mg", "Cu", "Sn", "Zr", "Pb", "Ga", "Hg", "Pd", "Si", "Mo", "W", "Se", "Mn", "Ti", "Y", "V", "Ni", "Rh", "Te", "Au", "Ag", "Co", "Sb", "Re", "As", "Cd", "Hf", "Na", "Ca", "Os", "Cr", "In", "Al", "U", "K", "se",
+)
+UNDESIRED_LANTHANIDES = (
+    "La", "Ce", "Pr", "Nd", "Pm", "Sm", "Eu", "Gd", "Tb", "Dy", "Ho", "Er", "Tm", "Yb", "Lu",
+)
+UNDESIRED_NOBLE_GASES = (
+    "He", "Ne", "Ar", "Kr", "Xe", "Rn",
+)
 # Numeric code of a bond's kind; anything else is 0.
 BOND_CODES = {"SINGLE": 1, "DOUBLE": 2, "TRIPLE": 3, "AROMATIC": 4}
 # Signs replaced in file names, job names and labels.
