@@ -48,6 +48,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove a scratch path that nothing will read again."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget_table(df: DataFrame) -> None:
+    """Remove a table of written() that nothing will read again."""
+    files = df.inputFiles()
+    if files:
+        forget(df.sparkSession, files[0].rpartition("/")[0])
+
+
 def fixed_splits(spark: SparkSession) -> None:
     """Make scans of one table split alike from now on, even if executors come and go meanwhile.
 

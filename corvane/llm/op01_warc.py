@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fixed_splits, saved, scratch, written
+from .common import fixed_splits, forget, forget_table, saved, scratch, written
 
 #: Fixed values of the formats.
 VERSION, BREAK, BASE32 = "WARC/1.1", "\r\n", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -266,12 +266,15 @@ def pages_through_archive(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     write_pages(pages, path, min_bytes)
     block = F.col("metadata")[0]["block"]
     field = lambda name, value: F.nullif(F.regexp_extract(block, rf"(?m)^{name}: ({value})\r?$", 1), F.lit(""))
-    captures = assemble(written(read_records(spark, path), "records")).select(
+    records = written(read_records(spark, path), "records")
+    captures = assemble(records).select(
         "capture_id", F.col("response.record_type").alias("record_type"), F.col("response.refers_to").alias("refers_id"), F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"), F.col("response.named_digest").alias("named_digest"), field("page_id", r"-?\d+").cast("long").alias("page_id"),
         F.coalesce(F.unbase64(field("url_base64", "[A-Za-z0-9+/=]+")).cast("string"), F.col("response.target_uri")).alias("url"),
     )
     captures = saved(captures)
+    forget(spark, path)
+    forget_table(records)
     target = captures.where("record_type = 'response'").select(F.col("capture_id").alias("refers_id"), F.col("page_id").alias("first_page"), F.col("payload_bytes").alias("first_bytes"), F.col("payload_digest").alias("first_digest"))
     again = F.col("record_type") == "revisit"
     return captures.join(target, "refers_id", "left").select(

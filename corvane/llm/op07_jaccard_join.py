@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import fixed_splits, saved, written
+from .common import fixed_splits, forget_table, saved, written
 from .components import connected_components
 
 
@@ -594,6 +594,8 @@ def links(docs: DataFrame, members: DataFrame, rules: JaccardRules, key: str = "
     placed = written(_placed(placed, rules), "blocks")
     passing = saved(_passing(placed, _block_pairs(placed, buckets), rules))
     found.append(saved(_verified_blocks(passing, texts, rules, every)))
+    for done in (texts, placed, *([] if every or not rules.linear_rounds else [profiles])):
+        forget_table(done)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
