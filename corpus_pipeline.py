@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import table, written
+from corvane.llm.common import forget_table, table, written
 from corvane.llm.op03_quality_rules import kept_rows
 from corvane.llm.op05_substring_dedup import dedup_passages
 from corvane.llm.op07_jaccard_join import one_of_each
@@ -62,9 +62,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn over documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = written(docs, f"stage{i}")
+            if before is not None:
+                forget_table(before)
+            before = docs
     return docs
