@@ -82,3 +82,54 @@ def test_equal_rows_are_dealt_over_partitions(spark):
     got = out.withColumn("p", F.spark_partition_id()).collect()
     assert total == 4000 and sorted(r["row_number"] for r in got) == list(range(4000))
     assert len({r["p"] for r in got}) > 4
+
+
+def verdict(text, rules):
+    """kept by counting, without hashes."""
+    import re
+    from collections import Counter
+
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n, size, total = len(words), [len(w) for w in words], sum(map(len, words))
+
+    def covered(k):
+        grams = [tuple(words[i : i + k]) for i in range(n - k + 1)]
+        many = {g for g, c in Counter(grams).items() if c > 1}
+        return {j for i, g in enumerate(grams) if g in many for j in range(i, i + k)}
+
+    if n < 20 or 100 * len(covered(8)) > 30 * n:
+        return False
+    for k, limit in rules.dup_limit.items():
+        if sum(size[i] for i in covered(k)) / total > limit:
+            return False
+    for k, limit in rules.top_limit.items():
+        counts = Counter(tuple(words[i : i + k]) for i in range(n - k + 1))
+        most = max(counts.values())
+        if most > 1 and most * max(sum(map(len, g)) for g, c in counts.items() if c == most) / total > limit:
+            return False
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    again = [x for i, x in enumerate(lines) if x in lines[:i]]
+    chars = sum(len(w) for x in again for w in re.findall(r"[^\x20\x09-\x0D]+", x))
+    return not (len(lines) >= 4 and len(again) > rules.line_share * len(lines)) and chars / total <= rules.line_char_share
+
+
+def test_verdicts_equal_plain_counting(spark):
+    import random
+
+    from corvane.llm.op03_quality_rules import RepetitionRules, kept_rows
+
+    rng, rows = random.Random(12), []
+    for i in range(400):
+        vocab = [f"w{k}é" if k % 7 == 0 else f"w{k}" for k in range(rng.choice([6, 30, 200, 2000]))]
+        lines = [" ".join(rng.choices(vocab, k=rng.randrange(1, 14))) for _ in range(rng.randrange(1, 12))]
+        for _ in range(rng.randrange(6)):
+            lines.insert(rng.randrange(len(lines) + 1), rng.choice(lines))
+        rows.append((i, rng.choice(["\n", " ", "\n\n", "\r\n"]).join(lines)))
+    rows += [(1000, None), (1001, ""), (1002, "same " * 40)]
+    rules = RepetitionRules()
+    want = {i: verdict(x, rules) for i, x in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["kept"] for r in quality_rules(df).collect()}
+    assert got == want and 40 < sum(want.values()) < 360
+    assert sorted(r["doc_id"] for r in kept_rows(df).collect()) == sorted(i for i, k in want.items() if k)

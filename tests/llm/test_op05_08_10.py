@@ -70,6 +70,29 @@ def test_short_ends_of_lines_and_repeats_within_a_text(docs, tmp_path):
     assert out == {1: rows[0][1], 2: "here we begin.\nwith other words", 3: "no, no, no, that is all"}
 
 
+def test_lines_that_came_earlier_go(docs, tmp_path):
+    r = random.Random(21)
+    pool = [" ".join(f"{r.choice('abcdefg')}{r.randrange(5000)}" for _ in range(r.randrange(10, 30))) for _ in range(150)]
+    texts = []
+    for i in range(80):
+        own = []
+        for _ in range(r.randrange(0, 9)):
+            x = r.choice(pool)
+            own.append(x if r.random() < 0.6 else x.upper() if r.random() < 0.5 else f'"{x}".')
+        texts.append((i * 37 % 101, "\n".join(own)))
+    plain = lambda x: x.lower().strip('".')
+    seen, want = set(), {}
+    for i, x in sorted(texts):
+        keep = []
+        for line in x.split("\n"):
+            if plain(line) not in seen or not line:
+                keep.append(line)
+            seen.add(plain(line))
+        want[i] = [x for x in keep if x]
+    got = {d["doc_id"]: [x for x in d["text"].split("\n") if x.strip()] for d in dedup_passages(docs(texts, tmp_path / "d")).collect()}
+    assert got == want and sum(map(len, want.values())) < sum(len(x.split("\n")) for _, x in texts) - 50
+
+
 def test_columns_of_the_operators_names_give_way(spark):
     p = words(40)
     df = spark.createDataFrame([(1, p, "x", 2, 3), (2, p, "y", 2, 3)], "doc_id long, text string, Kept_spans string, __dups int, __doc_key int")
