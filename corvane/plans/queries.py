@@ -183,13 +183,16 @@ def precedence_scores(spark, d):
 # --- strings and filters
 
 _RE2 = "(" + "|".join([*UNDESIRED_METALS, *UNDESIRED_LANTHANIDES, *UNDESIRED_NOBLE_GASES]) + ")"
-_NAMES = "p_name || ' ' || p_brand || ' ' || p_type"
 
 
-@query(f"SELECT regexp_matches({_NAMES}, '{_RE2}') OR regexp_matches({_NAMES}, 'B([^r]|$)') AS undesired, count(*) AS n FROM part GROUP BY 1")
+def _undesired(c: str) -> str:
+    return f"regexp_matches({c}, '{_RE2}') OR regexp_matches({c}, 'B([^r]|$)')"
+
+
+@query(f"SELECT p_partkey, {_undesired('p_name')} AS by_name, {_undesired('p_type')} AS by_type, {_undesired('upper(substr(md5(p_name), 1, 6))')} AS by_digest FROM part")
 def element_filter(spark, d):
-    s = F.concat_ws(" ", "p_name", "p_brand", "p_type")
-    return t(spark, d, "part").groupBy(C.undesired_elements(s).alias("undesired")).agg(F.count("*").alias("n"))
+    digest = F.upper(F.substring(F.md5(F.col("p_name").cast("binary")), 1, 6))
+    return t(spark, d, "part").select("p_partkey", C.undesired_elements(F.col("p_name")).alias("by_name"), C.undesired_elements(F.col("p_type")).alias("by_type"), C.undesired_elements(digest).alias("by_digest"))
 
 
 @query(f"SELECT p_partkey, replace(replace(p_name || '/' || p_brand || '\\' || p_type, '/', '_fs_'), '\\', '_bs_') AS file, replace(p_brand, '#', '_tp_') AS job, replace(replace(p_name || '/' || p_brand, '/', '_'), ' ', '_').replace('#', 'hash') AS label FROM part")
@@ -211,13 +214,13 @@ def elapsed_parts(spark, d):
     return t(spark, d, "orders").select("o_orderkey", e["h"].alias("h"), e["m"].alias("m"), e["s"].cast("int").alias("s"))
 
 
-_ID = "substr(md5(s_suppkey::VARCHAR), 1, 4)"
+_ID = "substr(md5(c_custkey::VARCHAR), 1, 4)"
 
 
-@query(f"WITH s AS (SELECT s_suppkey AS k, {_ID} AS id FROM supplier) SELECT a.k AS a, b.k AS b FROM s a JOIN s b ON a.k < b.k WHERE hamming(a.id, b.id) <= 1")
+@query(f"WITH s AS (SELECT c_custkey AS k, {_ID} AS id FROM customer) SELECT a.k AS a, b.k AS b FROM s a JOIN s b ON a.k < b.k WHERE hamming(a.id, b.id) <= 1")
 def id_similarity(spark, d):
     """Ids that agree in three of four places meet on one of their four masks: no pair of all ids."""
-    s = t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.substring(F.md5(F.col("s_suppkey").cast("string")), 1, 4).alias("id"))
+    s = t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 4).alias("id"))
     masks = F.array(*(F.concat(F.lit(str(i)), F.substring("id", 1, i), F.lit("?"), F.substring("id", i + 2, 4)) for i in range(4)))
     m = s.withColumn("mask", F.explode(masks))
     j = m.alias("a").join(m.alias("b"), (F.col("a.mask") == F.col("b.mask")) & (F.col("a.k") < F.col("b.k")))
