@@ -38,7 +38,9 @@ def pose_match(queries: DataFrame, library: DataFrame, threshold: float = 0.7, e
     """
     keys = ["frag", "subset_size", "aa_bucket"]
     lib = library.select(*keys, "vdg_index", F.col("cluster_id").alias("vdg_cluster_id"), "cg_coords", "bb_coords", F.transform("scrr", lambda s: s["resname"]).alias("lib_aas"))
-    pairs = queries.select(*keys, *_QUERY).join(lib, keys)
+    # queries lie in few files, and each meets many library rows: spread them over the cores first
+    spread = queries.select(*keys, *_QUERY).repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pdbfile", "sample", "bsr_combo", "aa_bucket")
+    pairs = spread.join(lib, keys)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in parts:
