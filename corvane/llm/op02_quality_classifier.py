@@ -47,6 +47,8 @@ class QualityPlan:
 
 
 SHAPES = 1 << 10
+#: Most tables of sums that tasks send to the driver, one after the other.
+TABLES = 8
 
 
 @dataclass
@@ -187,24 +189,27 @@ def train(docs: DataFrame, labels: DataFrame, plan: QualityPlan | None = None, k
     plan = plan or QualityPlan()
     rows = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), (F.col(label) > 0).cast("long").alias("y")).distinct()
     rows = rows.orderBy(F.xxhash64("k"), "k", "y").limit(plan.train_rows)
-    sample = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("text")).join(F.broadcast(rows), "k").groupBy("k", "y").agg(F.min("text").alias("text")).select("k", "text", "y").repartition(8, "k").persist()
+    sample = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("text")).join(F.broadcast(rows), "k").groupBy("k", "y").agg(F.min("text").alias("text")).select("k", "text", "y").repartition(TABLES, "k").persist()
     try:
         if {r["y"] for r in sample.select("y").distinct().collect()} != {0, 1}:
             return None
 
         def contexts(batches):
             index = index_vectors(plan)
-            sums = np.zeros_like(index)
+            sums, some = np.zeros_like(index), False
             for batch in batches:
+                some = some or batch.num_rows > 0
                 for _, _, w in tc.docs_words(batch.column(0)):
                     a, b = units(w, plan.word_rows)
                     doc = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
                     for at in range(0, len(a), 1 << 17):
                         _add_contexts(sums, a, b, doc, index, plan.window, at, min(len(a), at + (1 << 17)))
-            yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
 
         total = np.zeros((plan.word_rows + SHAPES, plan.dims), np.float32)
-        for r in sample.select("text").mapInArrow(contexts, "sums binary").toLocalIterator():
+        # a task's sums are a whole table (17 MB), so few tasks, however many partitions the sample has
+        for r in sample.select("text").coalesce(TABLES).mapInArrow(contexts, "sums binary").toLocalIterator():
             total += np.frombuffer(r["sums"], np.float32).reshape(total.shape)
         vectors = _normal(total)
         shared = docs.sparkSession.sparkContext.broadcast(vectors)
@@ -219,6 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, plan: QualityPlan | None = None, k
         x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), -1)
         model = _fit_network(x, got["y"].to_numpy(float), plan)
         model.vectors = vectors
+        shared.destroy()
         return model
     finally:
         sample.unpersist()
