@@ -84,29 +84,48 @@ def by_hand(points, target):
 def test_pose_matching_equals_all_pairs(spark):
     from itertools import permutations
 
-    queries, library = (x.collect() for x in q.match_tables(spark, DIR))
-    want, every = {}, {}
-    for a in queries:
-        for b in library:
-            if (a["aa_bucket"], a["subset_size"]) != (b["aa_bucket"], b["subset_size"]):
-                continue
-            names = [r["resname"] for r in b["scrr"]]
-            orders = [o for o in permutations(range(len(names))) if [names[i] for i in o] == list(a["labels"])]
-            flat = [p for r in a["q_bb"] for p in r]
-            fits = [(round(by_hand([p for i in o for p in b["bb_coords"][i]] + list(b["cg_coords"]), flat + list(c)), 5), n, k) for n, o in enumerate(orders) for k, c in enumerate(a["q_cg"])]
-            key = a["pdbfile"], b["vdg_index"]
-            best = min(fits)
-            if best[0] <= 2.0:
-                want[key] = best[0]
-            for d, n, k in fits:
-                if round(d, 2) < 2.0:
-                    every[(*key, n, k)] = d
-    got = {(r["pdbfile"], r["vdg_index"]): r["vdg_rmsd"] for r in q.QUERIES["pose_match"](spark, DIR).collect()}
-    assert len(want) >= len(queries) and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+    from corvane.operators import matching as M
+
+    def fits_by_hand(queries, library):
+        want, every = {}, {}
+        for a in queries:
+            for b in library:
+                if (a["aa_bucket"], a["subset_size"]) != (b["aa_bucket"], b["subset_size"]):
+                    continue
+                names = [r["resname"] for r in b["scrr"]]
+                orders = [o for o in permutations(range(len(names))) if [names[i] for i in o] == list(a["labels"])]
+                flat = [p for r in a["q_bb"] for p in r]
+                fits = [(round(by_hand([p for i in o for p in b["bb_coords"][i]] + list(b["cg_coords"]), flat + list(c)), 5), n, k) for n, o in enumerate(orders) for k, c in enumerate(a["q_cg"])]
+                key = a["pdbfile"], b["vdg_index"]
+                best = min(fits)
+                if best[0] <= 2.0:
+                    want[key] = best[0]
+                for d, n, k in fits:
+                    if round(d, 2) < 2.0:
+                        every[(*key, n, k)] = d
+        return want, every
+
+    def best(df):
+        return {(r["pdbfile"], r["vdg_index"]): r["vdg_rmsd"] for r in df.collect()}
+
+    def hits(df):
+        return {(r["pdbfile"], r["vdg_index"], r["aa_perm_idx"], r["q_cg_perm_idx"]): r["vdg_rmsd"] for r in df.collect()}
+
+    def same(got, want):
+        return got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+
+    tables = q.match_tables(spark, DIR)
+    queries, library = (x.collect() for x in tables)
+    want, every = fits_by_hand(queries, library)
+    assert len(want) >= len(queries) and same(best(M.pose_match(*tables, 2.0)), want)
     pairs = {(r["pdbfile"], r["vdg_index"]) for r in q.QUERIES["pair_match"](spark, DIR).collect()}
     assert pairs == {k for k in want if int(k[0]) % 2}
-    known = {(r["pdbfile"], r["vdg_index"], r["aa_perm_idx"], r["q_cg_perm_idx"]): r["vdg_rmsd"] for r in q.QUERIES["known_pose_validation"](spark, DIR).collect()}
-    assert known.keys() == every.keys() and all(abs(known[k] - every[k]) < 1e-4 for k in every)
+    assert same(hits(q.QUERIES["known_pose_validation"](spark, DIR)), every)
+
+    asked = q.match_tables(spark, DIR, search=True)[0].collect()
+    assert {int(a["pdbfile"]) for a in asked} == {b["vdg_index"] for b in library if b["vdg_index"] % 20 == 0} and {a["subset_size"] for a in asked} == {1, 2}
+    want, _ = fits_by_hand(asked, library)
+    assert {b % 2 for _, b in want} == {0, 1} and same(best(q.QUERIES["pose_match"](spark, DIR)), want)
 
 
 def test_superposed_rmsd_equals_one_pair_at_a_time(spark):
