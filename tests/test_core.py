@@ -120,12 +120,13 @@ def test_pose_matching_equals_all_pairs(spark):
     assert len(want) >= len(queries) and same(best(M.pose_match(*tables, 2.0)), want)
     pairs = {(r["pdbfile"], r["vdg_index"]) for r in q.QUERIES["pair_match"](spark, DIR).collect()}
     assert pairs == {k for k in want if int(k[0]) % 2}
-    assert same(hits(q.QUERIES["known_pose_validation"](spark, DIR)), every)
+    assert same(hits(M.validate_known_poses(*tables, 2.0)), every)
 
     asked = q.match_tables(spark, DIR, search=True)[0].collect()
     assert {int(a["pdbfile"]) for a in asked} == {b["vdg_index"] for b in library if b["vdg_index"] % 20 == 0} and {a["subset_size"] for a in asked} == {1, 2}
-    want, _ = fits_by_hand(asked, library)
+    want, every = fits_by_hand(asked, library)
     assert {b % 2 for _, b in want} == {0, 1} and same(best(q.QUERIES["pose_match"](spark, DIR)), want)
+    assert same(hits(q.QUERIES["known_pose_validation"](spark, DIR)), every)
 
 
 def test_superposed_rmsd_equals_one_pair_at_a_time(spark):
